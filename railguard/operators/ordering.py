@@ -117,14 +117,14 @@ def first_records_median(
     )
 
 
-def occurrence_ids(
-    df: DataFrame, key: list[str], order: list[str], prefix: str = "EXT"
-) -> DataFrame:
+def with_occurrence_id(t: Trajectories, prefix: str = "EXT") -> Trajectories:
     """0-based ordinal of a row within its key plus a zero-padded synthetic record id."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    ordinal = (F.row_number().over(w) - 1).cast("bigint")
-    return df.withColumn("within_key_ordinal", ordinal).withColumn(
-        "record_id", F.format_string(f"{prefix}-%05d", F.col("within_key_ordinal"))
+    ranked = with_rank(t, "within_key_ordinal").frame
+    ordinal = F.col("within_key_ordinal") - 1
+    return t.with_frame(
+        ranked.withColumn("within_key_ordinal", ordinal).withColumn(
+            "record_id", F.format_string(f"{prefix}-%05d", F.col("within_key_ordinal"))
+        )
     )
 
 
@@ -216,7 +216,6 @@ def evenly_spaced(t: Trajectories, cap: int, rank: str = "rank") -> DataFrame:
             lambda i: F.rint(i.cast("double") * step).cast("bigint"),
         )
     )
-    wanted = sizes.select(
-        *t.keys.group, (F.explode(F.array_distinct(points)) + 1).alias(rank)
-    )
+    places = F.transform(F.array_distinct(points), lambda i: i + 1)
+    wanted = sizes.select(*t.keys.group, F.explode(places).alias(rank))
     return t.frame.join(wanted, [*t.keys.group, rank], "left_semi")
