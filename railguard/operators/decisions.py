@@ -133,7 +133,7 @@ def crossing_summary(units: DataFrame, keys: Keys = Keys()) -> DataFrame:
     """
     group = [keys.domain, "threshold", "method"]
     crossed = F.col("truth_crossed")
-    late_delay = F.greatest(F.col("delay_records"), F.lit(0))
+    late_delay = F.when(crossed, F.greatest(F.col("delay_records"), F.lit(0)))
     sums = units.groupBy(*group, late_delay.alias("_late_delay")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(crossed).alias("crossing"),
@@ -162,7 +162,7 @@ def crossing_summary(units: DataFrame, keys: Keys = Keys()) -> DataFrame:
         F.sum("predicted").alias("prediction_crossing_units"),
         ratio("delay", "crossing").alias("mean_delay_records"),
         ratio("abs_delay", "crossing").alias("mean_absolute_delay_records"),
-        F.percentile("_late_delay", 0.95, "n").alias("p95_late_delay_records"),
+        F.percentile("_late_delay", 0.95, F.col("n")).alias("p95_late_delay_records"),
         ratio("order_delay", "both").alias("mean_absolute_order_delay"),
         ratio("late", "crossing").alias("late_unit_rate"),
         ratio("premature_crossers", "crossing").alias("premature_unit_rate"),

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from railguard.functions.arrays import count_below, with_coarse_cuts
 from railguard.session import durable
 
 PIECE = "_piece"
@@ -127,25 +128,22 @@ def _cut_long_units(
         .withColumn("stride", stride)
         .select(
             *keys.group,
-            F.array_distinct(
-                F.filter("all_cuts", lambda _, i: (i + 1) % F.col("stride") == 0)
+            with_coarse_cuts(
+                F.array_distinct(
+                    F.filter("all_cuts", lambda _, i: (i + 1) % F.col("stride") == 0)
+                ),
+                _FAN,
             ).alias("cuts"),
         )
-        .withColumn("coarse", F.filter("cuts", lambda _, i: (i + 1) % _FAN == 0))
     )
     # Sketch merges depend on task order, so the cuts are fixed once before use.
     cuts = durable(cuts)
-    block = F.size(F.filter("coarse", lambda c: c < F.col(first)))
-    inside = F.size(
-        F.filter(
-            F.slice("cuts", block * _FAN + 1, F.lit(_FAN)), lambda c: c < F.col(first)
-        )
-    )
+    piece = count_below("cuts", F.col(first), _FAN)
     return (
         df.join(F.broadcast(cuts), keys.group, "left")
         .withColumn(
             PIECE,
-            F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(block * _FAN + inside).cast("int"),
+            F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(piece).cast("int"),
         )
-        .drop("cuts", "coarse")
+        .drop("cuts")
     )

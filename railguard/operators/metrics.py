@@ -12,6 +12,7 @@ from railguard.functions.columns import TOLERANCE
 from railguard.operators.layout import Keys, Trajectories
 from railguard.operators.ordering import with_previous
 from railguard.operators.quantiles import exact_quantiles, weighted_median
+from railguard.session import durable
 
 
 def _method_rows(units: DataFrame, ids: list[str], methods: list[str], fields: list[str]):
@@ -127,8 +128,10 @@ def estimand_ladder(
     means for the unit level.
     """
     gap = F.abs(F.col(method) - F.col(truth)) - F.abs(F.col(baseline) - F.col(truth))
-    units = df.groupBy(*keys.group).agg(
-        F.sum(gap).alias("gap_sum"), F.count(gap).alias("n"), F.avg(gap).alias("gap")
+    units = durable(
+        df.groupBy(*keys.group).agg(
+            F.sum(gap).alias("gap_sum"), F.count(gap).alias("n"), F.avg(gap).alias("gap")
+        )
     )
     domains = units.groupBy(keys.domain).agg(
         F.sum("gap_sum").alias("gap_sum"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("units"),
@@ -373,6 +376,6 @@ def unit_size_profile(df: DataFrame, keys: Keys = Keys()) -> DataFrame:
     return sizes.groupBy(keys.domain).agg(
         F.sum("times").alias("units"),
         F.min("n").alias("minimum_records"),
-        F.percentile("n", 0.5, "times").alias("median_records"),
+        F.percentile("n", 0.5, F.col("times")).alias("median_records"),
         F.max("n").alias("maximum_records"),
     )

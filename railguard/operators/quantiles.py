@@ -9,21 +9,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from railguard.functions.arrays import count_below, with_coarse_cuts
 from railguard.session import durable
 
 BUCKETS = 256
 
 
 def _bucketed(df: DataFrame, group: list[str], value: str, weight: Column) -> DataFrame:
-    combined = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(
-        weight.alias("_w")
+    # Written once: the input, however costly, is evaluated a single time.
+    combined = durable(
+        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(weight.alias("_w"))
     )
     points = [i / BUCKETS for i in range(1, BUCKETS)]
     # Sketch merges depend on task order: fix the cuts once, both later steps read them.
+    # Taken over distinct values, they balance exactly the rows that are bucketed.
     cuts = durable(
-        df.groupBy(*group).agg(F.percentile_approx(value, points, 10_000).alias("_cuts"))
+        combined.groupBy(*group).agg(
+            with_coarse_cuts(F.percentile_approx(value, points, 10_000)).alias("_cuts")
+        )
     )
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    bucket = count_below("_cuts", F.col(value))
     # Groups here are domains, thresholds or methods: few by construction, one row each.
     return combined.join(cuts, group).withColumn("_bucket", bucket).drop("_cuts")
 
