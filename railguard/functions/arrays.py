@@ -21,6 +21,15 @@ def count_below(cuts: str, value: Column, fan: int = FAN) -> Column:
     return block + F.size(F.filter(inside, lambda c: c < value))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``.
+
+    Plain column reuse would be inlined by the optimizer when a filter is pushed through
+    a chain of projections, multiplying long array expressions; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from railguard.functions.arrays import array_mean, array_std, value_finite
+from railguard.functions.arrays import array_mean, array_std, let, value_finite
 from railguard.functions.columns import is_finite
 from railguard.operators.layout import Keys
 from railguard.operators.ordering import first_records
@@ -40,31 +40,41 @@ def elapsed_array(times: Column) -> Column:
     def advance(acc, t):
         step = t - acc["last"]
         gain = F.when(step >= 0, step).otherwise(F.greatest(t, F.lit(0.0)))
-        total = acc["total"] + F.least(F.greatest(gain, F.lit(0.0)), F.lit(STEP_CAP))
-        return F.struct(
-            t.alias("last"), total.alias("total"),
-            F.concat(acc["out"], F.array(total)).alias("out"),
+        bounded = F.least(F.greatest(gain, F.lit(0.0)), F.lit(STEP_CAP))
+        return let(
+            acc["total"] + bounded,
+            lambda total: F.struct(
+                t.alias("last"), total.alias("total"),
+                F.concat(acc["out"], F.array(total)).alias("out"),
+            ),
         )
 
     start = F.struct(
         F.get(times, F.lit(0)).alias("last"), F.lit(0.0).alias("total"),
         F.array(F.lit(0.0)).alias("out"),
     )
-    rest = F.slice(times, 2, F.greatest(F.size(times) - 1, F.lit(0)))
+    rest = F.slice(times, F.lit(2), F.greatest(F.size(times) - 1, F.lit(0)))
     return F.aggregate(rest, start, advance)["out"]
 
 
-def interpolate(x: Column, y: Column, grid: list[float] | Column) -> Column:
+def interpolate(x: Column, y: Column, grid: list[float]) -> Column:
     """Linear interpolation of (x, y) at ``grid``; x is non-decreasing, first y per x wins.
 
     One pass per grid point keeps the bracketing points: the last with x <= g and the
     first with x >= g.  Duplicate x never replaces an earlier point.
     """
-    points = F.arrays_zip(x.alias("x"), y.alias("y"))
-    at = grid if isinstance(grid, Column) else F.array(*[F.lit(float(g)) for g in grid])
     empty = F.lit(None).cast("struct<x:double,y:double>")
 
-    def locate(g):
+    def between(b, g):
+        lo, hi = b["lo"], b["hi"]
+        slope = (hi["y"] - lo["y"]) / (hi["x"] - lo["x"])
+        return (
+            F.when(lo.isNull(), hi["y"])
+            .when(hi.isNull() | (hi["x"] == lo["x"]), lo["y"])
+            .otherwise(slope * (g - lo["x"]) + lo["y"])
+        )
+
+    def locate(points, g):
         def seen(acc, p):
             closer = (p["x"] <= g) & (acc["lo"].isNull() | (p["x"] > acc["lo"]["x"]))
             reached = (p["x"] >= g) & acc["hi"].isNull()
@@ -73,142 +83,139 @@ def interpolate(x: Column, y: Column, grid: list[float] | Column) -> Column:
                 F.when(reached, p).otherwise(acc["hi"]).alias("hi"),
             )
 
-        b = F.aggregate(points, F.struct(empty.alias("lo"), empty.alias("hi")), seen)
-        lo, hi = b["lo"], b["hi"]
-        slope = (hi["y"] - lo["y"]) / (hi["x"] - lo["x"])
-        return (
-            F.when(lo.isNull(), hi["y"])
-            .when(hi.isNull() | (hi["x"] == lo["x"]), lo["y"])
-            .otherwise(slope * (g - lo["x"]) + lo["y"])
-        )
+        start = F.struct(empty.alias("lo"), empty.alias("hi"))
+        return let(F.aggregate(points, start, seen), lambda b: between(b, g))
 
-    return F.transform(at, locate)
+    at = F.array(*[F.lit(float(g)) for g in grid])
+    return let(
+        F.arrays_zip(x.alias("x"), y.alias("y")),
+        lambda points: F.transform(at, lambda g: locate(points, g)),
+    )
 
 
 def early_features(
     df: DataFrame, *, current: str, voltage: str, charge: str, time: str,
     temperature: str | None, nominal: float | Column, window_seconds: float = 600.0,
 ) -> DataFrame:
-    """Add ``features`` (struct, NULL when rejected) and ``reason`` (first failing test).
-
-    Stages are successive projections, so every intermediate array is computed once.
-    """
-    capacity = nominal if isinstance(nominal, Column) else F.lit(float(nominal))
+    """Add ``features`` (struct, NULL when rejected) and ``reason`` (first failing test)."""
+    capacity = (nominal if isinstance(nominal, Column) else F.lit(float(nominal))).cast("double")
     window = F.lit(float(window_seconds))
+    grid = [g * window_seconds / 600.0 for g in GRID_SECONDS]
     size = F.size(current)
     aligned = (
         (F.size(voltage) == size) & (F.size(charge) == size) & (F.size(time) == size) & (size >= 3)
     )
-    base = df.withColumn("_cap", capacity.cast("double")).withColumn(
-        "_r1",
-        F.when(~F.coalesce(aligned, F.lit(False)), REJECTIONS[0]).when(
-            ~is_finite("_cap") | (F.col("_cap") <= 0), REJECTIONS[1]
-        ),
+    first_reason = F.when(~F.coalesce(aligned, F.lit(False)), REJECTIONS[0]).when(
+        ~is_finite(capacity) | (capacity <= 0), REJECTIONS[1]
+    )
+    floor = F.greatest(F.lit(1e-10), 1e-8 * capacity)
+    rises = F.transform(
+        increments(F.col(charge)), lambda s: F.coalesce(value_finite(s) & (s > floor), F.lit(False))
     )
-    floor = F.greatest(F.lit(1e-10), 1e-8 * F.col("_cap"))
-    steps = increments(F.col(charge))
-    rises = F.transform(steps, lambda s: F.coalesce(value_finite(s) & (s > floor), F.lit(False)))
-    # 1-based position of the first rise; 0 when there is none.
-    start = F.when(F.col("_r1").isNull(), F.array_position(rises, True)).otherwise(0)
-    base = base.withColumn("_start", start.cast("int"))
-    tail = F.size(current) - F.col("_start") + 1
-    cut = lambda c: F.slice(F.col(c), F.greatest("_start", F.lit(1)), F.greatest(tail, F.lit(0)))
-    no_heat = F.transform(cut(current), lambda _: F.lit(None).cast("double"))
-    if temperature is None:
+    # 1-based position of the first rise; 0 when there is none or the arrays are unusable.
+    start = F.when(first_reason.isNull(), F.array_position(rises, True)).otherwise(0).cast("int")
+
+    def points(begin):
+        tail = F.greatest(size - begin + 1, F.lit(0))
+        cut = lambda c: F.slice(F.col(c), F.greatest(begin, F.lit(1)), tail)
+        no_heat = F.transform(cut(current), lambda _: F.lit(None).cast("double"))
         heat = no_heat
-    else:
-        n = F.size(temperature)
-        heat = (
-            F.when(n == F.size(current), cut(temperature))
-            .when(n == tail, F.col(temperature))
-            .otherwise(no_heat)
+        if temperature is not None:
+            n = F.size(temperature)
+            heat = F.when(n == size, cut(temperature)).when(n == tail, F.col(temperature))
+            heat = F.coalesce(heat, no_heat)
+        zipped = F.arrays_zip(
+            cut(current).alias("i"), cut(voltage).alias("v"), cut(charge).alias("q"),
+            cut(time).alias("t"), heat.alias("h"),
         )
-    zipped = F.arrays_zip(
-        cut(current).alias("i"), cut(voltage).alias("v"), cut(charge).alias("q"),
-        cut(time).alias("t"), heat.alias("h"),
-    )
-    kept = F.filter(
-        zipped,
-        lambda p: value_finite(p["i"]) & value_finite(p["v"]) & value_finite(p["q"])
-        & value_finite(p["t"]),
-    )
-    base = base.withColumn("_p", F.when(F.col("_start") > 0, kept)).withColumn(
-        "_r2",
-        F.coalesce(
-            F.col("_r1"),
-            F.when(F.col("_start") == 0, REJECTIONS[2]),
-            F.when(F.size("_p") < 3, REJECTIONS[3]),
-        ),
-    )
-    base = base.withColumn(
-        "_e",
-        F.when(F.col("_r2").isNull(), elapsed_array(F.transform("_p", lambda p: p["t"]))),
-    )
-    base = base.withColumn(
-        "_r3",
-        F.coalesce(
-            F.col("_r2"), F.when(F.element_at("_e", -1) < window, REJECTIONS[4]),
-            F.when(F.size(F.array_distinct("_e")) < 2, REJECTIONS[5]),
-        ),
-    )
-    grid = [g * window_seconds / 600.0 for g in GRID_SECONDS]
-    on_grid = lambda f: F.when(
-        F.col("_r3").isNull(), interpolate(F.col("_e"), F.transform("_p", lambda p: p[f]), grid)
-    )
-    base = base.withColumns(
-        {
-            "_gv": on_grid("v"), "_gi": on_grid("i"), "_gq": on_grid("q"),
-            "_w": F.when(
-                F.col("_r3").isNull(),
-                F.filter(
-                    F.arrays_zip(F.col("_e").alias("e"), F.col("_p").alias("p")),
-                    lambda z: z["e"] <= window,
+        finite = F.filter(
+            zipped,
+            lambda p: value_finite(p["i"]) & value_finite(p["v"]) & value_finite(p["q"])
+            & value_finite(p["t"]),
+        )
+        return F.when(begin > 0, finite)
+
+    def rejected(reason):
+        return F.struct(reason.alias("reason"), F.lit(None).cast(_feature_type(grid)).alias("features"))
+
+    def with_points(p):
+        early = F.coalesce(
+            first_reason, F.when(p.isNull(), REJECTIONS[2]), F.when(F.size(p) < 3, REJECTIONS[3])
+        )
+        return F.when(early.isNotNull(), rejected(early)).otherwise(
+            let(elapsed_array(F.transform(p, lambda x: x["t"])), lambda e: with_elapsed(p, e))
+        )
+
+    def with_elapsed(p, e):
+        uncovered = F.when(F.element_at(e, -1) < window, REJECTIONS[4]).when(
+            F.size(F.array_distinct(e)) < 2, REJECTIONS[5]
+        )
+        on_grid = lambda f: interpolate(e, F.transform(p, lambda x: x[f]), grid)
+        inside = F.filter(F.arrays_zip(e.alias("e"), p.alias("p")), lambda z: z["e"] <= window)
+        parts = F.struct(
+            on_grid("v").alias("gv"), on_grid("i").alias("gi"), on_grid("q").alias("gq"),
+            inside.alias("w"),
+        )
+        return F.when(uncovered.isNotNull(), rejected(uncovered)).otherwise(let(parts, judge))
+
+    def judge(s):
+        gained = F.element_at(s["gq"], -1) - F.element_at(s["gq"], 1)
+        late = F.when(F.size(s["w"]) < 3, REJECTIONS[6]).when(
+            ~is_finite(gained) | (gained <= 0), REJECTIONS[7]
+        )
+        return F.when(late.isNotNull(), rejected(late)).otherwise(
+            let(
+                F.struct(
+                    F.transform(s["w"], lambda z: z["p"]["v"]).alias("v"),
+                    F.transform(s["w"], lambda z: z["p"]["i"] / capacity).alias("i"),
+                    F.filter(F.transform(s["w"], lambda z: z["p"]["h"]), value_finite).alias("h"),
                 ),
-            ),
-        }
-    )
-    gained = F.element_at("_gq", -1) - F.element_at("_gq", 1)
-    base = base.withColumn("_dq", gained).withColumn(
-        "reason",
-        F.coalesce(
-            F.col("_r3"),
-            F.when(F.size("_w") < 3, REJECTIONS[6]),
-            F.when(~is_finite("_dq") | (F.col("_dq") <= 0), REJECTIONS[7]),
-        ),
-    )
-    base = base.withColumns(
-        {
-            "_wv": F.transform("_w", lambda z: z["p"]["v"]),
-            "_wi": F.transform("_w", lambda z: z["p"]["i"] / F.col("_cap")),
-            "_wh": F.filter(F.transform("_w", lambda z: z["p"]["h"]), value_finite),
-        }
-    )
-    base = base.withColumns(
-        {"_mv": array_mean(F.col("_wv")), "_mi": array_mean(F.col("_wi")), "_mh": array_mean(F.col("_wh"))}
-    )
-    slope = (F.element_at("_gv", -1) - F.element_at("_gv", 1)) / (window / 3600.0)
-    fields = [
-        (F.col("_dq") / F.col("_cap")).alias("delta_q_per_nominal"),
-        F.col("_mv").alias("voltage_mean"),
-        array_std(F.col("_wv"), F.col("_mv")).alias("voltage_std"),
-        slope.alias("voltage_slope_per_hour"),
-        F.col("_mi").alias("current_c_mean"),
-        array_std(F.col("_wi"), F.col("_mi")).alias("current_c_std"),
-        array_mean(F.transform("_wi", lambda i: F.abs(i))).alias("current_c_abs_mean"),
-        F.size("_w").cast("double").alias("points"),
-        (F.size("_wh") > 0).cast("double").alias("temperature_available"),
-        F.col("_mh").alias("temperature_mean"),
-        array_std(F.col("_wh"), F.col("_mh")).alias("temperature_std"),
-    ]
-    fields += [
-        F.element_at("_gv", i + 1).alias(f"voltage_at_{int(g)}s") for i, g in enumerate(grid)
+                lambda w: F.struct(
+                    F.lit(None).cast("string").alias("reason"),
+                    _feature_struct(s, w, gained, capacity, window_seconds, grid).alias("features"),
+                ),
+            )
+        )
+
+    outcome = let(start, lambda begin: let(points(begin), with_points))
+    out = df.withColumn("_outcome", outcome)
+    return out.withColumns(
+        {"reason": F.col("_outcome.reason"), "features": F.col("_outcome.features")}
+    ).drop("_outcome")
+
+
+def _feature_names(grid: list[float]) -> list[str]:
+    return [
+        "delta_q_per_nominal", "voltage_mean", "voltage_std", "voltage_slope_per_hour",
+        "current_c_mean", "current_c_std", "current_c_abs_mean", "points",
+        "temperature_available", "temperature_mean", "temperature_std",
+        *[f"voltage_at_{int(g)}s" for g in grid],
+        *[f"current_c_at_{int(grid[i])}s" for i in (0, 5, 10)],
     ]
-    fields += [
-        (F.element_at("_gi", i + 1) / F.col("_cap")).alias(f"current_c_at_{int(grid[i])}s")
-        for i in (0, 5, 10)
+
+
+def _feature_type(grid: list[float]) -> str:
+    return "struct<" + ",".join(f"{n}:double" for n in _feature_names(grid)) + ">"
+
+
+def _feature_struct(s, w, gained, capacity, window_seconds, grid) -> Column:
+    slope = (F.element_at(s["gv"], -1) - F.element_at(s["gv"], 1)) / F.lit(window_seconds / 3600.0)
+    values = [
+        gained / capacity,
+        array_mean(w["v"]),
+        let(array_mean(w["v"]), lambda m: array_std(w["v"], m)),
+        slope,
+        array_mean(w["i"]),
+        let(array_mean(w["i"]), lambda m: array_std(w["i"], m)),
+        array_mean(F.transform(w["i"], lambda i: F.abs(i))),
+        F.size(s["w"]).cast("double"),
+        (F.size(w["h"]) > 0).cast("double"),
+        array_mean(w["h"]),
+        let(array_mean(w["h"]), lambda m: array_std(w["h"], m)),
+        *[F.element_at(s["gv"], i + 1) for i in range(len(grid))],
+        *[F.element_at(s["gi"], i + 1) / capacity for i in (0, 5, 10)],
     ]
-    made = base.withColumn("features", F.when(F.col("reason").isNull(), F.struct(*fields)))
-    return made.drop(*[c for c in made.columns if c.startswith("_")])
+    return F.struct(*[v.alias(n) for n, v in zip(_feature_names(grid), values)])
 
 
 def largest_positive(values: str | Column) -> Column:
