@@ -170,14 +170,14 @@ def export_lines(spark, d):
     mark = F.when(kind == 0, ",").when(kind == 1, "\t").when(kind == 2, ";").otherwise(" ")
     # Only files without comma delimiters use decimal commas.
     decimal = F.when(kind.isin(2, 3), ",").otherwise(".")
-    text = lambda c: F.translate(c.cast("string"), ".", decimal)
+    text = lambda c: F.call_function("translate", c.cast("string"), F.lit("."), decimal)
     hours = F.col("us") % 518400000000 / F.lit(3600000000.0)
-    row = F.concat_ws(
-        mark, text(hours), text(3.0 + F.col("value") / 1000.0), text(F.col("value") / 100.0 - 0.25),
+    row = F.call_function(
+        "concat_ws", mark, text(hours), text(3.0 + F.col("value") / 1000.0), text(F.col("value") / 100.0 - 0.25),
         text(F.round(F.col("value") / 50.0, 4)), F.floor(F.col("us") / 518400000000).cast("string"),
     )
-    head = F.concat_ws(
-        mark, F.lit("~Time[h]"), F.lit("U[V]"), F.lit("I[A]"), F.lit("Ah[Ah]"), F.lit("Cyc-Count")
+    head = F.call_function(
+        "concat_ws", mark, F.lit("~Time[h]"), F.lit("U[V]"), F.lit("I[A]"), F.lit("Ah[Ah]"), F.lit("Cyc-Count")
     )
     file = F.concat(F.lit("unit_"), F.col("user_id").cast("string"))
     data = e.select(file.alias("file"), F.col("event_id").alias("line"), row.alias("value"))
