@@ -1,11 +1,24 @@
-"""Evaluation workflows: the compositions users call."""
+"""Evaluation workflows: the compositions users call.
+
+Each is one declarative query over the ledger.  Parameter grids stay in arrays or
+columns until the per-unit result, and selections are small tables joined back.
+"""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
-from railguard.functions.columns import regret_cap
-from railguard.operators.layout import Keys
+from railguard.functions.columns import TOLERANCE, Y_MAX, Y_MIN, clip, regret_cap
+from railguard.operators import inference, metrics
+from railguard.operators.folds import GuardGridFold, RecoveryGridFold, StateGridFold, grid_unit_errors
+from railguard.operators.guard import causal_state, guard, pointwise_tube, project, recover, state_grid
+from railguard.operators.isotonic import monotone_projection
+from railguard.operators.joins import compare_tables
+from railguard.operators.layout import Keys, Trajectories
+from railguard.operators.quantiles import weighted_median
+from railguard.operators.selection import argmin_with_ties, excluded_pairs, grid_scores, nested_selection
 
 
 def budget_frontier(
@@ -45,3 +58,361 @@ def budget_frontier(
         F.max("gap").alias("maximum_domain_harm"),
         F.max("moved").alias("maximum_displacement"),
     )
+
+
+def double_holdout(df: DataFrame, truth: str = "truth", candidate: str = "raw_candidate",
+                   keys: Keys = Keys()) -> DataFrame:
+    """Predictions for every pair of excluded domains, calibrated on the other domains only.
+
+    The calibration is the domain-equal mean residual of the source domains, so it needs
+    one row per domain.  Output rows carry ``outer_domain`` and ``inner_domain`` (the
+    record's own domain) plus the recalibrated candidate.
+    """
+    levels = df.groupBy(keys.domain).agg(
+        F.avg(F.col(truth) - F.col(candidate)).alias("level")
+    )
+    # Domains are a short declared list: one row carries all their levels as a map.
+    packed = levels.agg(
+        F.map_from_entries(F.collect_list(F.struct(keys.domain, "level"))).alias("level"),
+        F.sum("level").alias("total"), F.count(F.lit(1)).alias("n"),
+    )
+    names = F.map_keys("level")
+    pairs = packed.select("*", F.explode(names).alias("outer_domain")).select(
+        "*", F.explode(names).alias("inner_domain")
+    ).filter(F.col("outer_domain") != F.col("inner_domain"))
+    rest = (
+        F.col("total") - F.element_at("level", F.col("outer_domain"))
+        - F.element_at("level", F.col("inner_domain"))
+    )
+    shifts = pairs.select("outer_domain", "inner_domain", (rest / (F.col("n") - 2)).alias("shift"))
+    renamed = df.withColumnRenamed(keys.domain, "inner_domain")
+    return renamed.join(F.broadcast(shifts), "inner_domain").withColumn(
+        candidate, F.col(candidate) + F.col("shift")
+    ).drop("shift")
+
+
+def pair_trajectories(t: Trajectories, pairs: DataFrame) -> Trajectories:
+    """Trajectories whose domain is the (outer, inner) fold."""
+    fold = F.concat_ws(">", "outer_domain", "inner_domain")
+    keys = replace(t.keys, domain="fold")
+    return Trajectories(pairs.withColumn("fold", fold), keys, t.longest, t.cut)
+
+
+def _outer_inner(scores: DataFrame) -> DataFrame:
+    parts = F.split("fold", ">")
+    return scores.withColumn("outer_domain", parts[0]).withColumn("inner_domain", parts[1]).drop("fold")
+
+
+def nested_alpha_scores(t: Trajectories, alphas: list[float], budget: float,
+                        truth: str = "truth") -> DataFrame:
+    """Inner validation scores of every alpha for every (outer, inner) pair, in one pass."""
+    folds = pair_trajectories(t, double_holdout(t.frame, truth, keys=t.keys))
+    grid = GuardGridFold(
+        inputs=("raw_baseline", "raw_candidate"), state=("b", "p"), alphas=tuple(alphas),
+        budgets=(budget,),
+    )
+    units = grid_unit_errors(folds, grid, truth)
+    return _outer_inner(grid_scores(units, folds.keys, [{"alpha": a} for a in alphas]))
+
+
+def select_alpha(scores: DataFrame) -> DataFrame:
+    """Nested source-only choice: smallest mean inner error, ties to the larger alpha."""
+    return nested_selection(scores, ["alpha"], [F.desc("alpha")])
+
+
+def apply_selected_alpha(t: Trajectories, selected: DataFrame, alphas: list[float], budget: float):
+    """Guard every outer domain with its own selected alpha.
+
+    The state for all alphas comes from one pass; each record keeps the entry of its
+    domain's choice, so no per-domain job is needed.
+    """
+    grid = F.array(*[F.lit(float(a)) for a in alphas])
+    # One row per domain, joined by key; small by construction.
+    choice = selected.select(
+        F.col("outer_domain").alias(t.keys.domain), F.col("alpha").alias("selected_alpha")
+    )
+    states = state_grid(t, alphas)
+    frame = states.frame.join(F.broadcast(choice), t.keys.domain)
+    at = F.array_position(grid, F.col("selected_alpha")).cast("int")
+    frame = frame.withColumn("protected_state", F.element_at("states", at)).drop("states")
+    return project(states.with_frame(frame), budget=budget)
+
+
+def shift_control_scores(t: Trajectories, alphas: list[float], offsets: list[float],
+                         truth: str = "truth") -> DataFrame:
+    """Candidate-free control: unit-macro error of clip(state + offset) on the whole grid."""
+    fold = StateGridFold(inputs=("raw_baseline",), state=("b",), alphas=tuple(alphas))
+    units = grid_unit_errors(t, fold, truth, tuple(offsets))
+    points = [{"alpha": a, "offset": o} for a in alphas for o in offsets]
+    return grid_scores(units, t.keys, points)
+
+
+def leave_one_out_scores(scores: DataFrame, params: list[str], domain: str = "domain",
+                         score: str = "mae") -> DataFrame:
+    """(outer, inner) rows from per-domain scores when predictions do not depend on the pair."""
+    pairs = excluded_pairs(scores, domain)
+    return scores.withColumnRenamed(domain, "inner_domain").join(F.broadcast(pairs), "inner_domain").select(
+        "outer_domain", "inner_domain", *params, score
+    )
+
+
+def select_shift_control(scores: DataFrame) -> DataFrame:
+    inner = leave_one_out_scores(scores, ["alpha", "offset"])
+    order = [F.asc(F.abs("offset")), F.desc("alpha"), F.desc("offset")]
+    return nested_selection(inner, ["alpha", "offset"], order)
+
+
+def budget_path(t: Trajectories, alphas: list[float], budgets: list[float],
+                truth: str = "truth") -> DataFrame:
+    """Per domain and budget: guard and exact-shift control, both chosen without the domain.
+
+    The guard grid is one pass.  The control's offset is the weighted median residual of
+    the inner domains, clipped to the budget.
+    """
+    keys = t.keys
+    grid = GuardGridFold(
+        inputs=("raw_baseline", "raw_candidate"), state=("b", "p"), alphas=tuple(alphas),
+        budgets=tuple(budgets),
+    )
+    points = [{"alpha": a, "budget": b} for a in alphas for b in budgets]
+    scores = grid_scores(grid_unit_errors(t, grid, truth), keys, points)
+    inner = leave_one_out_scores(scores, ["alpha", "budget"], keys.domain)
+    means = inner.groupBy("outer_domain", "budget", "alpha").agg(F.avg("mae").alias("mae"))
+    chosen = argmin_with_ties(means, ["outer_domain", "budget"], "mae", [F.desc("alpha")])
+    guard_rows = chosen.select(
+        F.col("outer_domain").alias(keys.domain), "budget", F.col("alpha").alias("guard_alpha")
+    ).join(
+        scores.select(keys.domain, "budget", F.col("alpha").alias("guard_alpha"), F.col("mae").alias("guard_mae")),
+        [keys.domain, "budget", "guard_alpha"],
+    )
+    control = _exact_shift_control(t, alphas, budgets, truth)
+    return guard_rows.join(control, [keys.domain, "budget"]).withColumn(
+        "difference", F.col("guard_mae") - F.col("control_mae")
+    )
+
+
+def _exact_shift_control(t, alphas, budgets, truth) -> DataFrame:
+    keys = t.keys
+    states = state_grid(t, alphas).frame
+    weights = metrics.row_weights(states.select(*keys.record, truth, "states"), keys)
+    grid = F.array(*[F.lit(float(a)) for a in alphas])
+    long = weights.select(
+        *keys.group, "weight", truth,
+        F.inline(F.arrays_zip(grid.alias("alpha"), F.col("states").alias("state"))),
+    ).withColumn("residual", F.col(truth) - F.col("state"))
+    pairs = excluded_pairs(long.select(keys.domain), keys.domain)
+    inner = long.join(
+        F.broadcast(pairs.withColumnRenamed("inner_domain", keys.domain)), keys.domain
+    )
+    medians = weighted_median(inner, ["outer_domain", "alpha"], "residual", "weight")
+    wide = F.array(*[F.struct(F.lit(float(b)).alias("budget")) for b in budgets])
+    offsets = medians.select("outer_domain", "alpha", "weighted_median", F.inline(wide)).withColumn(
+        "offset", clip("weighted_median", -F.col("budget"), F.col("budget"))
+    )
+    # Scores of every (alpha, offset): one aggregate over residuals, offsets as a small array.
+    packed = offsets.groupBy("outer_domain", "alpha").agg(
+        F.array_sort(F.collect_list(F.struct("budget", "offset"))).alias("plan")
+    )
+    scored = inner.join(F.broadcast(packed), ["outer_domain", "alpha"])
+    sums = scored.groupBy("outer_domain", "alpha").agg(
+        F.sum("weight").alias("w"),
+        *[
+            F.sum(F.col("weight") * F.abs(F.col("residual") - F.get("plan", F.lit(i))["offset"])).alias(f"s{i}")
+            for i in range(len(budgets))
+        ],
+    )
+    ordered = sorted(range(len(budgets)), key=lambda i: budgets[i])
+    rows = [
+        F.struct(F.lit(float(budgets[j])).alias("budget"), (F.col(f"s{i}") / F.col("w")).alias("score"))
+        for i, j in enumerate(ordered)
+    ]
+    table = sums.select("outer_domain", "alpha", F.inline(F.array(*rows))).join(
+        offsets.select("outer_domain", "alpha", "budget", "offset"), ["outer_domain", "alpha", "budget"]
+    )
+    order = [F.asc(F.abs("offset")), F.desc("alpha"), F.desc("offset")]
+    chosen = argmin_with_ties(table, ["outer_domain", "budget"], "score", order)
+    picks = chosen.select(
+        F.col("outer_domain").alias(keys.domain), "budget", "alpha", F.col("offset").alias("control_offset")
+    )
+    plan = picks.groupBy(keys.domain).agg(
+        F.array_sort(F.collect_list(F.struct("budget", "alpha", "control_offset"))).alias("plan")
+    )
+    outer = states.select(*keys.group, truth, "states").join(F.broadcast(plan), keys.domain)
+    at = lambda i: F.get("plan", F.lit(i))
+    aggs = []
+    for i in range(len(budgets)):
+        state = F.element_at("states", F.array_position(grid, at(i)["alpha"]).cast("int"))
+        output = clip(state + at(i)["control_offset"], Y_MIN, Y_MAX)
+        aggs.append(F.avg(F.abs(output - F.col(truth))).alias(f"u{i}"))
+    units = outer.groupBy(*keys.group).agg(*aggs)
+    domains = units.groupBy(keys.domain).agg(*[F.avg(f"u{i}").alias(f"u{i}") for i in range(len(budgets))])
+    out = [
+        F.struct(F.lit(float(budgets[j])).alias("budget"), F.col(f"u{i}").alias("control_mae"))
+        for i, j in enumerate(ordered)
+    ]
+    return domains.select(keys.domain, F.inline(F.array(*out))).join(
+        picks.select(keys.domain, "budget", F.col("alpha").alias("control_alpha"), "control_offset"),
+        [keys.domain, "budget"],
+    )
+
+
+def recovery_selection(t: Trajectories, configurations: list[tuple[float, float]], budget: float,
+                       truth: str = "truth") -> DataFrame:
+    """Per outer domain: best (alpha, allowance), and best with no recovery."""
+    fold = RecoveryGridFold(
+        inputs=("raw_baseline", "raw_candidate"), state=("b", "p"),
+        alphas=tuple(a for a, _ in configurations), allowances=tuple(r for _, r in configurations),
+        budget=budget,
+    )
+    points = [{"alpha": a, "recovery": r} for a, r in configurations]
+    scores = grid_scores(grid_unit_errors(t, fold, truth), t.keys, points)
+    inner = leave_one_out_scores(scores, ["alpha", "recovery"], t.keys.domain)
+    order = [F.asc("recovery"), F.desc("alpha")]
+    best = nested_selection(inner, ["alpha", "recovery"], order)
+    strict = nested_selection(inner.filter("recovery = 0"), ["alpha", "recovery"], order)
+    return best.join(
+        strict.select("outer_domain", F.col("alpha").alias("strict_alpha"), F.col("mae").alias("strict_mae")),
+        "outer_domain",
+    )
+
+
+def freeze_alpha(t: Trajectories, alphas: list[float], budget: float, truth: str = "truth") -> DataFrame:
+    """Global choice over all domains: domain-equal error of every alpha, then the argmin."""
+    grid = GuardGridFold(
+        inputs=("raw_baseline", "raw_candidate"), state=("b", "p"), alphas=tuple(alphas),
+        budgets=(budget,),
+    )
+    scores = grid_scores(grid_unit_errors(t, grid, truth), t.keys, [{"alpha": a} for a in alphas])
+    means = scores.groupBy("alpha").agg(F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("domains"))
+    ranked = means.withColumn("_all", F.lit("all"))
+    return argmin_with_ties(ranked, ["_all"], "mae", [F.desc("alpha")]).drop("_all")
+
+
+def mechanism_decision(
+    t: Trajectories, *, alpha: float, budget: float, shift: float, methods: list[str],
+    truth: str = "truth",
+) -> DataFrame:
+    """One-row decision: certificates, contrasts against state and shift, gates, verdict."""
+    from railguard.operators.selection import decision_verdict
+
+    done = guard(t, alpha=alpha, budget=budget)
+    frame = done.frame.withColumn("fixed_shift", clip(F.col("protected_state") + shift, Y_MIN, Y_MAX))
+    done = done.with_frame(frame)
+    cert = metrics.certificate(done, "protected_state", "guarded", truth, budget)
+    units = metrics.unit_errors(frame, methods, truth, t.keys)
+    domains = units.groupBy(t.keys.domain, "method").agg(F.avg("mae").alias("unit_macro_mae"))
+    rows = [cert]
+    for name in ("fixed_shift", "protected_state"):
+        contrast = metrics.domain_contrast(domains, "guarded", name, t.keys)
+        rows.append(
+            contrast.agg(
+                F.avg("difference").alias(f"minus_{name}"),
+                F.count_if(F.col("difference") < -TOLERANCE).alias(f"wins_{name}"),
+                F.count_if(F.col("difference") > TOLERANCE).alias(f"losses_{name}"),
+            )
+        )
+    merged = rows[0]
+    for row in rows[1:]:
+        merged = merged.unionByName(row, allowMissingColumns=True)
+    one = merged.agg(*[F.max(c).alias(c) for c in merged.columns])
+    gates = {
+        "beats_shift": F.col("minus_fixed_shift") < 0,
+        "beats_state": F.col("minus_protected_state") < 0,
+        "budget_held": F.col("maximum_displacement") <= budget + TOLERANCE,
+        "non_increasing": F.col("maximum_increase") <= TOLERANCE,
+    }
+    return one.select("*", *decision_verdict(gates))
+
+
+def offline_frontier(t: Trajectories, budgets: list[float], truth: str = "truth") -> DataFrame:
+    """Retrospective arm: offline monotone fits of both predictions, capped per budget."""
+    base = monotone_projection(t, "raw_baseline", "offline_state")
+    both = monotone_projection(t.with_frame(base), "raw_candidate", "offline_candidate")
+    return budget_frontier(both, "offline_state", "offline_candidate", budgets, truth, t.keys)
+
+
+def component_attribution(domains: DataFrame, full: str, ablated: list[str], keys: Keys = Keys()) -> DataFrame:
+    """Loss of each ablated variant against the full method, per variant over domains."""
+    pick = lambda m: F.max(F.when(F.col("method") == m, F.col("unit_macro_mae")))
+    wide = domains.groupBy(keys.domain).agg(pick(full).alias("_full"), *[pick(a).alias(a) for a in ablated])
+    rows = [
+        F.struct(F.lit(a).alias("variant"), (F.col(a) - F.col("_full")).alias("difference"))
+        for a in ablated
+    ]
+    long = wide.select(keys.domain, F.inline(F.array(*rows)))
+    return metrics.contrast_summary(long, ["variant"])
+
+
+def monotonicity_arms(t: Trajectories, *, alpha: float, budget: float, allowance: float) -> Trajectories:
+    """Pointwise tube, strict guard and bounded recovery side by side."""
+    strict = guard(t, alpha=alpha, budget=budget)
+    strict = strict.with_frame(
+        strict.frame.withColumn("pointwise", pointwise_tube("protected_state", "raw_candidate", budget))
+    )
+    return recover(strict, alpha=alpha, budget=budget, allowance=allowance)
+
+
+def backbone_portability(
+    t: Trajectories, backbones: dict[str, tuple[str, str]], *, alpha: float, budget: float,
+    truth: str = "truth",
+) -> DataFrame:
+    """The same guard on several (baseline, candidate) pairs: state and guard error per backbone.
+
+    Backbones become part of the domain key, so one job guards all of them side by side.
+    """
+    pairs = [
+        F.struct(F.lit(n).alias("backbone"), F.col(b).alias("raw_baseline_"), F.col(c).alias("raw_candidate_"))
+        for n, (b, c) in backbones.items()
+    ]
+    long = t.frame.withColumn("_p", F.explode(F.array(*pairs))).select(
+        *t.keys.record, truth, *[c for c in t.part if c not in t.keys.group],
+        F.col("_p.backbone").alias("backbone"), F.col("_p.raw_baseline_").alias("raw_baseline"),
+        F.col("_p.raw_candidate_").alias("raw_candidate"),
+    ).withColumn("fold", F.concat_ws(">", "backbone", t.keys.domain))
+    runs = Trajectories(long, replace(t.keys, domain="fold"), t.longest, t.cut)
+    done = guard(runs, alpha=alpha, budget=budget).frame
+    units = done.groupBy("backbone", *t.keys.group).agg(
+        F.avg(F.abs(F.col("protected_state") - F.col(truth))).alias("state"),
+        F.avg(F.abs(F.col("guarded") - F.col(truth))).alias("guard"),
+    )
+    domains = units.groupBy("backbone", t.keys.domain).agg(
+        F.avg("state").alias("state"), F.avg("guard").alias("guard")
+    )
+    return domains.groupBy("backbone").agg(
+        F.avg("state").alias("state_mae"), F.avg("guard").alias("guard_mae"),
+        *metrics.win_tie_loss(F.col("guard") - F.col("state")),
+    )
+
+
+def recomputation_audit(
+    records: DataFrame, saved: DataFrame, method: str, truth: str = "truth", keys: Keys = Keys(),
+    tolerance: float = 1e-12,
+) -> DataFrame:
+    """Rebuild unit errors from the ledger and compare with a saved table, key by key."""
+    error = F.avg(F.abs(F.col(method) - F.col(truth)))
+    fresh = records.groupBy(*keys.group).agg(error.alias("mae"))
+    return compare_tables(fresh, saved, keys.group, ["mae"], tolerance)
+
+
+def robustness(contrasts: DataFrame, keys: Keys = Keys()) -> DataFrame:
+    """Per contrast: mean, leave-one-out range, exact sign flip and wins/ties/losses."""
+    n, total = F.count(F.lit(1)), F.sum("difference")
+    spread = contrasts.groupBy("contrast_id").agg(
+        F.avg("difference").alias("mean_difference"),
+        ((total - F.max("difference")) / (n - 1)).alias("leave_one_out_low"),
+        ((total - F.min("difference")) / (n - 1)).alias("leave_one_out_high"),
+        F.percentile("difference", 0.5).alias("median_difference"),
+        *metrics.win_tie_loss(),
+    )
+    return spread.join(inference.sign_flip(contrasts), "contrast_id")
+
+
+def arms_through_guard(
+    t: Trajectories, arms: dict[str, str], *, alpha: float, budget: float, truth: str = "truth"
+) -> DataFrame:
+    """Each arm's prediction as candidate of the same guard; unit-macro error per domain and arm."""
+    done = causal_state(t, alpha=alpha)
+    for name, column in arms.items():
+        done = project(done, candidate=column, out=f"guard_{name}", budget=budget)
+    units = metrics.unit_errors(done.frame, [f"guard_{a}" for a in arms], truth, t.keys)
+    return units.groupBy(t.keys.domain, "method").agg(F.avg("mae").alias("unit_macro_mae"))
