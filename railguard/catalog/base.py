@@ -51,10 +51,14 @@ METHODS = ["protected_state", "fixed_shift", "guarded", "raw_candidate"]
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction ledger on ``events``: domain = event type, unit = user within the type."""
+    return ledger_columns(table(spark, sf_dir, "events"))
+
+
+def ledger_columns(events: DataFrame) -> DataFrame:
+    """Ledger columns of an events table or stream."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     return (
-        table(spark, sf_dir, "events")
-        .select("event_id", "user_id", "event_type", "value", micros.alias("us"))
+        events.select("event_id", "user_id", "event_type", "value", micros.alias("us"))
         .withColumn("day", F.expr(_DAY.format(us="us")))
         .select(
             F.col("event_type").alias("domain"),
