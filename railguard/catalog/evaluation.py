@@ -648,3 +648,22 @@ def a33(spark, d):
     return rounded(budget_frontier(guarded(spark, d).frame, "protected_state", "raw_candidate", _BUDGETS))
 
 
+
+
+@query(
+    "D2_ledger_sink",
+    with_metrics(" SELECT domain, method, units, round(unit_macro_mae, 9) AS unit_macro_mae FROM dm"),
+)
+def d2(spark, d):
+    """Prediction ledger as Parquet and metrics as CSV, both read back under their schema."""
+    from railguard.session import scratch_path
+    from railguard.sources import sinks, tables
+
+    path = scratch_path(spark, "ledger")
+    t = guarded(spark, d)
+    predictions = t.frame.drop(*[c for c in t.part if c not in t.keys.group])
+    sinks.write_ledger(predictions, {"domains": rounded(metrics.domain_summary(
+        metrics.unit_metrics(t, METHODS)
+    )).select("domain", "method", "units", "unit_macro_mae")}, path)
+    schema = "domain string, method string, units bigint, unit_macro_mae double"
+    return tables.read_csv(spark, f"{path}/domains", schema)

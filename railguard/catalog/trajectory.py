@@ -276,28 +276,34 @@ def t12(spark, d):
 
 
 _RISE = "CASE WHEN ordinal % 5 = 0 THEN 0.01e0 ELSE 0.002e0 END"
-_RECOVERY = f"""
+def recovery_sql(rise: str) -> str:
+    """CTE ``rs`` with the recovery state b and output p for an allowance expression."""
+    later = rise.replace("ordinal", "l.ordinal")
+    return f"""
 rs AS (
   SELECT domain, unit, rn, least(greatest(raw_baseline, 0e0), 1.3e0) AS b,
          least(greatest(raw_candidate,
                         greatest(0e0, least(greatest(raw_baseline, 0e0), 1.3e0) - {BUDGET}e0)),
                greatest(greatest(0e0, least(greatest(raw_baseline, 0e0), 1.3e0) - {BUDGET}e0),
                         least(1.3e0, least(greatest(raw_baseline, 0e0), 1.3e0) + {BUDGET}e0,
-                              1.3e0 + ({_RISE})))) AS p
+                              1.3e0 + ({rise})))) AS p
   FROM led WHERE rn = 1
   UNION ALL
   SELECT domain, unit, rn, b,
          least(greatest(c, greatest(0e0, b - {BUDGET}e0)),
                greatest(greatest(0e0, b - {BUDGET}e0), least(1.3e0, b + {BUDGET}e0, p0 + rise))) AS p
   FROM (
-    SELECT l.domain, l.unit, l.rn, l.raw_candidate AS c, s.p AS p0, ({_RISE.replace('ordinal', 'l.ordinal')}) AS rise,
+    SELECT l.domain, l.unit, l.rn, l.raw_candidate AS c, s.p AS p0, ({later}) AS rise,
       least(greatest(s.b + CASE WHEN l.raw_baseline - s.b <= 0 THEN {ALPHA}e0 * (l.raw_baseline - s.b)
-            ELSE least(l.raw_baseline - s.b, {_RISE.replace('ordinal', 'l.ordinal')}) END, 0e0), 1.3e0) AS b
+            ELSE least(l.raw_baseline - s.b, {later}) END, 0e0), 1.3e0) AS b
     FROM rs s JOIN led l ON l.domain = s.domain AND l.unit = s.unit AND l.rn = s.rn + 1
   )
 )"""
 
 
+_RECOVERY = recovery_sql(_RISE)
+
+
 def _recovered(spark, d):
     return recover(trajectories(spark, d), alpha=ALPHA, budget=BUDGET, allowance=F.expr(_RISE))
 
@@ -341,23 +347,23 @@ def t14_window(spark, d):
     return t.frame.select(*KEYS, F.round("recovered", 9).alias("recovered"))
 
 
+def isotonic_sql(name: str, source: str, column: str) -> str:
+    """CTE ``name`` (domain, unit, rn, f): min over starts of max over ends of segment means."""
+    return f"""
+{name}_c AS (SELECT *, sum({column}) OVER (PARTITION BY domain, unit ORDER BY rn) AS cs FROM {source}),
+{name}_s AS (
+  SELECT e.domain, e.unit, s.rn AS s, e.rn AS e, (e.cs - s.cs + s.{column}) / (e.rn - s.rn + 1) AS mean
+  FROM {name}_c s JOIN {name}_c e ON s.domain = e.domain AND s.unit = e.unit AND e.rn >= s.rn),
+{name}_b AS (SELECT *, max(mean) OVER (PARTITION BY domain, unit, s ORDER BY e DESC) AS far FROM {name}_s),
+{name} AS (SELECT domain, unit, e AS rn, least(greatest(min(far), 0e0), 1.3e0) AS f FROM {name}_b GROUP BY ALL)"""
+
+
 @query(
     "T15_monotone_projection",
-    with_ledger(""", cum AS (
-  SELECT *, sum(raw_baseline) OVER (PARTITION BY domain, unit ORDER BY rn) AS cs FROM led
-), seg AS (
-  SELECT e.domain, e.unit, s.rn AS s, e.rn AS e,
-         (e.cs - s.cs + s.raw_baseline) / (e.rn - s.rn + 1) AS mean
-  FROM cum s JOIN cum e ON s.domain = e.domain AND s.unit = e.unit AND e.rn >= s.rn
-), best AS (
-  SELECT domain, unit, s, e,
-         max(mean) OVER (PARTITION BY domain, unit, s ORDER BY e DESC) AS far FROM seg
-), fit AS (
-  SELECT domain, unit, e AS rn, min(far) OVER (PARTITION BY domain, unit, e) AS f,
-         s FROM best
-)
-SELECT l.domain, l.unit, l.ordinal, round(least(greatest(f, 0e0), 1.3e0), 9) AS isotonic
-FROM led l JOIN (SELECT DISTINCT domain, unit, rn, f FROM fit) USING (domain, unit, rn)"""),
+    with_ledger(
+        " SELECT l.domain, l.unit, l.ordinal, round(f, 9) AS isotonic FROM led l JOIN iso USING (domain, unit, rn)",
+        isotonic_sql("iso", "led", "raw_baseline"),
+    ),
 )
 def t15(spark, d):
     f = monotone_projection(trajectories(spark, d), "raw_baseline")
@@ -524,7 +530,27 @@ def t22(spark, d):
     return audits.prefix_replay(trajectories(spark, d), alpha=ALPHA, budget=BUDGET)
 
 
-@query("T23_future_revision", None)
+_FRACTIONS = (0.25, 0.5, 0.75)
+_PREFIXES = ",".join(
+    f"""
+pf{i} AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY domain, unit) AS n FROM led) WHERE rn <= greatest(1, floor(n * {f}e0))),
+{isotonic_sql(f'pi{i}', f'pf{i}', 'raw_candidate').strip()}"""
+    for i, f in enumerate(_FRACTIONS)
+)
+
+
+@query(
+    "T23_future_revision",
+    with_ledger(
+        ", u AS ("
+        + " UNION ALL ".join(
+            f"SELECT {f}e0 AS prefix_fraction, domain, unit, max(abs(p.f - a.f)) AS gap FROM pi{i} p JOIN pa a USING (domain, unit, rn) GROUP BY ALL"
+            for i, f in enumerate(_FRACTIONS)
+        )
+        + """) SELECT domain, prefix_fraction, count(*) AS units, 0e0 AS causal_revised, round(avg((gap > 1e-4)::INT), 9) AS offline_revised FROM u GROUP BY ALL""",
+        isotonic_sql("pa", "led", "raw_candidate"), _PREFIXES,
+    ),
+)
 def t23(spark, d):
     f = audits.future_revision(trajectories(spark, d), "raw_candidate", alpha=ALPHA, budget=BUDGET)
     return f.select(

@@ -10,7 +10,9 @@ from railguard.catalog.base import (
 )
 from railguard.catalog.evaluation import domain_table, rounded, with_metrics
 from railguard.catalog.inference import _B5, _UNITS, domain_contrasts
-from railguard.catalog.trajectory import RECOVERY_GRID, _RECOVERY_GRID
+from railguard.catalog.trajectory import (
+    RECOVERY_GRID, _RECOVERY_GRID, isotonic_sql, recovery_sql,
+)
 from railguard.operators import metrics
 from railguard.plans import workflows
 
@@ -224,7 +226,19 @@ def e7(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("mae", "strict_mae")})
 
 
-@query("E8_offline_frontier", None)
+_CAPPED = "s + least(greatest(c - s, -budget), budget)"
+
+
+@query(
+    "E8_offline_frontier",
+    with_ledger(f""", jo AS (SELECT domain, unit, truth, bs.f AS s, cs.f AS c FROM led JOIN bs USING (domain, unit, rn) JOIN cs USING (domain, unit, rn)),
+ u AS (SELECT domain, unit, budget, avg(abs({_CAPPED} - truth)) AS m, avg(abs({_CAPPED} - truth)) - avg(abs(s - truth)) AS g, max(abs({_CAPPED} - s)) AS moved
+   FROM jo, (VALUES {_B}) v(budget) GROUP BY ALL),
+ dd AS (SELECT budget, domain, avg(m) AS m, max(g) AS ug, avg(g) AS dg, max(moved) AS moved FROM u GROUP BY ALL)
+ SELECT budget, round(avg(m), 9) AS domain_equal_mae, round(max(ug), 9) + 0e0 AS maximum_unit_harm, round(max(dg), 9) + 0e0 AS maximum_domain_harm,
+   round(max(moved), 9) AS maximum_displacement FROM dd GROUP BY budget""",
+        isotonic_sql("bs", "led", "raw_baseline"), isotonic_sql("cs", "led", "raw_candidate")),
+)
 def e8(spark, d):
     return rounded(workflows.offline_frontier(trajectories(spark, d), BUDGETS))
 
@@ -292,7 +306,18 @@ def e14(spark, d):
     return audit.groupBy("domain", "status").agg(F.count(F.lit(1)).alias("units"))
 
 
-@query("E15_monotonicity_ablation", None)
+@query(
+    "E15_monotonicity_ablation",
+    with_guarded(f""", ar AS (SELECT gd.domain, gd.unit, gd.rn, guarded, rs.p AS recovered,
+   least(greatest(raw_candidate, greatest(0e0, protected_state - {BUDGET}e0)), least(1.3e0, protected_state + {BUDGET}e0)) AS pointwise
+  FROM gd JOIN rs USING (domain, unit, rn)),
+ tl AS (UNPIVOT ar ON pointwise, guarded, recovered INTO NAME method VALUE v),
+ mv AS (SELECT *, v - lag(v) OVER (PARTITION BY domain, unit, method ORDER BY rn) AS move FROM tl),
+ u AS (SELECT domain, unit, method, count(*) FILTER (move > 1e-12) AS p, count(move) AS t, max(move) AS h FROM mv GROUP BY ALL)
+ SELECT method, sum(p)::BIGINT AS positive_transitions, sum(t)::BIGINT AS total_transitions, round(sum(p) / sum(t), 9) AS positive_fraction,
+   count(*) FILTER (p > 0) AS affected_units, round(greatest(max(h), 0e0), 9) AS maximum_increase, NULL::DOUBLE AS maximum_envelope_excess FROM u GROUP BY method""",
+        recovery_sql("0.002e0")),
+)
 def e15(spark, d):
     arms = workflows.monotonicity_arms(
         trajectories(spark, d), alpha=ALPHA, budget=BUDGET, allowance=0.002
