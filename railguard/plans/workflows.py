@@ -18,6 +18,7 @@ from railguard.operators.isotonic import monotone_projection
 from railguard.operators.joins import compare_tables
 from railguard.operators.layout import Keys, Trajectories
 from railguard.operators.quantiles import weighted_median
+from railguard.session import durable
 from railguard.operators.selection import argmin_with_ties, excluded_pairs, grid_scores, nested_selection
 
 
@@ -193,7 +194,10 @@ def budget_path(t: Trajectories, alphas: list[float], budgets: list[float],
 
 def _exact_shift_control(t, alphas, budgets, truth) -> DataFrame:
     keys = t.keys
-    states = state_grid(t, alphas).frame
+    # Three steps below read the states; the ordered pass behind them runs once.
+    states = durable(
+        state_grid(t, alphas).frame.select(*keys.record, truth, "states")
+    )
     weights = metrics.row_weights(states.select(*keys.record, truth, "states"), keys)
     grid = F.array(*[F.lit(float(a)) for a in alphas])
     long = weights.select(

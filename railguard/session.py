@@ -28,8 +28,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once on shared storage so later plans start from files."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and continue from those files.
+
+    Cuts the lineage, survives lost executors and keeps later scans columnar and pruned.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -55,6 +55,10 @@ def header_candidates(lines: DataFrame) -> DataFrame:
     found = lines.filter(
         F.startswith("value", F.lit(HEADER_START)) & F.contains("value", F.lit(HEADER_MARK))
     )
+    # Candidates are a few lines per file.  Regrouping them by place keeps the tests on
+    # field names, which are costly, from being pushed down onto every line of every file.
+    place = [c for c in lines.columns if c != "value"]
+    found = found.groupBy(*place).agg(F.first("value").alias("value"))
     found = found.withColumn("delimiter", delimiter_of(F.col("value")))
     return found.withColumn(
         "fields",
