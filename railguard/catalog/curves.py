@@ -465,15 +465,37 @@ def s9(spark, d):
 
 @query(
     "S8_nested_units",
-    """SELECT conv_id, turn::INT AS turn, len(text) AS characters FROM conversations""",
+    """WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
+ SELECT 'unit_' || vec_id AS cell_id, (i // 16)::INT AS cycle_index, (i // 16 + 1)::INT AS cycle_number, max(v) AS highest, count(*)::INT AS points FROM x GROUP BY ALL""",
 )
 def s8(spark, d):
-    """Units as nested objects: turns packed per conversation, then exploded again."""
-    c = table(spark, d, "conversations")
-    turn = F.struct("turn", F.length("text").cast("bigint").alias("characters"))
-    units = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("cycle_data"))
-    out = nested.explode_cycles(units, ["conv_id"])
-    return out.select("conv_id", F.col("turn").cast("int").alias("turn"), "characters")
+    """Nested unit objects (four cycles of sixteen points each) stored, read and exploded."""
+    from railguard.session import scratch_path
+
+    values = F.transform("embedding", lambda v: v.cast("double"))
+
+    def cycle(i):
+        part = F.slice(values, i * 16 + 1, F.lit(16))
+        return F.struct(
+            (i + 1).cast("int").alias("cycle_number"),
+            *[part.alias(name) for name in nested.CYCLE_ARRAYS],
+        )
+
+    steps = F.array(F.struct(F.lit("0.5").alias("rate_in_C")))
+    units = table(spark, d, "embeddings").select(
+        F.concat(F.lit("unit_"), F.col("vec_id").cast("string")).alias("cell_id"),
+        F.lit(1.1).alias("nominal_capacity_in_Ah"),
+        steps.alias("charge_protocol"), steps.alias("discharge_protocol"),
+        F.array(F.lit(0.0), F.lit(1.0)).alias("SOC_interval"),
+        F.transform(F.sequence(F.lit(0), F.lit(3)), cycle).alias("cycle_data"),
+    )
+    path = scratch_path(spark, "units")
+    sinks.write_parquet(units, path)
+    cycles = nested.explode_cycles(nested.read_units(spark, path), ["cell_id"])
+    return cycles.select(
+        "cell_id", "cycle_index", "cycle_number",
+        F.array_max("voltage_in_V").alias("highest"), F.size("voltage_in_V").alias("points"),
+    )
 
 
 # --- sinks -------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from railguard.functions.columns import TOLERANCE
 from railguard.functions.draws import uniform_index
+from railguard.operators.ordering import numbered_by_range
 
 MAX_DOMAINS = 10_000
 MAX_SIGN_FLIP = 24
@@ -88,9 +89,9 @@ def cluster_bootstrap(contrasts: DataFrame, reps: int = 100_000, seed: int = 17,
 
 def indexed_units(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Units numbered inside their domain, and one row per domain with its position and size."""
-    w = Window.partitionBy("contrast_id", "domain").orderBy("unit")
-    numbered = units.withColumn("i", F.row_number().over(w) - 1)
-    sizes = units.groupBy("contrast_id", "domain").agg(F.count(F.lit(1)).alias("m"))
+    # A domain may hold most units, so numbering must not gather it in one task.
+    numbered = numbered_by_range(units, ["contrast_id", "domain"], "unit", "i")
+    sizes = numbered.groupBy("contrast_id", "domain").agg(F.count(F.lit(1)).alias("m"))
     by_contrast = Window.partitionBy("contrast_id")
     sizes = sizes.withColumns(
         {

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from railguard.operators.layout import PIECE, Keys, Trajectories
+from railguard.session import durable
 
 _CARRY = "_carry_"
 
@@ -117,6 +118,34 @@ def first_records_median(
     )
 
 
+def numbered_by_range(df: DataFrame, group: list[str], order: str, out: str) -> DataFrame:
+    """0-based number of each row inside its group, whatever the group's size or key type.
+
+    Rows are spread by range, written once, and numbered per stored slice; the counts of
+    earlier slices are added.  No task orders more than its own slice.
+    """
+    columns = [*group, order]
+    sliced = durable(
+        df.repartitionByRange(*[F.col(c) for c in columns]).withColumn(
+            "_slice", F.spark_partition_id()
+        )
+    )
+    sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = (
+        Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = sizes.select(
+        *group, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
+    )
+    local = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(order)) - 1
+    return (
+        sliced.withColumn("_local", local)
+        .join(offsets, [*group, "_slice"])
+        .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
+        .drop("_local", "_offset", "_slice")
+    )
+
+
 def with_occurrence_id(t: Trajectories, prefix: str = "EXT") -> Trajectories:
     """0-based ordinal of a row within its key plus a zero-padded synthetic record id."""
     ranked = with_rank(t, "within_key_ordinal").frame
