@@ -460,7 +460,9 @@ def s9(spark, d):
         keyed.select("source", "vec_id", "cycle_index", "sort_key").withColumn("o", F.lit(0)),
         Keys(domain="source", unit="vec_id", order=("o", "sort_key")),
     )
-    return with_rank(t, "place").frame.select("vec_id", "cycle_index", "place")
+    return with_rank(t, "place").frame.select(
+        "vec_id", F.col("cycle_index").cast("bigint").alias("cycle_index"), "place"
+    )
 
 
 @query(
