@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +38,22 @@ def durable(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Clusters usually pass ``--py-files``; doing it here keeps queries usable from any
+    working folder.
+    """
+    context = spark.sparkContext
+    name = f"railguard-{context.applicationId}.zip"
+    if name in _SHIPPED:
+        return
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / name
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(name)
