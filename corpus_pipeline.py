@@ -6,9 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from railguard.llm.decontaminate import contamination
 from railguard.llm.packing import pack
+from railguard.llm.quality import judged
+from railguard.llm.secrets import redact_documents
 from railguard.llm.simhash import deduplicate
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the boosted trees reject go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judged(spark, docs, labels, docs.columns).filter("kept").select("row.*")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
     return deduplicate(docs)
@@ -21,14 +29,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("NOT contaminated").select("row.*")
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; every document stays."""
+    return redact_documents(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixture-controlled sequences of at most 1024 tokens."""
     return pack(docs).drop("source", "ids")
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("decontaminate", decontaminate),
+    ("secret_scan", secret_scan),
     ("packing", packed),
 ]
 
