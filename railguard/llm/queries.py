@@ -6,13 +6,23 @@ from railguard.llm.decontaminate import OP1_SQL, op1_decontaminate
 from railguard.llm.langid import op5_langid
 from railguard.llm.packing import op3_packing
 from railguard.llm.quality import op6_quality
+from railguard.llm.scoring import op7_scoring
 from railguard.llm.secrets import op10_secrets
 from railguard.llm.simhash import op4_simhash
 from railguard.llm.urls import OP2_SQL, op2_urls
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_urls, op3_packing, op4_simhash, op5_langid, op6_quality, op10_secrets)
+    for f in (
+        op1_decontaminate,
+        op2_urls,
+        op3_packing,
+        op4_simhash,
+        op5_langid,
+        op6_quality,
+        op7_scoring,
+        op10_secrets,
+    )
 }
 
 ORACLES = {"op1_decontaminate": OP1_SQL, "op2_urls": OP2_SQL}
