@@ -9,6 +9,7 @@ from railguard.llm.quality import op6_quality
 from railguard.llm.scoring import op7_scoring
 from railguard.llm.secrets import op10_secrets
 from railguard.llm.simhash import op4_simhash
+from railguard.llm.substrings import op9_substrings
 from railguard.llm.urls import OP2_SQL, op2_urls
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
         op5_langid,
         op6_quality,
         op7_scoring,
+        op9_substrings,
         op10_secrets,
     )
 }
