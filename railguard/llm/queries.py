@@ -5,6 +5,7 @@ from __future__ import annotations
 from railguard.llm.decontaminate import OP1_SQL, op1_decontaminate
 from railguard.llm.langid import op5_langid
 from railguard.llm.packing import op3_packing
+from railguard.llm.pii import op8_pii
 from railguard.llm.quality import op6_quality
 from railguard.llm.scoring import op7_scoring
 from railguard.llm.secrets import op10_secrets
@@ -22,6 +23,7 @@ QUERIES = {
         op5_langid,
         op6_quality,
         op7_scoring,
+        op8_pii,
         op9_substrings,
         op10_secrets,
     )
