@@ -39,6 +39,8 @@ BLOCK_WINDOWS = 1024
 #: A source is served at least so many tokens at a time, so that documents are not shredded.
 LEAST_PIECE = 256
 END_ID = 0
+#: Queue starts (two numbers, a source, a task) are broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
 #: sequence_id = round * this + window; a round has far fewer windows.
 WINDOWS_PER_ROUND_ID = 1 << 20
 
@@ -219,6 +221,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, block_windows: int = BL
         .withColumn("tokens", F.sum("n").over(Window.partitionBy("source")))
         .select(F.col("task").alias("t"), F.col("source").alias("s"), "base", "tokens")
     )
+    # A row per task and source: broadcast while it is small, else joined by a shuffle.
+    placed = durable(placed)
+    if placed.count() <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
     total = done.agg(F.sum("n")).first()[0] or 0
     rounds = max(1, round(total / (block_windows * WINDOW_TOKENS)))
     joined = done.join(placed, (F.col("task") == F.col("t")) & F.col("row.source").eqNullSafe(F.col("s"))).select(
