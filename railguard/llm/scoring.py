@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from railguard.llm.attention import Model, train, windows
+from railguard.llm.attention import KEYS, SCORED, Model, train, windows
 from railguard.llm.common import fold, map_documents, slices, utf8
 from railguard.llm.packing import default_vocabulary
 from railguard.llm.tokens import load_encoding
@@ -146,8 +146,8 @@ def sample_windows(training: DataFrame, vocabulary: str) -> tuple[np.ndarray, np
         .limit(SAMPLE_DOCS * WINDOWS_PER_DOC)
         .collect()
     )
-    shape = lambda c: np.array([r[c] for r in rows], np.int64).reshape(len(rows), -1)
-    return shape("x"), shape("y")
+    x, y = (np.array([r[c] for r in rows], np.int64) for c in ("x", "y"))
+    return x.reshape(-1, KEYS), y.reshape(-1, SCORED)
 
 
 def scored(docs: DataFrame, training: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ Three fixed kinds of spans are found by pattern. Further candidates are strings
 context (a key or credential word before them). A candidate's novelty is the number of bytes
 it adds to the compressed text around it, with a compressor primed by common identifiers:
 names, words and repeated strings add little, random strings add about their length. Those
-that add nearly all their bytes are reported as ``novel``.
+that add most of their bytes are reported as ``novel``.
 
 Cases: null or empty text has no spans; a span found by a fixed pattern is never reported
 again as novel; equal starts are ordered assign, access, hex, novel; repeated rows are
@@ -44,8 +44,8 @@ CANDIDATE = re.compile(
 #: Bytes before and after a candidate that it is compressed with.
 AROUND = 256
 #: A candidate is novel if it adds this share of its bytes at least, and so many bytes.
-NOVEL_SHARE = 0.8
-NOVEL_BYTES = 16
+NOVEL_SHARE = 0.6
+NOVEL_BYTES = 12
 #: A random string mixes its characters: distinct ones needed, and digits among them.
 NOVEL_DISTINCT = 10
 
