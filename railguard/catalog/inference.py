@@ -9,7 +9,7 @@ from railguard.catalog.evaluation import with_metrics
 from railguard.functions.draws import uniform_index_sql
 from railguard.operators import inference, metrics
 
-REPS, SEED = 400, 17
+REPS, SEED = 100_000, 17
 CONTRASTS = {"guarded-fixed_shift": ("guarded", "fixed_shift"),
              "guarded-protected_state": ("guarded", "protected_state"),
              "raw_candidate-guarded": ("raw_candidate", "guarded")}
@@ -65,7 +65,7 @@ _B2 = f"""
 , un AS (SELECT *, row_number() OVER (PARTITION BY contrast_id, domain ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY contrast_id, domain) AS m FROM cu),
  sz AS (SELECT DISTINCT un.contrast_id, un.domain, m, d, n FROM un JOIN ix USING (contrast_id, domain)),
  sl AS (SELECT contrast_id, rep, slot, {uniform_index_sql('n', SEED, 'rep', 'slot')} AS d
-   FROM (SELECT DISTINCT contrast_id, n FROM ix), range({REPS // 4}) r(rep), LATERAL (SELECT unnest(range(n)) AS slot)),
+   FROM (SELECT DISTINCT contrast_id, n FROM ix), range({REPS}) r(rep), LATERAL (SELECT unnest(range(n)) AS slot)),
  dw AS (SELECT contrast_id, rep, slot, domain, {uniform_index_sql('m', SEED + 1, 'rep', 'slot', 'j')} AS i
    FROM (SELECT sl.*, sz.domain, sz.m FROM sl JOIN sz USING (contrast_id, d)), LATERAL (SELECT unnest(range(m)) AS j)),
  ms AS (SELECT contrast_id, rep, slot, avg(difference) AS mean FROM dw JOIN un USING (contrast_id, domain, i) GROUP BY ALL),
@@ -78,14 +78,14 @@ _B2 = f"""
       FROM rp JOIN pt USING (contrast_id) GROUP BY contrast_id, point""", _UNITS),
 )
 def b2(spark, d):
-    return _nine(inference.two_stage_bootstrap(unit_contrasts(spark, d), REPS // 4, SEED))
+    return _nine(inference.two_stage_bootstrap(unit_contrasts(spark, d), REPS, SEED))
 
 
 _B3 = f"""
 , un AS (SELECT *, row_number() OVER (PARTITION BY contrast_id, domain ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY contrast_id, domain) AS m FROM cu),
  sz AS (SELECT DISTINCT un.contrast_id, un.domain, m, d FROM un JOIN ix USING (contrast_id, domain)),
  dw AS (SELECT contrast_id, rep, domain, {uniform_index_sql('m', SEED, 'rep', 'j', 'd')} AS i
-   FROM sz, range({REPS // 4}) r(rep), LATERAL (SELECT unnest(range(m)) AS j)),
+   FROM sz, range({REPS}) r(rep), LATERAL (SELECT unnest(range(m)) AS j)),
  rp AS (SELECT contrast_id, domain, rep, avg(difference) AS r FROM dw JOIN un USING (contrast_id, domain, i) GROUP BY ALL)"""
 
 
@@ -95,7 +95,7 @@ _B3 = f"""
       FROM rp JOIN cd USING (contrast_id, domain) GROUP BY contrast_id, domain, difference""", _UNITS),
 )
 def b3(spark, d):
-    return _nine(inference.unit_bootstrap(unit_contrasts(spark, d), REPS // 4, SEED))
+    return _nine(inference.unit_bootstrap(unit_contrasts(spark, d), REPS, SEED))
 
 
 @query(
@@ -129,7 +129,7 @@ _B6 = """
 , wt AS (SELECT contrast_id, count(*) FILTER (difference < -1e-12) AS wins, count(*) FILTER (abs(difference) <= 1e-12) AS ties,
    count(*) FILTER (difference > 1e-12) AS losses FROM cd GROUP BY ALL),
  sp AS (SELECT contrast_id, wins, ties, losses, CASE WHEN wins + losses > 0 THEN least(1e0, 2e0 *
-   (SELECT sum(factorial((wins + losses)::INT)::DOUBLE / (factorial(k::INT) * factorial((wins + losses - k)::INT))) FROM range(64) r(k) WHERE k <= least(wins, losses)) / pow(2e0, wins + losses)) END AS sign_p FROM wt)"""
+   (SELECT sum(factorial((wins + losses)::INT)::DOUBLE / (factorial(k::INT) * factorial((wins + losses - k)::INT))) FROM range(64) r(k) WHERE k <= least(wins, losses)) / pow(2e0, wins + losses)) ELSE 1e0 END AS sign_p FROM wt)"""
 
 
 @query(

@@ -6,6 +6,7 @@ replicates and any engine with 64-bit integers gives the same numbers.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # A Mersenne prime and multipliers; x -> x**5 permutes residues modulo it.
@@ -33,3 +34,14 @@ def uniform_index_sql(size: str, seed: int, *parts: str) -> str:
     square = f"(({x} * {x}) % {MODULUS})"
     mixed = f"(((({square} * {square}) % {MODULUS}) * {x}) % {MODULUS})"
     return f"((({mixed} * {MULTIPLIER}) % {MODULUS}) % {size})"
+
+
+def uniform_index_array(size: int, seed: int, *parts: np.ndarray | int) -> np.ndarray:
+    """The same draw for whole arrays of positions (which broadcast against each other)."""
+    x = np.int64(seed * 104729 + 1)
+    for step, part in zip(STEPS, parts):
+        x = x + np.int64(step) * np.asarray(part, np.int64)
+    x = x % MODULUS
+    square = (x * x) % MODULUS
+    mixed = (((square * square) % MODULUS) * x) % MODULUS
+    return ((mixed * MULTIPLIER) % MODULUS) % size

@@ -7,14 +7,22 @@ checked and a larger one fails instead of being collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from railguard.functions.columns import TOLERANCE
-from railguard.functions.draws import uniform_index
+from railguard.functions.draws import uniform_index, uniform_index_array
 from railguard.operators.ordering import numbered_by_range
 
 MAX_DOMAINS = 10_000
 MAX_SIGN_FLIP = 24
+#: Units of a contrast that are held as one row (8 MB); larger contrasts join their draws.
+ARRAY_UNITS = 1_000_000
+#: Draws that a task makes at a time.
+DRAWS_HELD = 1 << 20
 BLOCK = 256
 
 # Two-sided 95% critical values of Student's t for 1 to 30 degrees of freedom.
@@ -27,19 +35,17 @@ T_CRITICAL_95 = [
 
 
 def contrast_arrays(contrasts: DataFrame, limit: int = MAX_DOMAINS) -> DataFrame:
-    """One row per contrast: differences sorted by domain as ``values``, with ``n``."""
+    """One row per contrast: differences sorted by domain as ``values``, with ``n``.
+
+    Sizes are counted and checked first; only then are the domains of a contrast collected.
+    """
     packed = F.array_sort(F.collect_list(F.struct("domain", "difference")))
     counted = contrasts.groupBy("contrast_id").agg(F.count(F.lit(1)).alias("n"))
-    checked = counted.withColumn(
-        "n",
-        F.when(F.col("n") <= limit, F.col("n")).otherwise(
-            F.raise_error(F.lit(f"a contrast has more than {limit} domains")).cast("bigint")
-        ),
-    )
-    rows = contrasts.groupBy("contrast_id").agg(packed.alias("_p"))
-    return checked.join(rows, "contrast_id").select(
-        "contrast_id", "n", F.transform("_p", lambda s: s["difference"]).alias("values")
-    )
+    largest = counted.agg(F.max("n")).first()[0] or 0
+    if largest > limit:
+        raise ValueError(f"a contrast has {largest} domains, at most {limit} fit one row")
+    rows = contrasts.groupBy("contrast_id").agg(F.count(F.lit(1)).alias("n"), packed.alias("_p"))
+    return rows.select("contrast_id", "n", F.transform("_p", lambda s: s["difference"]).alias("values"))
 
 
 def _replicates(df: DataFrame, reps: int, ids: list[str]) -> DataFrame:
@@ -126,27 +132,112 @@ def two_stage_replicates(units: DataFrame, reps: int, seed: int) -> DataFrame:
     return means.groupBy("contrast_id", "rep").agg(F.avg("mean").alias("replicate"))
 
 
+def unit_arrays(units: DataFrame) -> DataFrame | None:
+    """Per contrast the differences of its units, a list per domain, both in order.
+
+    None when a contrast has more than ``ARRAY_UNITS`` units: then draws are joined instead.
+    """
+    counted = units.groupBy("contrast_id").agg(F.count(F.lit(1)).alias("n"))
+    if (counted.agg(F.max("n")).first()[0] or 0) > ARRAY_UNITS:
+        return None
+    pick = lambda name: lambda s: s[name]
+    domains = units.groupBy("contrast_id", "domain").agg(
+        F.array_sort(F.collect_list(F.struct("unit", "difference"))).alias("_u")
+    )
+    listed = domains.select(
+        "contrast_id", F.struct("domain", F.transform("_u", pick("difference")).alias("values")).alias("_d")
+    )
+    rows = listed.groupBy("contrast_id").agg(F.array_sort(F.collect_list("_d")).alias("_d"))
+    return rows.select(
+        "contrast_id", F.transform("_d", pick("domain")).alias("domains"), F.transform("_d", pick("values")).alias("values")
+    )
+
+
+def _resampled(arrays: DataFrame, reps: int, draw, by_domain: bool) -> DataFrame:
+    """Replicates of every contrast (and domain) by ``draw(values, reps)``, a block per row."""
+    names = ["contrast_id", *["domain"] * by_domain, "replicate"]
+    kind = arrays.schema["contrast_id"].dataType.simpleString()
+    schema = f"contrast_id {kind}, " + "domain string, " * by_domain + "replicate double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (contrast, block) in enumerate(zip(ids, blocks)):
+                values = [x.values.to_numpy() for x in batch.column(3)[i]]
+                domains = batch.column(2)[i].as_py()
+                numbers = np.arange(block * BLOCK, min((block + 1) * BLOCK, reps))
+                for d, out in draw(values, numbers):
+                    columns = [pa.array([contrast] * len(out)), *[pa.array([domains[d]] * len(out))] * by_domain]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=names)
+
+    blocks = arrays.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // BLOCK) - 1))))
+    dealt = blocks.select("contrast_id", "block", "domains", "values").repartition("contrast_id", "block")
+    return dealt.mapInArrow(run, schema)
+
+
+def _means(values: np.ndarray, seed: int, reps: np.ndarray, *position: int, last: int | None = None) -> np.ndarray:
+    """Mean of one resample of ``values`` per replicate, some replicates at a time."""
+    m = len(values)
+    out = np.empty(len(reps))
+    step = max(1, DRAWS_HELD // m)
+    for at in range(0, len(reps), step):
+        part = reps[at : at + step, None]
+        tail = () if last is None else (last,)
+        out[at : at + step] = values[uniform_index_array(m, seed, part, *position, np.arange(m), *tail)].mean(1)
+    return out
+
+
+def two_stage_by_arrays(arrays: DataFrame, reps: int, seed: int) -> DataFrame:
+    """Replicates of ``two_stage_replicates`` without a row per draw."""
+
+    def draw(values, numbers):
+        total = np.zeros(len(numbers))
+        for slot in range(len(values)):
+            picked = uniform_index_array(len(values), seed, numbers, slot)
+            for d in np.unique(picked):
+                rows = picked == d
+                total[rows] += _means(values[d], seed + 1, numbers[rows], slot)
+        yield 0, total / len(values)
+
+    return _resampled(arrays, reps, draw, False)
+
+
+def units_by_arrays(arrays: DataFrame, reps: int, seed: int) -> DataFrame:
+    def draw(values, numbers):
+        for d, own in enumerate(values):
+            yield d, _means(own, seed, numbers, last=d)
+
+    return _resampled(arrays, reps, draw, True)
+
+
 def two_stage_bootstrap(units: DataFrame, reps: int = 100_000, seed: int = 17, **kw) -> DataFrame:
     domains = units.groupBy("contrast_id", "domain").agg(F.avg("difference").alias("difference"))
     point = domains.groupBy("contrast_id").agg(F.avg("difference").alias("point"))
-    interval = percentile_interval(two_stage_replicates(units, reps, seed), ["contrast_id"], **kw)
-    return point.join(interval, "contrast_id")
+    arrays = unit_arrays(units)
+    drawn = two_stage_replicates(units, reps, seed) if arrays is None else two_stage_by_arrays(arrays, reps, seed)
+    return point.join(percentile_interval(drawn, ["contrast_id"], **kw), "contrast_id")
 
 
 def unit_bootstrap(units: DataFrame, reps: int, seed: int, **kw) -> DataFrame:
     """Units resampled within each domain: an interval per contrast and domain."""
+    group = ["contrast_id", "domain"]
+    point = units.groupBy(*group).agg(F.avg("difference").alias("point"))
+    arrays = unit_arrays(units)
+    means = unit_replicates(units, reps, seed) if arrays is None else units_by_arrays(arrays, reps, seed)
+    return point.join(percentile_interval(means, group, **kw), group)
+
+
+def unit_replicates(units: DataFrame, reps: int, seed: int) -> DataFrame:
+    """Draws as rows joined to units, for contrasts too large for one row."""
     numbered, sizes = indexed_units(units)
     slots = _replicates(sizes, reps, ["contrast_id", "domain"])
     draws = slots.withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))))
     draws = draws.withColumn("i", uniform_index(F.col("m"), seed, F.col("rep"), F.col("j"), F.col("d")))
-    means = (
+    return (
         draws.join(numbered, ["contrast_id", "domain", "i"])
         .groupBy("contrast_id", "domain", "rep")
         .agg(F.avg("difference").alias("replicate"))
     )
-    point = units.groupBy("contrast_id", "domain").agg(F.avg("difference").alias("point"))
-    group = ["contrast_id", "domain"]
-    return point.join(percentile_interval(means, group, **kw), group)
 
 
 def _assignments(arrays: DataFrame, bits: int = 10) -> DataFrame:
@@ -239,7 +330,7 @@ def binomial_tail(trials: Column, upto: Column) -> Column:
 
 
 def sign_test(contrasts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Exact two-sided sign test; NULL when every difference is a tie."""
+    """Exact two-sided sign test; 1 when every difference is a tie (no trial speaks against it)."""
     d = F.col("difference")
     counts = contrasts.groupBy("contrast_id").agg(
         F.count_if(d < -tolerance).alias("wins"),
@@ -248,7 +339,7 @@ def sign_test(contrasts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     )
     trials = F.col("wins") + F.col("losses")
     p = binomial_tail(trials, F.least("wins", "losses"))
-    return counts.withColumn("sign_p", F.when(trials > 0, p))
+    return counts.withColumn("sign_p", F.when(trials > 0, p).otherwise(1.0))
 
 
 def t_interval(contrasts: DataFrame) -> DataFrame:

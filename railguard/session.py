@@ -13,13 +13,20 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _SHIPPED: set[str] = set()
 
 
+def is_one_process(master: str) -> bool:
+    """``local`` and ``local[...]``; ``local-cluster`` starts executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only where none is set."""
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(
         _CHECKPOINT_KEY
     )
     if not configured:
-        # Single-machine runs (tests) only: a cluster names its own shared folder.
+        if not is_one_process(spark.sparkContext.master):
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
+        # Driver and executors are one process (tests, bench): a folder of its own will do.
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_CHECKPOINT_KEY, configured)
     return configured
