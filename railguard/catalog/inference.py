@@ -61,15 +61,21 @@ def _nine(df):
     return df.withColumns({c: F.round(c, 9) for c in ("point", "low", "high")})
 
 
-_B2 = f"""
-, un AS (SELECT *, row_number() OVER (PARTITION BY contrast_id, domain ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY contrast_id, domain) AS m FROM cu),
- sz AS (SELECT DISTINCT un.contrast_id, un.domain, m, d, n FROM un JOIN ix USING (contrast_id, domain)),
- sl AS (SELECT contrast_id, rep, slot, {uniform_index_sql('n', SEED, 'rep', 'slot')} AS d
-   FROM (SELECT DISTINCT contrast_id, n FROM ix), range({REPS}) r(rep), LATERAL (SELECT unnest(range(n)) AS slot)),
- dw AS (SELECT contrast_id, rep, slot, domain, {uniform_index_sql('m', SEED + 1, 'rep', 'slot', 'j')} AS i
-   FROM (SELECT sl.*, sz.domain, sz.m FROM sl JOIN sz USING (contrast_id, d)), LATERAL (SELECT unnest(range(m)) AS j)),
- ms AS (SELECT contrast_id, rep, slot, avg(difference) AS mean FROM dw JOIN un USING (contrast_id, domain, i) GROUP BY ALL),
- rp AS (SELECT contrast_id, rep, avg(mean) AS r FROM ms GROUP BY ALL)"""
+# The draws are the same for all contrasts, so SQL makes them once for the wide unit table.
+_WIDE = """
+, un AS (SELECT domain, unit, g - f AS x1, g - s AS x2, c - g AS x3, (row_number() OVER (PARTITION BY domain ORDER BY unit) - 1)::INT AS i,
+   count(*) OVER (PARTITION BY domain) AS m FROM uc),
+ sz AS (SELECT domain, any_value(m) AS m, row_number() OVER (ORDER BY domain) - 1 AS d, count(*) OVER () AS n FROM un GROUP BY domain)"""
+_LONG = """SELECT 'guarded-fixed_shift' AS contrast_id, {0} r1 AS r FROM rw UNION ALL
+   SELECT 'guarded-protected_state', {0} r2 FROM rw UNION ALL SELECT 'raw_candidate-guarded', {0} r3 FROM rw"""
+_B2 = f"""{_WIDE},
+ sl AS (SELECT rep, slot, {uniform_index_sql('n', SEED, 'rep', 'slot')} AS d
+   FROM (SELECT DISTINCT n FROM sz), range({REPS}) r(rep), LATERAL (SELECT unnest(range(n)) AS slot)),
+ dw AS (SELECT rep, slot, domain, {uniform_index_sql('m', SEED + 1, 'rep', 'slot', 'j')}::INT AS i
+   FROM (SELECT sl.*, sz.domain, sz.m FROM sl JOIN sz USING (d)), LATERAL (SELECT unnest(range(m)) AS j)),
+ ms AS (SELECT rep, slot, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM dw JOIN un USING (domain, i) GROUP BY rep, slot),
+ rw AS (SELECT rep, avg(m1) AS r1, avg(m2) AS r2, avg(m3) AS r3 FROM ms GROUP BY rep),
+ rp AS ({_LONG.format('rep,')})"""
 
 
 @query(
@@ -81,12 +87,11 @@ def b2(spark, d):
     return _nine(inference.two_stage_bootstrap(unit_contrasts(spark, d), REPS, SEED))
 
 
-_B3 = f"""
-, un AS (SELECT *, row_number() OVER (PARTITION BY contrast_id, domain ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY contrast_id, domain) AS m FROM cu),
- sz AS (SELECT DISTINCT un.contrast_id, un.domain, m, d FROM un JOIN ix USING (contrast_id, domain)),
- dw AS (SELECT contrast_id, rep, domain, {uniform_index_sql('m', SEED, 'rep', 'j', 'd')} AS i
+_B3 = f"""{_WIDE},
+ dw AS (SELECT rep, domain, {uniform_index_sql('m', SEED, 'rep', 'j', 'd')}::INT AS i
    FROM sz, range({REPS}) r(rep), LATERAL (SELECT unnest(range(m)) AS j)),
- rp AS (SELECT contrast_id, domain, rep, avg(difference) AS r FROM dw JOIN un USING (contrast_id, domain, i) GROUP BY ALL)"""
+ rw AS (SELECT domain, rep, avg(x1) AS r1, avg(x2) AS r2, avg(x3) AS r3 FROM dw JOIN un USING (domain, i) GROUP BY domain, rep),
+ rp AS ({_LONG.format('domain, rep,')})"""
 
 
 @query(
