@@ -1,13 +1,15 @@
 """The guard as a stateful stream: one published row per record, never revised.
 
-Per unit the state is a handful of numbers: the last key, the protected state, the last
-output, the commissioning values and, when a reorder delay is asked for, the records still
-waiting.  A micro-batch holds one unit's new records in one task, so the batch size (files
+Every input record gives exactly one row, or is still waiting for its reorder delay: nothing
+is dropped.  Per unit the state is a handful of numbers: the last key, the protected state,
+the last output, the commissioning values and, when a reorder delay is asked for, the newest
+order key seen and the records still waiting.  A micro-batch holds one unit's new records in one task, so the batch size (files
 or rows per trigger) bounds memory, not the length of the unit's history.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +27,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 PUBLISHED, LATE, INFEASIBLE, HALTED = "published", "late_rejected", "infeasible", "halted"
+#: A record without a finite value, an order or a named unit: reported, and the state stays.
+INVALID = "invalid"
 
 _STATE = (
-    "last_order bigint, last_ordinal bigint, b double, p double, n bigint, halted boolean, "
+    "last_order bigint, last_ordinal bigint, newest bigint, b double, p double, n bigint, halted boolean, "
     "anchors array<double>, w_order array<bigint>, w_ordinal array<bigint>, w_raw array<double>, "
     "w_candidate array<double>, w_down array<double>, w_up array<double>"
 )
@@ -39,6 +43,7 @@ class _Unit:
     """State of one unit between micro-batches."""
 
     last: tuple[int, int] | None = None
+    newest: int | None = None
     levels: tuple[float, float] | None = None
     n: int = 0
     halted: bool = False
@@ -49,9 +54,10 @@ class _Unit:
     def load(state: GroupState) -> "_Unit":
         if not state.exists:
             return _Unit()
-        lo, lq, b, p, n, halted, anchors, *columns = state.get
+        lo, lq, newest, b, p, n, halted, anchors, *columns = state.get
         return _Unit(
             None if lo is None else (lo, lq),
+            newest,
             None if b is None else (b, p),
             n, halted, tuple(anchors), tuple(zip(*columns)),
         )
@@ -59,7 +65,15 @@ class _Unit:
     def save(self, state: GroupState) -> None:
         last, levels = self.last or (None, None), self.levels or (None, None)
         columns = [list(c) for c in zip(*self.waiting)] if self.waiting else [[] for _ in _RECORD]
-        state.update((*last, *levels, self.n, self.halted, list(self.anchors), *columns))
+        state.update((*last, self.newest, *levels, self.n, self.halted, list(self.anchors), *columns))
+
+
+def _finite(value) -> bool:
+    return value is not None and math.isfinite(value)
+
+
+def _whole(value) -> int | None:
+    return int(value) if _finite(value) else None
 
 
 def _advance(unit: _Unit, fold: GuardFold, commissioning: int, record: tuple) -> tuple:
@@ -96,15 +110,17 @@ def guard_stream(
     y_max: float = Y_MAX,
     commissioning: int = 5,
     keys: Keys = Keys(),
-    event_time: str | None = None,
     reorder_delay: str | None = None,
 ) -> DataFrame:
     """One row per input record with state, output, rank, frozen reference and status.
 
     A record at or below the last published key cannot change published rows and is
-    reported as ``late_rejected``.  With ``reorder_delay`` records wait until the watermark
-    of ``event_time`` has passed them, which trades latency for fewer rejections; the order
-    key must then be microseconds since the epoch of ``event_time``.
+    reported as ``late_rejected``.  With ``reorder_delay`` (for example "10 seconds"; the
+    order key must then be microseconds) a record waits until its unit has shown a key that
+    is newer by the delay, which trades latency for fewer rejections.  The unit's own clock
+    decides, not a global watermark, because Spark would discard rows behind a watermark
+    before they could be reported.  Records without finite values, order or unit are
+    reported as ``invalid``.
     """
     check_alpha(alpha)
     order, ordinal = keys.order
@@ -118,31 +134,30 @@ def guard_stream(
         (as_column(budget) / as_column(under_cost)).alias("down"),
         (as_column(budget) / as_column(over_cost)).alias("up"),
     ]
-    buffered = reorder_delay is not None
-    if buffered:
-        stream = stream.withWatermark(event_time, reorder_delay)
-        columns.append(F.col(event_time))
+    delay = None if reorder_delay is None else pd.Timedelta(reorder_delay) // pd.Timedelta(microseconds=1)
     names = [keys.domain, keys.unit, "order_key", "ordinal", "protected_state", "guarded",
              "rank", "reference", "status"]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         unit = _Unit.load(state)
         fresh = [row for pdf in batches for row in zip(*[pdf[c].tolist() for c in _RECORD])]
-        ready = [*unit.waiting, *fresh]
+        named = all(str(k or "").strip() for k in key)
+        valid = [tuple(r) for r in fresh if named and all(map(_finite, r))]
+        rows = [(*key, *map(_whole, r[:2]), *[None] * 4, INVALID) for r in fresh if not (named and all(map(_finite, r)))]
+        ready = [*unit.waiting, *[(int(r[0]), int(r[1]), *r[2:]) for r in valid]]
         unit.waiting = ()
-        if buffered:
-            limit = state.getCurrentWatermarkMs() * 1000
+        if delay is not None and ready:
+            unit.newest = max(r[0] for r in ready) if unit.newest is None else max(unit.newest, *(r[0] for r in ready))
+            limit = unit.newest - delay
             unit.waiting = tuple(r for r in ready if r[0] > limit)
             ready = [r for r in ready if r[0] <= limit]
         ready.sort(key=lambda r: (r[0], r[1]))
-        rows = [(*key, *_advance(unit, fold, commissioning, r)) for r in ready]
+        rows += [(*key, *_advance(unit, fold, commissioning, r)) for r in ready]
         unit.save(state)
-        if unit.waiting:
-            earliest = min(r[0] for r in unit.waiting) // 1000 + 1
-            state.setTimeoutTimestamp(max(earliest, state.getCurrentWatermarkMs() + 1))
         if rows:
             out = pd.DataFrame(rows, columns=names)
-            out["rank"] = out["rank"].astype("Int64")
+            for whole in ("order_key", "ordinal", "rank"):
+                out[whole] = out[whole].astype("Int64")
             yield out
 
     types = dict(stream.select(keys.domain, keys.unit).dtypes)
@@ -151,15 +166,16 @@ def guard_stream(
         "ordinal bigint, protected_state double, guarded double, rank bigint, reference double, "
         "status string"
     )
-    timeout = GroupStateTimeout.EventTimeTimeout if buffered else GroupStateTimeout.NoTimeout
     return stream.select(*columns).groupBy(*keys.group).applyInPandasWithState(
-        step, schema, _STATE, "append", timeout
+        step, schema, _STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int = 600) -> DataFrame:
+def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> DataFrame:
     """Process everything that is available now into a Parquet table (exactly once) and stop.
 
+    Waits as long as it takes, unless a ``timeout`` in seconds is given.
+
     State lives in RocksDB on local disk and is checkpointed to shared storage.
     """
     spark = stream.sparkSession
@@ -174,7 +190,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int =
             .trigger(availableNow=True)
             .start()
         )
-        if not run.awaitTermination(timeout):
+        if not _ended(run, timeout):
             run.stop()
             raise TimeoutError(f"stream did not finish in {timeout} s")
     finally:
@@ -185,6 +201,13 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int =
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _ended(run, timeout: int | None) -> bool:
+    if timeout is not None:
+        return run.awaitTermination(timeout)
+    run.awaitTermination()
+    return True
+
+
 def certificate_stream(published: DataFrame, domain: str = "domain") -> DataFrame:
     """Running certificate over published rows: records, largest displacement, rejections."""
     moved = F.abs(F.col("guarded") - F.col("protected_state"))
@@ -196,7 +219,7 @@ def certificate_stream(published: DataFrame, domain: str = "domain") -> DataFram
     )
 
 
-def latest_totals(stream: DataFrame, timeout: int = 600) -> DataFrame:
+def latest_totals(stream: DataFrame, timeout: int | None = None) -> DataFrame:
     """Run an aggregating stream to the end and return its last complete result."""
     spark: SparkSession = stream.sparkSession
     path, checkpoint = scratch_path(spark, "totals"), scratch_path(spark, "totals-state")
@@ -211,7 +234,7 @@ def latest_totals(stream: DataFrame, timeout: int = 600) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
-    if not run.awaitTermination(timeout):
+    if not _ended(run, timeout):
         run.stop()
         raise TimeoutError(f"stream did not finish in {timeout} s")
     return spark.read.schema(stream.schema).parquet(path)

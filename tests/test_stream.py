@@ -60,7 +60,7 @@ def test_late_record_is_rejected_and_changes_nothing(spark, tmp_path):
 
 def test_reorder_delay_accepts_out_of_order_records(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    kw = {"event_time": "at", "reorder_delay": "10 seconds"}
+    kw = {"reorder_delay": "10 seconds"}
     data = []
     for part in ([0, 1, 5], [3, 6], [40], [80]):
         feed(spark, source, rows(part))
@@ -73,6 +73,33 @@ def test_reorder_delay_accepts_out_of_order_records(spark, tmp_path):
     assert done.count() == 5 and done.select(*keys).exceptAll(want.select(*keys)).count() == 0
 
 
+def test_no_row_is_lost_behind_the_delay(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in ([0, 1, 5], [60], [2, 3, 61], [120], [180]):
+        feed(spark, source, rows(part))
+        got = run_available(stream(spark, source, reorder_delay="10 seconds"), out, state)
+    seen = {(r["order_key"] - rows([0])[0][2]) // 1_000_000: r["status"] for r in got.collect()}
+    assert seen == {0: "published", 1: "published", 5: "published", 2: "late_rejected", 3: "late_rejected",
+                    60: "published", 61: "published", 120: "published"}  # 180 is still waiting
+
+
+def test_invalid_records_are_reported(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    good = rows([0, 1, 2])
+    bad = [
+        ("d", "u", good[1][2] + 1, 0, float("nan"), 1.0, EPOCH),
+        ("d", "u", good[1][2] + 2, 0, 1.0, None, EPOCH),
+        ("d", "u", None, 0, 1.0, 1.0, EPOCH),
+        ("d", " ", good[0][2], 0, 1.0, 1.0, EPOCH),
+    ]
+    feed(spark, source, good + bad)
+    got = run_available(stream(spark, source), out, state)
+    keys = ["order_key", "protected_state", "guarded"]
+    assert got.filter("status = 'invalid'").count() == len(bad)
+    published = got.filter("status = 'published'").select(*keys)
+    assert published.exceptAll(batch(spark, good).select(*keys)).count() == 0 and published.count() == 3
+
+
 def test_bad_alpha_is_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         guard_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path)), alpha=2.0, budget=0.1)
