@@ -413,6 +413,28 @@ _GRID_ERRORS = f"""
 )"""
 
 
+@query(
+    "T18_unlabelled_records",
+    with_ledger(
+        _GRID_ERRORS.replace("budget, truth,", "budget, CASE WHEN grid.ordinal % 3 > 0 THEN truth END AS truth,")
+        + """ SELECT domain, unit, count(truth) AS records, round(max(e), 9) AS mae
+           FROM (SELECT domain, unit, alpha, budget, truth, avg(abs(p - truth)) OVER (PARTITION BY domain, unit, alpha, budget) AS e FROM out)
+           WHERE alpha = """ + f"{GRID_ALPHAS[0]} AND budget = {GRID_BUDGETS[0]} GROUP BY ALL",
+        _GRID,
+    ),
+)
+def t18_unlabelled(spark, d):
+    """A third of the records has no truth: projected, but not scored."""
+    t = trajectories(spark, d)
+    t = t.with_frame(t.frame.withColumn("truth", F.when(F.col("ordinal") % 3 > 0, F.col("truth"))))
+    fold = GuardGridFold(
+        inputs=("raw_baseline", "raw_candidate"), state=("b", "p"),
+        alphas=(GRID_ALPHAS[0],), budgets=(GRID_BUDGETS[0],),
+    )
+    units = grid_unit_errors(t, fold, "truth")
+    return units.select("domain", "unit", "records", F.round(F.get("errors", F.lit(0)), 9).alias("mae"))
+
+
 @query(
     "T18_budget_grid",
     with_ledger(

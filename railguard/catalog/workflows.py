@@ -9,13 +9,14 @@ from railguard.catalog.base import (
     with_ledger,
 )
 from railguard.catalog.evaluation import domain_table, rounded, with_metrics
-from railguard.catalog.inference import _B5, _UNITS, domain_contrasts
+from railguard.catalog.inference import _B2, _B5, _UNITS, REPS, SEED, unit_contrasts
 from railguard.catalog.trajectory import (
     RECOVERY_GRID, _RECOVERY_GRID, isotonic_sql, recovery_sql,
 )
 from railguard.operators import metrics
 from railguard.plans import workflows
 
+MINIMUM_WINS = 3
 ALPHAS = [1.0, 0.5, 0.2, 0.05]
 BUDGETS = [0.01, 0.02, 0.05]
 OFFSETS = [round(-0.02 + 0.01 * i, 2) for i in range(5)]
@@ -45,24 +46,23 @@ def with_grid(sql: str, *extra: str) -> str:
 
 @query(
     "E1_mechanism_decision",
-    with_metrics(f""", x AS (SELECT *, abs(guarded - protected_state) AS moved, guarded - lag(guarded) OVER (PARTITION BY domain, unit ORDER BY rn) AS inc FROM gd),
- w AS (SELECT domain, max(unit_macro_mae) FILTER (method = 'guarded') AS g, max(unit_macro_mae) FILTER (method = 'fixed_shift') AS f,
-   max(unit_macro_mae) FILTER (method = 'protected_state') AS s FROM dm GROUP BY domain),
- o AS (SELECT avg(g - f) AS mf, avg(g - s) AS ms, count(*) FILTER (g - f < -1e-12) AS wf, count(*) FILTER (g - s < -1e-12) AS ws FROM w),
- c AS (SELECT max(moved) AS md, coalesce(max(inc), 0e0) AS mi FROM x)
- SELECT round(mf, 9) AS minus_fixed_shift, round(ms, 9) AS minus_protected_state, wf AS wins_fixed_shift, ws AS wins_protected_state, md AS maximum_displacement,
-   CASE WHEN mf < 0 AND ms < 0 AND md <= {BUDGET}e0 + 1e-12 AND mi <= 1e-12 THEN 'RETAIN'
-        WHEN mf < 0 OR ms < 0 OR md <= {BUDGET}e0 + 1e-12 OR mi <= 1e-12 THEN 'NARROW' ELSE 'REJECT' END AS verdict FROM o, c"""),
+    with_metrics(_B2 + f""", x AS (SELECT *, abs(guarded - protected_state) AS moved, abs(guarded - truth) - abs(protected_state - truth) AS regret,
+   guarded - lag(guarded) OVER w AS inc, protected_state - lag(protected_state) OVER w AS sinc FROM gd WINDOW w AS (PARTITION BY domain, unit ORDER BY rn)),
+ c AS (SELECT max(moved) AS md, max(regret) AS mr, coalesce(max(inc), 0e0) AS mi, coalesce(max(sinc), 0e0) AS ms, min(guarded) AS lo, max(guarded) AS hi FROM x),
+ o AS (SELECT avg(difference) AS mf, count(*) FILTER (difference < -1e-12) AS wf FROM cd WHERE contrast_id = 'guarded-fixed_shift'),
+ u AS (SELECT quantile_cont(r, 0.975) AS up FROM rp WHERE contrast_id = 'guarded-fixed_shift'),
+ g AS (SELECT *, md <= {BUDGET}e0 + 1e-12 AND mr <= {BUDGET}e0 + 1e-12 AND ms <= 1e-12 AND mi <= 1e-12 AND lo >= -1e-12 AND hi <= 1.3e0 + 1e-12 AS kept FROM c, o, u)
+ SELECT round(mf, 9) AS minus_fixed_shift, round(up, 9) AS high, wf AS wins, md AS maximum_displacement, 0e0 AS replay_difference,
+   CASE WHEN NOT kept THEN 'REJECT' WHEN mf < 0 AND up < 0 AND wf >= {MINIMUM_WINS} THEN 'RETAIN' ELSE 'NARROW' END AS verdict FROM g""", _UNITS),
 )
 def e1(spark, d):
     out = workflows.mechanism_decision(
-        trajectories(spark, d), alpha=ALPHA, budget=BUDGET, shift=SHIFT,
-        methods=["guarded", "fixed_shift", "protected_state"],
+        trajectories(spark, d), alpha=ALPHA, budget=BUDGET, shift=SHIFT, minimum_wins=MINIMUM_WINS,
+        reps=REPS, seed=SEED,
     )
     return out.select(
-        F.round("minus_fixed_shift", 9).alias("minus_fixed_shift"),
-        F.round("minus_protected_state", 9).alias("minus_protected_state"),
-        "wins_fixed_shift", "wins_protected_state", "maximum_displacement", "verdict",
+        F.round("minus_fixed_shift", 9).alias("minus_fixed_shift"), F.round("high", 9).alias("high"),
+        "wins", "maximum_displacement", "replay_difference", "verdict",
     )
 
 
@@ -327,15 +327,27 @@ def e15(spark, d):
 
 @query(
     "E16_robustness",
-    with_metrics(_B5 + """, s AS (SELECT contrast_id, avg(difference) AS mean_difference, min(l) AS lo, max(l) AS hi, quantile_cont(difference, 0.5) AS med,
+    with_metrics(_B5 + """, z AS (SELECT domain, count(*) AS units, sum(records)::BIGINT AS records FROM um WHERE method = 'guarded' GROUP BY domain),
+ s AS (SELECT contrast_id, avg(difference) AS mean_difference, min(l) AS lo, max(l) AS hi, quantile_cont(difference, 0.5) AS med,
+   arg_max(l, (units, records, domain)) AS wu, arg_max(l, (records, units, domain)) AS wr,
    count(*) FILTER (difference < -1e-12) AS wins, count(*) FILTER (abs(difference) <= 1e-12) AS ties, count(*) FILTER (difference > 1e-12) AS losses
-   FROM (SELECT *, (sum(difference) OVER (PARTITION BY contrast_id) - difference) / (n - 1) AS l FROM ix) GROUP BY ALL)
+   FROM (SELECT ix.*, units, records, (sum(difference) OVER (PARTITION BY contrast_id) - difference) / (n - 1) AS l FROM ix JOIN z USING (domain)) GROUP BY ALL)
  SELECT contrast_id, round(mean_difference, 9) AS mean_difference, round(lo, 9) AS leave_one_out_low, round(hi, 9) AS leave_one_out_high,
-   round(med, 9) AS median_difference, wins, ties, losses, assignments, sign_flip_p FROM s JOIN sf USING (contrast_id)""", _UNITS),
+   round(wu, 9) AS without_most_units, round(wr, 9) AS without_most_records,
+   round(med, 9) AS median_difference, wins, ties, losses, assignments, sign_flip_p,
+   CASE WHEN mean_difference >= 0 THEN 'CONTRADICTED' WHEN hi < 0 AND wu < 0 AND wr < 0 AND sign_flip_p <= 0.05 THEN 'ROBUST' ELSE 'QUALIFIED' END AS robustness
+ FROM s JOIN sf USING (contrast_id)""", _UNITS),
 )
 def e16(spark, d):
-    out = workflows.robustness(domain_contrasts(spark, d))
-    names = ("mean_difference", "leave_one_out_low", "leave_one_out_high", "median_difference")
+    sizes = ledger(spark, d).groupBy("domain", "unit").count().groupBy("domain").agg(
+        F.count(F.lit(1)).alias("units"), F.sum("count").alias("records")
+    )
+    contrasts = unit_contrasts(spark, d).groupBy("contrast_id", "domain").agg(F.avg("difference").alias("difference"))
+    out = workflows.robustness(contrasts.join(sizes, "domain"))
+    names = (
+        "mean_difference", "leave_one_out_low", "leave_one_out_high", "median_difference",
+        "without_most_units", "without_most_records",
+    )
     return out.withColumns({c: F.round(c, 9) for c in names})
 
 

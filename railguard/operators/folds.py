@@ -15,6 +15,7 @@ predecessor ended with, so the result is bit-identical to one sequential pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from railguard.functions.columns import Y_MAX, Y_MIN
+from railguard.functions.columns import Y_MAX, Y_MIN, is_finite, require_finite
 from railguard.operators.layout import PIECE, Trajectories
 from railguard.session import durable
 
@@ -229,6 +230,8 @@ class GridErrors(Fold):
         if self.offsets:
             shifted = output[:, None] + np.asarray(self.offsets)
             output = np.minimum(np.maximum(shifted, self.y_min), self.y_max).ravel()
+        if truth is None or not math.isfinite(truth):  # projected, but not scored
+            return (*state, np.zeros(output.size) if total is None else total)
         error = np.abs(output - truth)
         return (*state, error if total is None else total + error)
 
@@ -310,6 +313,9 @@ def grid_unit_errors(
 ) -> DataFrame:
     """Unit MAE of every grid point as one array column ``errors`` with ``records``.
 
+    Records without a truth are projected but not scored: ``records`` counts scored ones,
+    and a unit without any has NULL errors. Missing predictions stop the job.
+
     Records leave the task only as one summed array per unit, so a grid of any size
     costs one shuffle of the input and none of the expanded grid.
     """
@@ -317,10 +323,11 @@ def grid_unit_errors(
         inputs=(*grid.inputs, truth), state=(*grid.state, "errors"), inner=grid, offsets=offsets
     )
     needed = [*t.part, *t.keys.order, *dict.fromkeys(fold.inputs)]
-    work = t.with_frame(t.frame.select(*needed))
+    checked = {c: require_finite(c, c) for c in dict.fromkeys(grid.inputs)}
+    work = t.with_frame(t.frame.select(*needed).withColumns(checked))
     if t.cut:
         work = work.with_frame(work.frame.join(F.broadcast(_settle(work, grid)), t.part, "left"))
-    counted = t.frame.groupBy(*t.keys.group).agg(F.count(F.lit(1)).alias("records"))
+    counted = t.frame.groupBy(*t.keys.group).agg(F.count_if(is_finite(truth)).alias("records"))
     sums = work.sorted_frame().mapInArrow(
         _batches(fold, t.part, t.cut, True), _end_schema(fold, work.frame, t.part)
     )
@@ -335,7 +342,7 @@ def grid_unit_errors(
             ).alias("errors")
         )
     return sums.select(*t.keys.group, "errors").join(counted, t.keys.group).select(
-        *t.keys.group, "records", F.transform("errors", lambda e: e / F.col("records")).alias("errors")
+        *t.keys.group, "records", F.transform("errors", lambda e: F.try_divide(e, F.col("records"))).alias("errors")
     )
 
 

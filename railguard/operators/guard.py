@@ -19,6 +19,8 @@ from railguard.functions.columns import (
     check_range,
     check_scalar,
     clip,
+    require_finite,
+    require_named,
     squared_tube,
     tube_lower,
     tube_upper,
@@ -35,6 +37,14 @@ from railguard.operators.layout import Trajectories
 from railguard.operators.ordering import with_previous, with_running
 
 
+def refuse_invalid(t: Trajectories, *columns: str) -> Trajectories:
+    """Fail closed: missing or non-finite inputs and unnamed units stop the job, whatever form
+    of the guard reads them."""
+    checked = {c: require_finite(c, c) for c in columns}
+    checked |= {k: require_named(k, k) for k in t.keys.group}
+    return t.with_frame(t.frame.withColumns(checked))
+
+
 def causal_state(
     t: Trajectories,
     raw: str = "raw_baseline",
@@ -53,6 +63,7 @@ def causal_state(
     """
     check_alpha(alpha)
     check_range(y_min, y_max)
+    t = refuse_invalid(t, raw)
     if form == "auto":
         form = "window" if alpha == 1.0 else "arrow"
     if form == "array" and t.cut:
@@ -82,6 +93,7 @@ def state_grid(
     """States for many alphas in one pass; ``out`` is an array in the order of ``alphas``."""
     for alpha in alphas:
         check_alpha(alpha)
+    t = refuse_invalid(t, raw)
     fold = StateGridFold(
         inputs=(raw,), state=(out,), alphas=tuple(alphas), y_min=y_min, y_max=y_max
     )
@@ -104,9 +116,10 @@ def project(
     check_scalar(budget, "budget")
     check_scalar(under_cost, "under_cost", positive=True)
     check_scalar(over_cost, "over_cost", positive=True)
+    t = refuse_invalid(t, state, candidate)
     low = tube_lower(state, budget, under_cost, y_min)
     high = tube_upper(state, budget, over_cost, y_max)
-    return with_running(t, {out: ("min", clip(candidate, low, high))})
+    return with_running(t, {out: ("min", require_finite(clip(candidate, low, high), "budget or cost"))})
 
 
 def project_squared(
@@ -120,6 +133,7 @@ def project_squared(
     y_max: float = Y_MAX,
 ) -> Trajectories:
     """Guarded output when harm is budgeted in squared loss on [y_min, y_max]."""
+    t = refuse_invalid(t, state, candidate)
     low, high = squared_tube(state, budget, y_min, y_max)
     return with_running(t, {out: ("min", clip(candidate, low, high))})
 
@@ -194,9 +208,10 @@ def guard(
     check_scalar(budget, "budget")
     check_scalar(under_cost, "under_cost", positive=True)
     check_scalar(over_cost, "over_cost", positive=True)
+    t = refuse_invalid(t, raw, candidate)
     widths = {
-        "_down": as_column(budget) / as_column(under_cost),
-        "_up": as_column(budget) / as_column(over_cost),
+        "_down": require_finite(as_column(budget) / as_column(under_cost), "budget or cost"),
+        "_up": require_finite(as_column(budget) / as_column(over_cost), "budget or cost"),
     }
     fold = GuardFold(
         inputs=(raw, candidate, "_down", "_up"), state=(state, out), non_increasing=True,
@@ -224,7 +239,8 @@ def recover(
     check_range(y_min, y_max, strict=True)
     check_scalar(budget, "budget")
     check_scalar(allowance, "allowance")
-    columns = {"_budget": as_column(budget), "_rise": as_column(allowance)}
+    t = refuse_invalid(t, raw, candidate)
+    columns = {"_budget": require_finite(budget, "budget"), "_rise": require_finite(allowance, "allowance")}
     fold = RecoveryFold(
         inputs=(raw, candidate, "_budget", "_rise"), state=(state, out),
         alpha=alpha, y_min=y_min, y_max=y_max,

@@ -67,25 +67,35 @@ def nested_selection(
     )
 
 
-def decision_verdict(gates: dict[str, Column]) -> list[Column]:
-    """RETAIN when all gates hold, NARROW when some do, REJECT otherwise; gates as a map."""
-    flags = list(gates.values())
-    all_hold, some_hold = flags[0], flags[0]
-    for f in flags[1:]:
-        all_hold, some_hold = all_hold & f, some_hold | f
+def decision_verdict(gates: dict[str, Column], certificates: set[str]) -> list[Column]:
+    """REJECT when a certificate fails, RETAIN when every gate holds, else NARROW.
+
+    ``certificates`` names the gates that are promises of the method rather than findings
+    of the evaluation: none of them may fail, however good the findings are.
+    """
+    kept = F.lit(True)
+    for name in sorted(certificates):
+        kept = kept & gates[name]
+    everything = kept
+    for name, flag in gates.items():
+        everything = everything & flag if name not in certificates else everything
     entries = [x for k, v in gates.items() for x in (F.lit(k), v)]
-    verdict = F.when(all_hold, "RETAIN").when(some_hold, "NARROW").otherwise("REJECT")
+    verdict = F.when(~kept | kept.isNull(), "REJECT").when(everything, "RETAIN").otherwise("NARROW")
     return [F.create_map(*entries).alias("gates"), verdict.alias("verdict")]
 
 
 def robustness_class(
-    mean: Column, leave_one_out_low: Column, leave_one_out_high: Column, p_value: Column,
-    level: float = 0.05,
+    mean: Column, left_out_high: Column, without_most_units: Column, without_most_records: Column,
+    p_value: Column, level: float = 0.05,
 ) -> Column:
-    """ROBUST, QUALIFIED or CONTRADICTED for a contrast where negative favours the method."""
-    same_sign = (leave_one_out_high < 0) & (leave_one_out_low < 0)
+    """ROBUST, QUALIFIED or CONTRADICTED for a contrast where negative favours the method.
+
+    Robust: significant, negative whichever domain is left out, and negative without the
+    domain of most units and that of most records.
+    """
+    lasting = (left_out_high < 0) & (without_most_units < 0) & (without_most_records < 0)
     return (
         F.when(mean >= 0, "CONTRADICTED")
-        .when(same_sign & (p_value <= level), "ROBUST")
+        .when(lasting & (p_value <= level), "ROBUST")
         .otherwise("QUALIFIED")
     )

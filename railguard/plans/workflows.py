@@ -292,40 +292,63 @@ def freeze_alpha(t: Trajectories, alphas: list[float], budget: float, truth: str
     return argmin_with_ties(ranked, ["_all"], "mae", [F.desc("alpha")]).drop("_all")
 
 
+CERTIFICATES = {
+    "displacement_held", "regret_held", "state_non_increasing", "output_non_increasing",
+    "range_held", "prefix_replay_exact",
+}
+
+
 def mechanism_decision(
-    t: Trajectories, *, alpha: float, budget: float, shift: float, methods: list[str],
-    truth: str = "truth",
+    t: Trajectories, *, alpha: float, budget: float, shift: float, minimum_wins: int,
+    truth: str = "truth", reps: int = 100_000, seed: int = 17,
 ) -> DataFrame:
-    """One-row decision: certificates, contrasts against state and shift, gates, verdict."""
+    """One-row decision: contrast against the fixed shift, certificates, nine gates, verdict.
+
+    Three gates are findings (negative mean, negative upper end of the two-stage bootstrap,
+    enough domains improved); six are certificates, of which none may fail.
+    """
+    from railguard.operators.audits import prefix_replay
     from railguard.operators.selection import decision_verdict
 
     done = guard(t, alpha=alpha, budget=budget)
     frame = done.frame.withColumn("fixed_shift", clip(F.col("protected_state") + shift, Y_MIN, Y_MAX))
     done = done.with_frame(frame)
     cert = metrics.certificate(done, "protected_state", "guarded", truth, budget)
-    units = metrics.unit_errors(frame, methods, truth, t.keys)
-    domains = units.groupBy(t.keys.domain, "method").agg(F.avg("mae").alias("unit_macro_mae"))
-    rows = [cert]
-    for name in ("fixed_shift", "protected_state"):
-        contrast = metrics.domain_contrast(domains, "guarded", name, t.keys)
-        rows.append(
-            contrast.agg(
-                F.avg("difference").alias(f"minus_{name}"),
-                F.count_if(F.col("difference") < -TOLERANCE).alias(f"wins_{name}"),
-                F.count_if(F.col("difference") > TOLERANCE).alias(f"losses_{name}"),
-            )
+    state = metrics.certificate(done, "protected_state", "protected_state", truth, budget)
+    error = lambda c: F.avg(F.abs(F.col(c) - F.col(truth)))
+    units = durable(
+        frame.groupBy(*t.keys.group).agg((error("guarded") - error("fixed_shift")).alias("difference")).select(
+            F.lit("guarded-fixed_shift").alias("contrast_id"),
+            F.col(t.keys.domain).alias("domain"),
+            F.col(t.keys.unit).alias("unit"),
+            "difference",
         )
-    merged = rows[0]
-    for row in rows[1:]:
+    )
+    domains = units.groupBy("domain").agg(F.avg("difference").alias("difference"))
+    merged = cert
+    for row in (
+        state.select(F.col("maximum_increase").alias("maximum_state_increase")),
+        prefix_replay(t, alpha=alpha, budget=budget).select(F.col("maximum_difference").alias("replay_difference")),
+        inference.two_stage_bootstrap(units, reps, seed).select("low", "high"),
+        domains.agg(
+            F.avg("difference").alias("minus_fixed_shift"),
+            F.count_if(F.col("difference") < -TOLERANCE).alias("wins"),
+        ),
+    ):
         merged = merged.unionByName(row, allowMissingColumns=True)
     one = merged.agg(*[F.max(c).alias(c) for c in merged.columns])
     gates = {
-        "beats_shift": F.col("minus_fixed_shift") < 0,
-        "beats_state": F.col("minus_protected_state") < 0,
-        "budget_held": F.col("maximum_displacement") <= budget + TOLERANCE,
-        "non_increasing": F.col("maximum_increase") <= TOLERANCE,
+        "mean_below_zero": F.col("minus_fixed_shift") < 0,
+        "interval_below_zero": F.col("high") < 0,
+        "enough_domains_improved": F.col("wins") >= minimum_wins,
+        "displacement_held": F.col("maximum_displacement") <= budget + TOLERANCE,
+        "regret_held": F.col("maximum_regret") <= budget + TOLERANCE,
+        "state_non_increasing": F.col("maximum_state_increase") <= TOLERANCE,
+        "output_non_increasing": F.col("maximum_increase") <= TOLERANCE,
+        "range_held": (F.col("minimum_output") >= Y_MIN - TOLERANCE) & (F.col("maximum_output") <= Y_MAX + TOLERANCE),
+        "prefix_replay_exact": F.col("replay_difference") == 0,
     }
-    return one.select("*", *decision_verdict(gates))
+    return one.select("*", *decision_verdict(gates, CERTIFICATES))
 
 
 def offline_frontier(t: Trajectories, budgets: list[float], truth: str = "truth") -> DataFrame:
@@ -398,17 +421,30 @@ def recomputation_audit(
     return compare_tables(fresh, saved, keys.group, ["mae"], tolerance)
 
 
-def robustness(contrasts: DataFrame, keys: Keys = Keys()) -> DataFrame:
-    """Per contrast: mean, leave-one-out range, exact sign flip and wins/ties/losses."""
+def robustness(contrasts: DataFrame) -> DataFrame:
+    """Per contrast: mean, leave-one-out range, sensitivity to the largest domains, exact sign
+    flip, wins/ties/losses and class.
+
+    ``contrasts``: contrast_id, domain, difference, units, records.
+    """
+    from railguard.operators.selection import robustness_class
+
     n, total = F.count(F.lit(1)), F.sum("difference")
+    without = lambda *order: (total - F.max_by("difference", F.struct(*order, "domain"))) / (n - 1)
     spread = contrasts.groupBy("contrast_id").agg(
         F.avg("difference").alias("mean_difference"),
         ((total - F.max("difference")) / (n - 1)).alias("leave_one_out_low"),
         ((total - F.min("difference")) / (n - 1)).alias("leave_one_out_high"),
+        without("units", "records").alias("without_most_units"),
+        without("records", "units").alias("without_most_records"),
         F.percentile("difference", 0.5).alias("median_difference"),
         *metrics.win_tie_loss(),
     )
-    return spread.join(inference.sign_flip(contrasts), "contrast_id")
+    judged = robustness_class(
+        F.col("mean_difference"), F.col("leave_one_out_high"), F.col("without_most_units"),
+        F.col("without_most_records"), F.col("sign_flip_p"),
+    )
+    return spread.join(inference.sign_flip(contrasts), "contrast_id").withColumn("robustness", judged)
 
 
 def arms_through_guard(

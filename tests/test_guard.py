@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from railguard.operators import ordering
 from railguard.operators.folds import GuardGridFold, grid_unit_errors
@@ -36,68 +37,112 @@ def plan(spark, units, **kw):
     return Trajectories.plan(ledger(spark, units), **kw)
 
 
-@pytest.mark.parametrize("form", FORMS)
-def test_state_half_assimilation(spark, form):
-    t = causal_state(plan(spark, {"u": [1.0, 0.9, 0.95, 0.7, 0.8]}), alpha=0.5, form=form)
-    assert column(t, "protected_state") == pytest.approx([1.0, 0.95, 0.95, 0.825, 0.8125], abs=1e-15)
-
-
-def test_state_full_assimilation_is_running_minimum(spark):
-    t = plan(spark, {"u": [0.95, 0.9, 0.92, 0.87]})
-    for form in ("window", *FORMS):
-        assert column(causal_state(t, alpha=1.0, form=form), "protected_state") == [0.95, 0.9, 0.9, 0.87]
-
-
-def test_state_prefix_unchanged_by_later_records(spark):
-    short = causal_state(plan(spark, {"u": [1.0, 0.8, 0.9, 0.7]}), alpha=0.2)
-    long = causal_state(plan(spark, {"u": [1.0, 0.8, 0.9, 0.7, 0.2, 1.2]}), alpha=0.2)
-    assert column(short, "protected_state") == column(long, "protected_state")[:4]
-
-
-def given_state(spark, state, candidate):
-    return plan(spark, {"u": list(zip(state, candidate))})
-
-
-def test_projection_bounds(spark):
-    state, cand = [0.95, 0.93, 0.91, 0.88], [1.1, 0.7, 1.2, 0.86]
-    out = column(project(given_state(spark, state, cand), "raw_baseline", budget=0.01), "guarded")
-    assert all(b <= a for a, b in zip(out, out[1:]))
-    assert max(abs(p - b) for p, b in zip(out, state)) <= 0.01 + 1e-12
+def wave(n, seed=0):
+    """A falling, oscillating series; other seeds give other phases."""
+    return [round(1.15 - 0.011 * i + 0.07 * np.sin(1.7 * i + seed), 6) for i in range(n)]
 
 
-def test_zero_budget_is_identity_and_loose_budget_keeps_candidate(spark):
-    t = given_state(spark, [1, 0.9, 0.82], [0.2, 1.2, 0.1])
-    assert column(project(t, "raw_baseline", budget=0.0), "guarded") == [1, 0.9, 0.82]
-    t = given_state(spark, [1, 0.9, 0.8], [0.95, 0.85, 0.75])
-    assert column(project(t, "raw_baseline", budget=0.1), "guarded") == [0.95, 0.85, 0.75]
-
-
-def test_asymmetric_tube(spark):
-    for cand, want in ((1.3, 0.91), (0.0, 0.86)):
-        t = project(given_state(spark, [0.9], [cand]), "raw_baseline", budget=0.08,
-                    under_cost=2.0, over_cost=8.0)
-        assert column(t, "guarded") == pytest.approx([want])
-
-
-def test_infeasible_schedule_fails_closed(spark):
-    t = given_state(spark, [0.9, 0.88, 0.5], [-10, 0.8, 0.5])
-    t = t.with_frame(t.frame.selectExpr("*", "CASE WHEN ordinal = 0 THEN 0.2D ELSE 0.13D END AS eta"))
-    out = project_with_status(t, "raw_baseline", budget="eta")
-    assert column(out, "feasible") == [True, False, False]
-    assert column(out, "guarded") == [pytest.approx(0.7), None, None]
-    verdict = schedule_feasibility(t, "raw_baseline", "eta").first()
-    assert not verdict["universally_feasible"]
+def absorbed(raws, alpha):
+    """The state by its defining recursion."""
+    out = []
+    for raw in raws:
+        inside = lambda x: min(max(x, 0.0), 1.3)
+        out.append(inside(raw) if not out else inside(out[-1] + alpha * min(raw - out[-1], 0.0)))
+    return out
 
 
-def test_two_units_do_not_mix_and_order_is_restored(spark):
-    rows = [("d", "a", 2.0, 0, 0.9, 0.85), ("d", "b", 2.0, 0, 0.8, 0.75),
-            ("d", "a", 1.0, 0, 1.0, 1.1), ("d", "b", 1.0, 0, 0.95, 0.9)]
-    df = spark.createDataFrame(
-        rows, "domain string, unit string, order_key double, ordinal bigint, raw_baseline double, raw_candidate double"
-    )
-    t = guard(Trajectories.plan(df), alpha=1.0, budget=0.05)
-    assert column(t, "protected_state", "a") == [1.0, 0.9]
-    assert column(t, "protected_state", "b") == [0.95, 0.8]
+@pytest.mark.parametrize("form", FORMS)
+@pytest.mark.parametrize("alpha", [1.0, 0.6, 0.15])
+def test_state_follows_its_recursion_and_only_falls(spark, form, alpha):
+    raws = wave(23)
+    got = column(causal_state(plan(spark, {"u": raws}), alpha=alpha, form=form), "protected_state")
+    assert got == absorbed(raws, alpha)
+    assert got == sorted(got, reverse=True)
+
+
+def test_window_form_is_the_running_minimum(spark):
+    raws = wave(17, 2)
+    got = column(causal_state(plan(spark, {"u": raws}), alpha=1.0, form="window"), "protected_state")
+    assert got == np.minimum.accumulate(raws).tolist()
+
+
+@pytest.mark.parametrize("kept", [1, 6, 13])
+def test_published_records_do_not_depend_on_what_follows(spark, kept):
+    units = {"u": list(zip(wave(14, 1), wave(14, 4)))}
+    early = guard(plan(spark, {"u": units["u"][:kept]}), alpha=0.35, budget=0.03)
+    whole = guard(plan(spark, units), alpha=0.35, budget=0.03)
+    for name in ("protected_state", "guarded"):
+        assert column(early, name) == column(whole, name)[:kept]
+
+
+@pytest.mark.parametrize("budget", [0.0, 0.004, 0.06, 2.0])
+@pytest.mark.parametrize("costs", [(1.0, 1.0), (3.0, 0.5)])
+def test_output_falls_and_stays_within_the_budgeted_loss(spark, budget, costs):
+    state = absorbed(wave(19), 0.5)
+    records = list(zip(state, wave(19, 5)))
+    under, over = costs
+    t = project(plan(spark, {"u": records}), "raw_baseline", budget=budget, under_cost=under, over_cost=over)
+    out = column(t, "guarded")
+    assert out == sorted(out, reverse=True)
+    for b, p in zip(state, out):
+        assert max(under * (b - p), over * (p - b)) <= budget + 1e-12
+    if budget == 0.0:
+        assert out == state
+    if budget == 2.0:  # wide enough for any candidate: its running minimum
+        assert out == np.minimum.accumulate(wave(19, 5)).tolist()
+
+
+def test_schedule_that_shrinks_too_fast_stops_the_unit(spark):
+    state = [1.0, 0.99, 0.98, 0.97, 0.96]
+    t = plan(spark, {"u": [(b, 0.3) for b in state]})
+    widths = "array(0.25D, 0.26D, 0.05D, 0.5D, 0.5D)[ordinal]"
+    t = t.with_frame(t.frame.selectExpr("*", f"{widths} AS eta"))
+    done = project_with_status(t, "raw_baseline", budget="eta")
+    # 0.99 - 0.26 is published; 0.98 - 0.05 is above it, and nothing after that is defined.
+    assert column(done, "feasible") == [True, True, False, False, False]
+    assert column(done, "guarded") == [pytest.approx(0.75), pytest.approx(0.73), None, None, None]
+    assert not schedule_feasibility(t, "raw_baseline", "eta").first()["universally_feasible"]
+
+
+def test_units_are_independent_and_input_order_is_irrelevant(spark):
+    units = {name: list(zip(wave(9, i), wave(9, i + 3))) for i, name in enumerate("abc")}
+    mixed = Trajectories.plan(ledger(spark, units).orderBy("raw_candidate").repartition(3))
+    together = guard(mixed, alpha=0.4, budget=0.02)
+    for name, records in units.items():
+        alone = guard(plan(spark, {name: records}), alpha=0.4, budget=0.02)
+        assert column(together, "guarded", name) == column(alone, "guarded", name)
+
+
+@pytest.mark.parametrize("form", ["array", "arrow"])
+@pytest.mark.parametrize("broken", [float("nan"), float("inf"), None])
+def test_missing_predictions_stop_every_form(spark, form, broken):
+    df = ledger(spark, {"u": wave(5)})
+    for name in ("raw_baseline", "raw_candidate"):
+        value = "CAST(NULL AS DOUBLE)" if broken is None else f"DOUBLE('{broken}')"
+        bad = df.withColumn(name, F.expr(f"CASE WHEN ordinal = 2 THEN {value} ELSE {name} END"))
+        with pytest.raises(Exception, match=f"{name} has a missing"):
+            guard(Trajectories.plan(bad), alpha=0.5, budget=0.1, form=form).frame.collect()
+    with pytest.raises(Exception, match="raw_baseline has a missing"):
+        bad = df.withColumn("raw_baseline", F.lit(None).cast("double"))
+        causal_state(Trajectories.plan(bad), alpha=1.0).frame.collect()
+
+
+def test_unnamed_units_stop_the_guard(spark):
+    for name in ("''", "'  '", "CAST(NULL AS STRING)"):
+        bad = ledger(spark, {"u": wave(3)}).withColumn("unit", F.expr(name))
+        with pytest.raises(Exception, match="unit is missing or blank"):
+            guard(Trajectories.plan(bad), alpha=0.5, budget=0.1).frame.collect()
+
+
+def test_records_without_truth_are_projected_but_not_scored(spark):
+    df = ledger(spark, {"u": wave(8), "v": wave(4, 1)})
+    partly = df.withColumn("truth", F.expr("CASE WHEN unit = 'u' AND ordinal NOT IN (1, 5) THEN truth + 0.1 END"))
+    fold = GuardGridFold(inputs=("raw_baseline", "raw_candidate"), state=("b", "p"), alphas=(0.5,), budgets=(0.02,))
+    rows = {r["unit"]: r for r in grid_unit_errors(Trajectories.plan(partly), fold, "truth").collect()}
+    out = column(guard(Trajectories.plan(partly), alpha=0.5, budget=0.02), "guarded")
+    scored = [abs(p - y - 0.1) for i, (p, y) in enumerate(zip(out, wave(8))) if i not in (1, 5)]
+    assert rows["u"]["records"] == 6 and rows["u"]["errors"] == [pytest.approx(np.mean(scored))]
+    assert rows["v"]["records"] == 0 and rows["v"]["errors"] == [None]
 
 
 def test_bad_parameters(spark):
@@ -195,8 +240,6 @@ def test_cut_recovery(cut):
 
 
 def test_cut_windows(cut):
-    from pyspark.sql import functions as F
-
     _, whole, pieces = cut
     for step in (
         lambda t: ordering.with_rank(t, "x"),
