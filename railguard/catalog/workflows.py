@@ -180,7 +180,7 @@ md AS (SELECT outer_domain, alpha, min(r) AS med FROM cu WHERE c >= tot * (0.5e0
 of AS (SELECT outer_domain, alpha, budget, least(greatest(med, -budget), budget) AS off FROM md, (SELECT DISTINCT budget FROM sc)),
 os AS (SELECT outer_domain, alpha, budget, off, sum(w * abs(r - off)) / sum(w) AS score FROM rs JOIN of USING (outer_domain, alpha) GROUP BY ALL),
 oc AS (SELECT outer_domain, budget, alpha, off FROM (SELECT *, min(score) OVER (PARTITION BY outer_domain, budget) AS best FROM os)
-  WHERE score <= best + 1e-12 QUALIFY row_number() OVER (PARTITION BY outer_domain, budget ORDER BY abs(off), alpha DESC, off DESC) = 1),
+  WHERE score <= best QUALIFY row_number() OVER (PARTITION BY outer_domain, budget ORDER BY abs(off), alpha DESC, off DESC) = 1),
 ce AS (SELECT domain, budget, avg(m) AS control_mae FROM (SELECT gb.domain, gb.unit, oc.budget, avg(abs(least(greatest(b + off, 0e0), 1.3e0) - truth)) AS m
    FROM gb JOIN oc ON oc.outer_domain = gb.domain AND oc.alpha = gb.alpha GROUP BY ALL) GROUP BY ALL),
 bp AS (SELECT gc.outer_domain AS domain, gc.budget, gc.alpha AS guard_alpha, sc.mae AS guard_mae, oc.alpha AS control_alpha, oc.off AS control_offset, control_mae,

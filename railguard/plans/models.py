@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from railguard.functions.columns import Y_MAX, Y_MIN, clip
 from railguard.operators.contracts import forbid_columns
+from railguard.operators.quantiles import exact_quantiles
 
 # Outcome columns that may never be features.
 OUTCOMES = ("truth", "label", "target")
@@ -20,32 +23,58 @@ def add_indicators(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns(flags)
 
 
-def impute_median(features: list[str], relative_error: float = 0.0) -> Imputer:
-    """Medians of the fitting data only; the model keeps them for every later table."""
-    return Imputer(
-        strategy="median", inputCols=features, outputCols=[f"imputed__{c}" for c in features],
-        relativeError=relative_error,
-    )
+def impute_median(df: DataFrame, features: list[str]) -> SQLTransformer:
+    """Fill ``features`` with their medians over ``df`` (the mean of the middle pair).
+
+    The medians are exact, and no task holds all values of a column. They become constants
+    of the transformer, which serves every later table.
+    """
+    medians = {}
+    for name in features:
+        column = df.select(F.lit(0).alias("all"), F.col(name).alias("value"))
+        row = exact_quantiles(column, ["all"], "value", [0.5]).first()
+        medians[name] = row["quantile"] if row else 0.0
+    filled = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), {v!r}D) AS imputed__{c}" for c, v in medians.items())
+    return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+
+
+@dataclass(frozen=True)
+class MedianPipeline:
+    """A pipeline whose medians are taken from what ``fit`` is given."""
 
+    prepare: list[SQLTransformer]
+    features: list[str]
+    rest: list
 
-def backbone(kind: str, label: str, weight: str | None, seed: int):
-    """Regressor by name.  Extremely randomised trees are not in Spark ML: random forests."""
+    def fit(self, df: DataFrame) -> PipelineModel:
+        filled = impute_median(PipelineModel(self.prepare).transform(df), self.features)
+        return Pipeline(stages=[*self.prepare, filled, *self.rest]).fit(df)
+
+
+def backbone(kind: str, label: str, weight: str | None, seed: int, **settings):
+    """Regressor by name.  Extremely randomised trees are not in Spark ML: random forests.
+
+    ``settings`` are Spark ML parameters of the regressor (``maxDepth``, ``numTrees``,
+    ``featureSubsetStrategy``, ``regParam``, ...) and replace the defaults given here. Spark
+    grows trees to 30 levels at most; the default of 8 keeps a bundle small.
+    """
     common = {"featuresCol": "features", "labelCol": label, "predictionCol": "raw_prediction"}
     if weight:
         common["weightCol"] = weight
     if kind == "forest":
-        return RandomForestRegressor(numTrees=80, minInstancesPerNode=20, maxDepth=8, seed=seed, **common)
+        chosen = {"numTrees": 80, "minInstancesPerNode": 20, "maxDepth": 8, "featureSubsetStrategy": "0.8"}
+        return RandomForestRegressor(seed=seed, **common, **(chosen | settings))
     if kind == "boosting":
-        return GBTRegressor(maxIter=40, maxDepth=4, seed=seed, **common)
+        return GBTRegressor(seed=seed, **common, **({"maxIter": 40, "maxDepth": 4} | settings))
     if kind == "ridge":
-        return LinearRegression(regParam=1.0, elasticNetParam=0.0, **common)
+        return LinearRegression(**common, **({"regParam": 1.0, "elasticNetParam": 0.0} | settings))
     raise ValueError(f"unknown backbone {kind}")
 
 
 def build_pipeline(
     features: list[str], label: str, *, kind: str = "forest", log_column: str | None = None,
-    weight: str | None = None, scale: bool = False, seed: int = 17,
-) -> Pipeline:
+    weight: str | None = None, scale: bool = False, seed: int = 17, **settings,
+) -> MedianPipeline:
     """log1p of the order key -> indicators -> medians -> vector -> (scaling) -> model.
 
     Every transformation is part of the pipeline, so a saved bundle applies exactly what
@@ -59,13 +88,13 @@ def build_pipeline(
         inputs = [f"log__{c}" if c == log_column else c for c in inputs]
     flags = ", ".join(f"CAST({c} IS NULL AS DOUBLE) AS missing__{c}" for c in inputs)
     stages.append(SQLTransformer(statement=f"SELECT *, {flags} FROM __THIS__"))
-    stages.append(impute_median(inputs))
+    rest = []
     vector = [f"imputed__{c}" for c in inputs] + [f"missing__{c}" for c in inputs]
-    stages.append(VectorAssembler(inputCols=vector, outputCol="assembled" if scale else "features"))
+    rest.append(VectorAssembler(inputCols=vector, outputCol="assembled" if scale else "features"))
     if scale:
-        stages.append(StandardScaler(withMean=True, inputCol="assembled", outputCol="features"))
-    stages.append(backbone(kind, label, weight, seed))
-    return Pipeline(stages=stages)
+        rest.append(StandardScaler(withMean=True, inputCol="assembled", outputCol="features"))
+    rest.append(backbone(kind, label, weight, seed, **settings))
+    return MedianPipeline(stages, inputs, rest)
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -75,7 +104,7 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "prediction") -> Dat
 
 
 def leave_one_domain_out(
-    df: DataFrame, domains: list[str], pipeline: Pipeline, *, domain: str = "domain",
+    df: DataFrame, domains: list[str], pipeline: MedianPipeline, *, domain: str = "domain",
     out: str = "prediction",
 ) -> DataFrame:
     """One model per left-out domain; every record is predicted by a model that never saw it.

@@ -18,6 +18,7 @@ from railguard.operators.isotonic import monotone_projection
 from railguard.operators.joins import compare_tables
 from railguard.operators.layout import Keys, Trajectories
 from railguard.operators.quantiles import weighted_median
+from railguard.operators.reshape import top_one
 from railguard.session import durable
 from railguard.operators.selection import argmin_with_ties, excluded_pairs, grid_scores, nested_selection
 
@@ -234,7 +235,8 @@ def _exact_shift_control(t, alphas, budgets, truth) -> DataFrame:
         offsets.select("outer_domain", "alpha", "budget", "offset"), ["outer_domain", "alpha", "budget"]
     )
     order = [F.asc(F.abs("offset")), F.desc("alpha"), F.desc("offset")]
-    chosen = argmin_with_ties(table, ["outer_domain", "budget"], "score", order)
+    # The control takes the exact minimum: only equal scores are ties.
+    chosen = top_one(table, ["outer_domain", "budget"], [F.asc("score"), *order])
     picks = chosen.select(
         F.col("outer_domain").alias(keys.domain), "budget", "alpha", F.col("offset").alias("control_offset")
     )

@@ -137,8 +137,13 @@ def with_seconds(df: DataFrame, time_raw: str = "time_raw", out: str = "seconds"
 
 
 def header_inventory(lines: DataFrame) -> DataFrame:
-    """Structural signature of every header and the number of files that share it."""
+    """Structural signature of every header and the number of files that share it.
+
+    A file without a header stops the inventory: it would otherwise be left out silently.
+    """
     candidates = header_candidates(lines)
+    without = lines.select("file").distinct().join(candidates.select("file").distinct(), "file", "left_anti")
+    enforce(without, "files without a header")
     signature = F.sha2(F.to_json(F.struct("delimiter", "fields")), 256)
     return candidates.groupBy(signature.alias("signature")).agg(
         F.countDistinct("file").alias("files"),

@@ -58,10 +58,3 @@ def time_vector_key(vector: str | Column, source: str, index: str) -> Column:
         F.when(known, 0).otherwise(1).alias("missing"), *parts,
         F.col(source).alias("source"), F.col(index).alias("index"),
     )
-
-
-def time_vector_timestamp(vector: str) -> Column:
-    part = lambda i: F.get(vector, F.lit(i))
-    return F.make_timestamp_ntz(
-        *[part(i).cast("int") for i in range(5)], part(5).cast("decimal(16,6)")
-    )

@@ -44,15 +44,6 @@ def report(parts: dict[str, Column], source: DataFrame) -> DataFrame:
     return source.select(body.alias("report")).withColumn("sha256", F.sha2("report", 256))
 
 
-def canonical_hash(*columns: str) -> Column:
-    """SHA-256 of the canonical JSON of the columns in sorted order."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
-
-
-def fingerprints(df: DataFrame, key: str, content: str) -> DataFrame:
-    return df.select(key, F.sha2(F.col(content), 256).alias("sha256"), F.md5(content).alias("md5"))
-
-
 def duplicate_payloads(df: DataFrame, key: str, content: str) -> DataFrame:
     """Payloads stored more than once: hash, copies and the smallest key.
 

@@ -61,11 +61,13 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     )
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Strict JSON documents: declared schema, NaN and Infinity rejected."""
+def read_json(
+    spark: SparkSession, path: str, schema: StructType | str, *, lines: bool = False
+) -> DataFrame:
+    """Strict JSON: declared schema, NaN and Infinity rejected; a document per file or per line."""
     return (
         spark.read.schema(schema)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "FAILFAST")
         .option("allowNonNumericNumbers", False)
         .json(path)
