@@ -8,9 +8,6 @@ from railguard.operators.contracts import duplicate_keys, enforce
 from railguard.operators.layout import Trajectories
 from railguard.operators.ordering import with_next
 
-# A lookup side is broadcast only below this many rows; above it Spark joins by key.
-LOOKUP_ROWS = 200_000
-
 
 def complete_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner one-to-one join that must match every row of both sides (eager checks).
@@ -30,11 +27,10 @@ def lookup(
 ) -> DataFrame:
     """Many-to-one left join of parameters; optionally no row may miss its parameter."""
     enforce(duplicate_keys(table, keys), "lookup keys")
-    # The size is checked: take one row more than the bound and count.
-    small = table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
     values = [c for c in table.columns if c not in keys]
     side = table.withColumn("_found", F.lit(True))
-    joined = df.join(F.broadcast(side) if small else side, keys, "left")
+    # Whether the side is broadcast is left to the adaptive planner, which knows its size.
+    joined = df.join(side, keys, "left")
     if not required:
         return joined.drop("_found")
     message = F.concat(F.lit("no parameter for "), F.concat_ws("/", *keys))
