@@ -360,8 +360,14 @@ def t_interval(contrasts: DataFrame) -> DataFrame:
 
 
 def small_sample_summary(contrasts: DataFrame) -> DataFrame:
-    """All exact small-n statistics of every contrast in one table."""
-    parts = [t_interval(contrasts), sign_test(contrasts), sign_flip(contrasts), wilcoxon(contrasts)]
+    """All exact small-n statistics of every contrast in one table.
+
+    The two tests that list all sign assignments are NULL for a contrast with more than
+    ``MAX_SIGN_FLIP`` domains; its other statistics, and those of other contrasts, stand.
+    """
+    counted = contrasts.groupBy("contrast_id").agg(F.count(F.lit(1)).alias("n"))
+    few = contrasts.join(counted.filter(F.col("n") <= MAX_SIGN_FLIP), "contrast_id", "left_semi")
+    parts = [t_interval(contrasts), sign_test(contrasts), sign_flip(few), wilcoxon(few)]
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, "contrast_id", "left")

@@ -242,3 +242,18 @@ def test_hierarchical_means_differ_from_a_flat_mean(spark):
     units = metrics.unit_metrics(Trajectories.plan(df), ["m"])
     got = metrics.domain_summary(units).first()
     assert got["unit_macro_mae"] == pytest.approx(0.6) and got["units"] == 2
+
+
+def test_a_large_contrast_does_not_stop_the_summary(spark):
+    large = spark.createDataFrame([("large", f"d{i}", 0.1 * i - 1) for i in range(40)], "contrast_id string, domain string, difference double")
+    small = spark.createDataFrame([("small", f"d{i}", 0.5) for i in range(5)], "contrast_id string, domain string, difference double")
+    rows = {r["contrast_id"]: r for r in inference.small_sample_summary(large.unionByName(small)).collect()}
+    assert rows["small"]["sign_flip_p"] == pytest.approx(2 / 32)
+    assert rows["large"]["sign_flip_p"] is None and rows["large"]["sign_p"] is not None
+
+
+def test_clusters_must_name_a_shared_folder():
+    from railguard.session import is_one_process
+
+    assert is_one_process("local") and is_one_process("local[8]")
+    assert not any(map(is_one_process, ("local-cluster[2,1,1024]", "yarn", "spark://h:7077")))
