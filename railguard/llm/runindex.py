@@ -11,10 +11,18 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Symbols that are packed into the first sort key.
+PACKED = 7
+
 
 class RunLengthIndex:
     def __init__(self, texts: list[bytes], docs: np.ndarray, length: int):
-        """``docs`` has the document of each text; matches of ``length`` bytes are looked for."""
+        """``docs`` has the document of each text; matches of ``length`` bytes are looked for.
+
+        Steps are defined for bytes: a text is read from its last byte to its first one.
+        """
+        if length < PACKED:
+            raise ValueError(f"matches of at least {PACKED} bytes can be looked for")
         count = len(texts)
         self.sizes = np.fromiter(map(len, texts), np.int64, count)
         ends = np.cumsum(self.sizes + 1)
@@ -23,8 +31,7 @@ class RunLengthIndex:
         symbols = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[ends - 1] = False
-        symbols[inside] = np.frombuffer(b"".join(texts), np.uint8) + np.int64(count)
-        symbols[ends - 1] = np.arange(count)  # separators sort before all bytes, in order
+        symbols[inside] = np.frombuffer(b"".join(texts), np.uint8) + np.int64(1)
         owner = np.repeat(np.arange(count), self.sizes + 1)
         order, interval = self._sort(symbols, length)
         before = symbols[order - 1]
@@ -48,26 +55,40 @@ class RunLengthIndex:
     @staticmethod
     def _sort(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Suffix order by prefix doubling, and for each position the class of its first
-        ``length`` symbols."""
+        ``length`` symbols. ``symbols``: 0 for a separator, else the byte plus one."""
         n = len(symbols)
 
-        def ranked(a: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, bool]:
-            b = np.zeros(n, np.int64)
-            b[: n - shift] = a[shift:] + 1 if shift < n else 0
-            key = a * np.int64(n + 2 + 256) + b
+        def ranks(key: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+            """Dense ranks of the keys; ``alone`` marks keys that equal no other."""
             order = np.argsort(key, kind="stable")
-            fresh = np.r_[False, key[order][1:] != key[order][:-1]]
+            sorted_key = key[order]
+            fresh = np.r_[False, (sorted_key[1:] != sorted_key[:-1]) | alone[order][1:]]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(fresh)
             return rank, order, bool(fresh[1:].all())
 
-        rank, order, known = symbols, np.argsort(symbols, kind="stable"), 1
-        interval, done = None, False
+        def joined(rank: np.ndarray, shift: int) -> np.ndarray:
+            after = np.zeros(n, np.int64)
+            after[: n - shift] = rank[shift:] + 1 if shift < n else 0
+            return rank * np.int64(n + 2) + after
+
+        # Seven symbols fit one key. Behind a separator nothing is compared: separators are
+        # distinct, in the order of their texts, so such keys equal no other.
+        key, open_ = symbols.copy(), symbols > 0
+        for k in range(1, PACKED):
+            after = np.zeros(n, np.int64)
+            after[: n - k] = symbols[k:] if k < n else 0
+            after[~open_] = 0
+            key = key * 257 + after
+            open_ &= after > 0
+        none = np.zeros(n, bool)
+        rank, order, done = ranks(key, ~open_)
+        known, interval = PACKED, None
         while not done or interval is None:
             if interval is None and (done or 2 * known >= length):
-                interval = rank if done else ranked(rank, length - known)[0]
+                interval = rank if done else ranks(joined(rank, length - known), none)[0]
             if not done:
-                rank, order, done = ranked(rank, known)
+                rank, order, done = ranks(joined(rank, known), none)
                 known *= 2
         return order, interval
 

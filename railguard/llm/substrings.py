@@ -10,8 +10,9 @@ the same place, so only strings with a common anchor need to be compared; no mat
    frame within a task are settled at once: all but the smallest document's are repeats.
 2. For every anchor: frames that a smaller document has as well are settled; where an anchor
    has different frames, one copy of each is asked for.
-3. The frames asked for are cut from the texts and exchanged by anchor. Each block gets a
-   run-length index, through which its frames are streamed. A very frequent anchor with many
+3. The frames asked for are cut from the texts and exchanged by anchor. The parts of a block's
+   frames that may be shared (by hash) get a run-length index, through which they are streamed:
+   the index decides. A very frequent anchor with many
    different frames is dealt by its single strings instead, so that no block grows with it.
 4. The settled ranges are joined with the texts, which are exchanged once for both joins.
 
@@ -55,17 +56,24 @@ _PLACE = np.uint64(24)
 _PACKED = 17  # bytes of an entry: anchor 5, frame 6, position 4, document 2
 
 
-def anchor_keys(data: np.ndarray) -> np.ndarray:
-    """40 bits of hash of each ``ANCHOR``-byte string, above its place."""
+def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hash of the ``length`` bytes from every position on."""
     h = (data.astype(np.uint64) + np.uint64(1)) * _MIX[0]
     h ^= h >> np.uint64(29)
     size = 1
-    while size < ANCHOR:  # the hash of twice the length from those of both halves
-        h = (h[:-size] * _MIX[1]) ^ (h[size:] + _MIX[2])
+    while size < length:  # of up to twice the length, from those of two parts that may overlap
+        step = min(size, length - size)
+        h = (h[:-step] * _MIX[1]) ^ (h[step:] + _MIX[2])
         h ^= h >> np.uint64(31)
         h *= _MIX[0]
         h ^= h >> np.uint64(32)
-        size *= 2
+        size += step
+    return h
+
+
+def anchor_keys(data: np.ndarray) -> np.ndarray:
+    """40 bits of hash of each ``ANCHOR``-byte string, above its place."""
+    h = string_hashes(data, ANCHOR)
     return (h >> _PLACE << _PLACE) | np.arange(len(h), dtype=np.uint64)
 
 
@@ -230,6 +238,30 @@ def _resolve(batches: Iterator[pa.RecordBatch], hot_frames: int) -> Iterator[pa.
         yield from done()
 
 
+def shared_parts(contents: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frames with a string whose hash another document of the block has too: their places,
+    and from where to where such strings reach. The index need not hold anything else."""
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    first = np.cumsum(sizes) - sizes
+    count = np.maximum(sizes - LENGTH + 1, 0)
+    owner = np.repeat(np.arange(len(contents)), count)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    if not len(owner):
+        return owner, offset, offset
+    hashes = string_hashes(data, LENGTH)[first[owner] + offset]
+    order = np.argsort(hashes, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(hashes[order]) != 0])
+    of = docs[owner][order]
+    several = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+    shared = np.sort(order[np.repeat(several, np.diff(np.r_[starts, len(order)]))])
+    if not len(shared):
+        return shared, shared, shared
+    edge = np.flatnonzero(np.r_[True, owner[shared][1:] != owner[shared][:-1]])
+    last = np.r_[edge[1:], len(shared)] - 1
+    return owner[shared[edge]], offset[shared[edge]], offset[shared[last]] + LENGTH
+
+
 _PIECES = "block bigint, doc_id bigint, rid bigint, start bigint, content binary"
 _RANGES = "group bigint, rid bigint, start bigint, stop bigint"
 
@@ -282,8 +314,13 @@ def _match(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Record
         )
 
     def done(columns) -> pa.RecordBatch:
-        doc, rid, start, content = columns
-        index = RunLengthIndex(content, np.array(doc, np.int64), LENGTH)
+        doc, rid, start = (np.array(c, np.int64) for c in columns[:3])
+        kept, begin, end = shared_parts(columns[3], doc)
+        if not len(kept):
+            return ranges([], np.empty(0, np.int64), np.empty(0, np.int64))
+        content = [columns[3][k][b:e] for k, b, e in zip(kept.tolist(), begin.tolist(), end.tolist())]
+        doc, rid, start = doc[kept], rid[kept], start[kept] + begin
+        index = RunLengthIndex(content, doc, LENGTH)
         text, offset = index.matched()
         order = np.lexsort((offset, text))
         text, offset = text[order], offset[order]
@@ -291,8 +328,8 @@ def _match(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Record
             return ranges([], np.empty(0, np.int64), np.empty(0, np.int64))
         fresh = np.r_[True, (text[1:] != text[:-1]) | (offset[1:] > offset[:-1] + LENGTH)]
         first, last = np.flatnonzero(fresh), np.r_[np.flatnonzero(fresh)[1:], len(text)] - 1
-        base = np.array(start, np.int64)[text[first]]
-        return ranges(np.array(rid, np.int64)[text[first]], base + offset[first], base + offset[last] + LENGTH)
+        base = start[text[first]]
+        return ranges(rid[text[first]], base + offset[first], base + offset[last] + LENGTH)
 
     held: list[list] = [[], [], [], []]
     current = None

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from railguard.llm.runindex import RunLengthIndex
-from railguard.llm.substrings import anchors, repeated_strings
+from railguard.llm.substrings import anchors, repeated_strings, shared_parts
 
 
 def brute(rows):
@@ -63,25 +63,35 @@ def test_run_length_index_steps_and_matches():
     draw = random.Random(3)
     texts = [bytes(draw.choice(b"ab") for _ in range(draw.randrange(0, 40))) for _ in range(30)] + [b"abab" * 9] * 3
     docs = np.array([draw.randrange(10) for _ in texts])
-    index = RunLengthIndex(texts, docs, 6)
+    index = RunLengthIndex(texts, docs, 8)
     assert len(index.run_starts) < sum(map(len, texts)) + len(texts)
     for i, t in enumerate(texts):  # backward steps read every text from its last byte
         at, read = np.array([i]), []
         for _ in t:
             symbol, at = index.step(at)
-            read.append(int(symbol[0]) - len(texts))
+            read.append(int(symbol[0]) - 1)
         assert bytes(reversed(read)) == t
     expected = {
         (i, k)
         for i, t in enumerate(texts)
-        for k in range(len(t) - 5)
-        if any(t[k : k + 6] in u and docs[j] < docs[i] for j, u in enumerate(texts))
+        for k in range(len(t) - 7)
+        if any(t[k : k + 8] in u and docs[j] < docs[i] for j, u in enumerate(texts))
     }
     text, offset = index.matched()
     assert set(zip(text.tolist(), offset.tolist())) == expected
 
 
+def test_trimming_keeps_every_shared_string():
+    draw = random.Random(8)
+    passage = bytes(draw.randrange(97, 120) for _ in range(70))
+    frames = [bytes(draw.randrange(97, 120) for _ in range(84)) for _ in range(6)]
+    frames += [frames[0][:10] + passage[:60], passage[5:] + frames[1][:19], b"z" * 50, b"z" * 84]
+    docs = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 9])
+    where, start, stop = shared_parts(frames, docs)
+    assert where.tolist() == [6, 7] and start.tolist() == [15, 0] and stop.tolist() == [70, 55]
+
+
 def test_run_end_samples_are_text_positions():
-    index = RunLengthIndex([b"banana", b"bananas"], np.array([1, 2]), 3)
+    index = RunLengthIndex([b"banana", b"bananas"], np.array([1, 2]), 7)
     assert len(index.run_end_samples) == len(index.run_starts)
     assert set(index.run_end_samples.tolist()) <= set(range(15))
