@@ -64,7 +64,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
         end = np.array([END_ID], "<u2").tobytes()
 
         def step(texts, part):
-            ids = [parts.ids(t.decode()) + end if t else end for t in texts]
+            ids = [x + end for x in parts.ids([(t or b"").decode() for t in texts])]
             before = []
             for source, x in zip(part.column(0).field("source").to_pylist(), ids):
                 before.append(sums.get(source, 0))

@@ -15,9 +15,12 @@ import tiktoken
 
 #: Entries of the cache of one task; a full cache starts anew.
 CACHE_PARTS = 200_000
+#: Longer parts are not kept.
+LONG_PART = 48
 
 #: A space next to further white space, or at an end of the text, belongs to a longer run.
-_RUN = re.compile(r"\s | \s|\A | \Z")
+_TWO = re.compile(r"\s\s")  # quick, and without a hit there is no such run inside
+_RUN = re.compile(r"\s | \s")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -46,27 +49,45 @@ def load_encoding(path: str) -> tiktoken.Encoding:
 
 
 class PartIds(dict):
-    """Ids of a part as little-endian 16-bit words; misses are encoded and kept."""
+    """Ids of a part as little-endian 16-bit words. New parts of a slice of texts are encoded
+    in one go, and told apart by the bytes that their ids stand for."""
 
     def __init__(self, encoding: tiktoken.Encoding):
         super().__init__()
         self.encode = encoding.encode_ordinary
         if encoding.max_token_value >= 1 << 16:
             raise ValueError("the vocabulary does not fit 16-bit ids")
+        size = encoding.max_token_value + 1
+        self.widths = np.fromiter((len(encoding.decode_single_token_bytes(i)) for i in range(size)), np.int64, size)
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.encode(part), "<u2").tobytes()
-        if len(part) < 48:
-            if len(self) >= CACHE_PARTS:
-                self.clear()
-            self[part] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a whole text, two bytes each."""
+        return np.array(self.encode(part), "<u2").tobytes()
+
+    def learn(self, parts: set[str]) -> None:
+        """Add short parts that open with a space: such a space always opens a new run."""
+        fresh = [p for p in parts - self.keys() if p[:1] == " " and len(p) < LONG_PART]
+        if not fresh:
+            return
+        ids = np.array(self.encode("".join(fresh)), "<u2")
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in fresh), np.int64, len(fresh)))
+        cuts = (2 * np.searchsorted(np.cumsum(self.widths[ids]), ends) + 2).tolist()
+        data, start = ids.tobytes(), 0
+        for part, cut in zip(fresh, cuts):
+            self[part] = data[start:cut]
+            start = cut
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, two bytes each."""
+        if len(self) >= CACHE_PARTS:
+            self.clear()
+        parts = [self._parts(t) for t in texts]
+        self.learn(set().union(*parts))
+        return [b"".join([self[p] for p in ps]) for ps in parts]
+
+    @staticmethod
+    def _parts(text: str) -> list[str]:
         if not text:
-            return b""
-        if _RUN.search(text):
-            return np.array(self.encode(text), "<u2").tobytes()
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + part] for part in rest])
+            return []
+        if "\0" in text or " " in (text[0], text[-1]) or (_TWO.search(text) and _RUN.search(text)):
+            return [text]
+        return text.replace(" ", "\0 ").split("\0")
