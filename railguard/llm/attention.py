@@ -8,6 +8,7 @@ model is a proper distribution over the whole vocabulary at the cost of a small
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ CLASSES = 64
 SINGLES = 40
 #: Subwords scored per window, and earlier ones that a window shares with the one before.
 SCORED, SHARED = 16, 7
+#: Ids before a subword that its profile tells apart; the last place is for all others.
+PROFILE = 128
 KEYS = SCORED + SHARED
 
 _DISTANCE = np.arange(SHARED, KEYS)[:, None] - np.arange(KEYS)[None, :]
@@ -48,6 +51,9 @@ def windows(sequences: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarr
     return ids[begin[:, None] + np.arange(KEYS)], targets.reshape(-1, SCORED), owner
 
 
+WEIGHTS = ("vectors", "query", "key", "value", "bias", "out", "out_bias")
+
+
 @dataclass
 class Model:
     vectors: np.ndarray  # (ids + 1, WIDTH); the last one is the padding
@@ -95,22 +101,35 @@ class Model:
         return np.where(flat >= 0, log10, 0).reshape(targets.shape)
 
 
-def word_classes(counts: np.ndarray, ids: np.ndarray, rounds: int = 8) -> np.ndarray:
+def places(counts: np.ndarray) -> np.ndarray:
+    """Place of every id (and the padding) in a profile: the most frequent ids have one each."""
+    size = len(counts)
+    place = np.full(size + 1, PROFILE - 1)
+    frequent = np.lexsort((np.arange(size), -counts))[: PROFILE - 1]
+    place[frequent] = np.arange(len(frequent))
+    return place
+
+
+def neighbours(before: np.ndarray, after: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """``id * PROFILE + place of the id before it`` for every pair of real ids."""
+    real = (after < len(place) - 1) & (before < len(place) - 1)
+    return after[real].astype(np.int64) * PROFILE + place[before[real]]
+
+
+def word_classes(counts: np.ndarray, ids: np.ndarray, rounds: int = 8, profile: np.ndarray | None = None) -> np.ndarray:
     """Class of every id: frequent ids alone, the others by what stands before them.
 
-    ``counts`` are corpus counts; ``ids`` sample windows whose neighbours give each id a
-    profile over the most frequent ids, clustered by k-means. Unseen ids share the last class.
+    ``counts`` are corpus counts. ``profile`` (ids, PROFILE) counts what stands before each
+    id, over the corpus; without it the neighbours in the windows ``ids`` are counted. The
+    profiles are clustered by k-means. Ids that occur nowhere share the last class.
     """
     size = len(counts)
     order = np.lexsort((np.arange(size), -counts))
     classes = np.full(size, CLASSES - 1)
     classes[order[:SINGLES]] = np.arange(SINGLES)
-    place = np.full(size + 1, 127)
-    place[order[:127]] = np.arange(127)
-    before, after = ids[:, :-1].ravel(), ids[:, 1:].ravel()
-    real = (after < size) & (before < size)
-    before, after = before[real], after[real]
-    profile = np.bincount(after * 128 + place[before], minlength=size * 128).reshape(size, 128).astype(np.float32)
+    if profile is None:
+        keys = neighbours(ids[:, :-1].ravel(), ids[:, 1:].ravel(), places(counts))
+        profile = np.bincount(keys, minlength=size * PROFILE).reshape(size, PROFILE).astype(np.float32)
     rest = order[SINGLES:]
     rest = rest[profile[rest].sum(1) > 0]
     groups = CLASSES - SINGLES - 1
@@ -129,11 +148,17 @@ def word_classes(counts: np.ndarray, ids: np.ndarray, rounds: int = 8) -> np.nda
 
 
 def train(
-    ids: np.ndarray, targets: np.ndarray, counts: np.ndarray, epochs: int = 2, batch: int = 512, rate: float = 0.01
+    ids: np.ndarray,
+    targets: np.ndarray,
+    counts: np.ndarray,
+    epochs: int = 2,
+    batch: int = 512,
+    rate: float = 0.01,
+    profile: np.ndarray | None = None,
 ) -> Model:
-    """Fit on sample windows with Adam; corpus ``counts`` give classes, shares and the start."""
+    """Fit on windows with Adam; corpus ``counts`` and ``profile`` give classes, shares and the start."""
     size = len(counts)
-    classes = word_classes(counts, ids)
+    classes = word_classes(counts, ids, profile=profile)
     smooth = counts + 0.1
     totals = np.bincount(classes, smooth, CLASSES)
     emission = np.log10(smooth / totals[classes]).astype(np.float32)
@@ -164,18 +189,69 @@ def train(
     return Model(**p, classes=classes, emission=emission)
 
 
+def continued(model: Model, blocks: Iterable[tuple[np.ndarray, np.ndarray]], batch: int = 512, rate: float = 0.003) -> np.ndarray | None:
+    """One pass of Adam over all windows of the blocks, from the model's weights on.
+
+    Gives weighted sums, so that those of several tasks add up (see ``averaged``): vectors
+    by how often each id was read, all other weights by windows. None without windows.
+    """
+    p = {k: getattr(model, k).astype(np.float32) for k in WEIGHTS}
+    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    read, seen, step = np.zeros(len(p["vectors"]), np.float32), 0, 0
+    draw = np.random.default_rng(7)
+    for ids, targets in blocks:
+        order = draw.permutation(len(ids))
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            step += 1
+            seen += len(rows)
+            used, found = _gradients(p, ids[rows], targets[rows], model.classes)
+            read += np.bincount(ids[rows].ravel(), minlength=len(read))
+            for k, g in found.items():
+                on = used if k == "vectors" else slice(None)  # other vectors keep their moments
+                m[k][on] += 0.1 * (g - m[k][on])
+                v[k][on] += 0.01 * (g * g - v[k][on])
+                p[k][on] -= np.float32(rate / (1 - 0.9**step)) * m[k][on] / (np.sqrt(v[k][on] / np.float32(1 - 0.99**step)) + 1e-8)
+    if not seen:
+        return None
+    rest = [p[k].ravel() * np.float32(seen) for k in WEIGHTS[1:]]
+    return np.concatenate([(p["vectors"] * read[:, None]).ravel(), read, *rest, [seen]]).astype(np.float32)
+
+
+def averaged(model: Model, sums: np.ndarray) -> Model:
+    """The weighted mean of continued models; vectors of ids that none has read stay."""
+    cut = np.split(sums.astype(np.float64), np.cumsum([model.vectors.size, len(model.vectors), *[getattr(model, k).size for k in WEIGHTS[1:]]]))
+    vectors, read = cut[0].reshape(model.vectors.shape), cut[1][:, None]
+    found = {"vectors": np.where(read > 0, vectors / np.maximum(read, 1), model.vectors)}
+    found |= {k: (x / cut[-1]).reshape(getattr(model, k).shape) for k, x in zip(WEIGHTS[1:], cut[2:])}
+    return Model(**{k: x.astype(np.float32) for k, x in found.items()}, classes=model.classes, emission=model.emission)
+
+
 def gradients(p: dict, ids: np.ndarray, targets: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log probability of the targets' classes."""
+    used, found = _gradients(p, ids, targets, classes)
+    vectors = np.zeros_like(p["vectors"])
+    vectors[used] = found["vectors"]
+    return found | {"vectors": vectors}
+
+
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
+
+
+def _gradients(p: dict, ids: np.ndarray, targets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The ids read, and the gradients, of ``vectors`` for those ids only."""
     pad, scale = len(p["vectors"]) - 1, np.float32(1 / np.sqrt(WIDTH))
     e = p["vectors"][ids]
-    last = e[:, SHARED:]
-    q, k, v = last @ p["query"], e @ p["key"], e @ p["value"]
+    last = np.ascontiguousarray(e[:, SHARED:])
+    # Flat products: one large matrix instead of many small ones.
+    q, k, v = (_times(x, p[name]) for x, name in ((last, "query"), (e, "key"), (e, "value")))
     s = q @ k.transpose(0, 2, 1) * scale + p["bias"][_FAR] + _CAUSAL
     s += np.where(ids == pad, np.float32(-30), np.float32(0))[:, None, :]
     a = np.exp(s - s.max(2, keepdims=True))
     a /= a.sum(2, keepdims=True)
     h = last + a @ v
-    z = h @ p["out"] + p["out_bias"]
+    z = _times(h, p["out"]) + p["out_bias"]
     soft = np.exp(z - z.max(2, keepdims=True))
     soft /= soft.sum(2, keepdims=True)
     real = targets >= 0
@@ -183,18 +259,19 @@ def gradients(p: dict, ids: np.ndarray, targets: np.ndarray, classes: np.ndarray
     i, j = np.nonzero(real)
     dz[i, j, classes[targets[i, j]]] -= 1
     dz *= (real / max(real.sum(), 1)).astype(np.float32)[:, :, None]
-    dh = dz @ p["out"].T
+    dh = _times(dz, p["out"].T)
     da = dh @ v.transpose(0, 2, 1)
     ds = a * (da - (a * da).sum(2, keepdims=True))
     dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
     dv = a.transpose(0, 2, 1) @ dh
-    de = dk @ p["key"].T + dv @ p["value"].T
-    de[:, SHARED:] += dh + dq @ p["query"].T
+    de = _times(dk, p["key"].T) + _times(dv, p["value"].T)
+    de[:, SHARED:] += dh + _times(dq, p["query"].T)
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    dvectors = np.zeros_like(p["vectors"])
-    np.add.at(dvectors, ids.ravel(), flat(de))
-    return {
-        "vectors": dvectors,
+    # Rows of one id are brought together and added up in one go.
+    order = np.argsort(ids, axis=None, kind="stable")
+    used, first = np.unique(ids.ravel()[order], return_index=True)
+    return used, {
+        "vectors": np.add.reduceat(flat(de)[order], first),
         "query": flat(last).T @ flat(dq),
         "key": flat(e).T @ flat(dk),
         "value": flat(e).T @ flat(dv),

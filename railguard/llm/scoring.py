@@ -1,11 +1,14 @@
 """LM scoring: smoothed word counts, and a causal self-attention model on subword ids.
 
 1. Tasks count the words of the training documents, Spark adds the counts up.
-2. The counted words, split into subwords, give corpus counts of every subword: the classes
-   and the shares within them. The attention weights are fitted on a sample of windows that
-   is bounded by ``SAMPLE_DOCS`` and ``WINDOWS_PER_DOC``; everything counted covers all
-   training documents.
-3. One pass scores every document: overlapping windows score each subword once. Counts of
+2. The counted words, split into subwords, give corpus counts of every subword. The training
+   documents are written once as subword ids; tasks count what stands before every subword,
+   over all of them: the classes, and the shares within them.
+3. The attention weights start from a sample of windows (``SAMPLE_DOCS``, ``WINDOWS_PER_DOC``)
+   and are then fitted on all windows of all training documents: every task passes over its
+   own ones from the same start, and the tasks' weights are averaged by what each has read.
+   The deal of documents to tasks so decides the last digits of a score, not what is read.
+4. One pass scores every document: overlapping windows score each subword once. Counts of
    the ``TOP_WORDS`` most frequent words come from a broadcast of that size; the other words
    of a document are joined with the count table on the word (none of them is frequent, so
    no key is hot) and added up per document.
@@ -26,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from railguard.llm.attention import KEYS, SCORED, Model, train, windows
+from railguard.llm.attention import KEYS, PROFILE, SCORED, Model, averaged, continued, neighbours, places, train, windows
 from railguard.llm.common import fold, map_documents, slices, utf8
 from railguard.llm.packing import default_vocabulary
 from railguard.llm.tokens import load_encoding
@@ -41,6 +44,8 @@ END_ID = 50256
 TOP_WORDS = 1 << 17
 COUNTED_WORDS = 300_000
 SAMPLE_DOCS, WINDOWS_PER_DOC = 2000, 32
+#: Levels in which tasks add weights up before the driver gets the sum.
+SUM_DEPTH = 3
 #: Windows scored at a time, and entries of a task's subword cache.
 BATCH_WINDOWS = 1024
 CACHE_WORDS = 200_000
@@ -150,6 +155,60 @@ def sample_windows(training: DataFrame, vocabulary: str) -> tuple[np.ndarray, np
     return x.reshape(-1, KEYS), y.reshape(-1, SCORED)
 
 
+def subword_sequences(training: DataFrame, vocabulary: str) -> DataFrame:
+    """The subword ids of every training document as 16-bit numbers, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds(vocabulary)
+        for part in slices(batches):
+            made = [ids.sequence(words_of(text)).astype("<u2").tobytes() for text in utf8(part.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
+
+    return durable(training.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "ids binary"))
+
+
+def _sequences(part: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int64) for x in part.column(0).to_pylist()]
+
+
+def profiles(sequences: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """What stands before each id, counted over all training documents."""
+    place = places(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(counts) * PROFILE, np.int64)
+        for part in slices(batches):
+            for x in _sequences(part):
+                np.add.at(total, neighbours(x[:-1], x[1:], place), 1)
+        known = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(total[known])], names=["k", "n"])
+
+    # At most PROFILE rows per id of the vocabulary, whatever the corpus.
+    rows = sequences.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(counts) * PROFILE, np.float32)
+    out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(-1, PROFILE)
+
+
+def fitted_on_all(model: Model, sequences: DataFrame) -> Model:
+    """The model after one pass over all windows of the training documents."""
+    shared = sequences.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = shared.value
+        blocks = (windows(_sequences(part), start.pad)[:2] for part in slices(batches))
+        sums = continued(start, blocks)
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    def add(a, b):
+        return b if a is None else a if b is None else a + b
+
+    rows = sequences.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"], np.float32))
+    sums = rows.treeAggregate(None, add, add, SUM_DEPTH)
+    return model if sums is None else averaged(model, sums)
+
+
 def scored(docs: DataFrame, training: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
@@ -157,8 +216,10 @@ def scored(docs: DataFrame, training: DataFrame, vocabulary: str | None = None)
     counts = word_counts(training)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = {r["word"]: r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()}
-    sample = sample_windows(training, vocabulary)
-    model = _fit(sample, subword_counts(counts, vocabulary))
+    sequences = subword_sequences(training, vocabulary)
+    known = subword_counts(counts, vocabulary)
+    start = _fit(sample_windows(training, vocabulary), known, profiles(sequences, known))
+    model = fitted_on_all(start, sequences)
     shared = spark.sparkContext.broadcast((model, {w.encode(): c for w, c in top.items()}))
     denominator = total + 0.1 * (distinct + 1)
     unknown = math.log10(0.1 / denominator)
@@ -181,11 +242,11 @@ def scored(docs: DataFrame, training: DataFrame, vocabulary: str | None = None)
     )
 
 
-def _fit(sample: tuple[np.ndarray, np.ndarray], counts: np.ndarray) -> Model:
+def _fit(sample: tuple[np.ndarray, np.ndarray], counts: np.ndarray, profile: np.ndarray) -> Model:
     ids, targets = sample
     if not len(ids):
         ids, targets = windows([np.array([END_ID, END_ID])], END_ID + 1)[:2]
-    return train(ids, targets, counts)
+    return train(ids, targets, counts, profile=profile)
 
 
 def _score(docs: DataFrame, shared, vocabulary: str, denominator: float) -> DataFrame:

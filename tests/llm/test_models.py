@@ -186,3 +186,31 @@ def test_gradients_match_differences(small):
         step = draw.normal(0, 1, p[k].shape)
         up, down = ({**p, k: p[k] + s * 1e-2 * step} for s in (1, -1))
         assert np.isclose((loss(up) - loss(down)) / 2e-2, (found[k] * step).sum(), rtol=0.03, atol=2e-3), k
+
+
+def test_every_training_document_teaches_the_model(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SAMPLE_DOCS", 1)
+    monkeypatch.setattr(scoring, "WINDOWS_PER_DOC", 1)
+    # The sample has one window; all else comes from the other documents.
+    filler = " ".join(f"w{i}" for i in range(60))
+    texts = [f"{filler} {i} " + "zebra quartz violin " * 30 for i in range(40)]
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    vocabulary = scoring.default_vocabulary()
+    sequences = scoring.subword_sequences(training, vocabulary)
+    ids = scoring.WordIds(vocabulary)
+    own = [ids.sequence(scoring.words_of(t.encode())) for t in texts]
+    assert sorted(r["ids"] for r in sequences.collect()) == sorted(x.astype("<u2").tobytes() for x in own)
+    counts = np.bincount(np.concatenate([x[1:] for x in own]), minlength=scoring.END_ID + 1).astype(float)
+    profile = scoring.profiles(sequences, counts)
+    assert profile.sum() == sum(len(x) - 1 for x in own)
+    place = attention.places(counts)
+    pairs = Counter((int(b), int(place[a])) for x in own for a, b in zip(x[:-1], x[1:]))
+    assert all(profile[b, k] == n for (b, k), n in pairs.items()) and (profile > 0).sum() == len(pairs)
+    start = scoring._fit(scoring.sample_windows(training, vocabulary), counts, profile)
+    assert (start.classes[counts > 0] < attention.CLASSES - 1).all()
+    model = scoring.fitted_on_all(start, sequences)
+    read = np.unique(np.concatenate([x[:-1] for x in own]))
+    assert (model.vectors[read] != start.vectors[read]).any(1).all()
+    x, y, _ = attention.windows(own, start.pad)
+    before, after = (m.prepare().log10_probabilities(x, y).sum() for m in (start, model))
+    assert after > before
