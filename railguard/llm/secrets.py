@@ -31,13 +31,14 @@ KINDS = ["assign", "access", "hex", "novel"]
 
 #: Words one of which an assignment needs.
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-#: Words that make the string after them sensitive.
+#: Words that make the string after them sensitive; the pattern takes each of them, so that a
+#: text without any has no candidates.
 CONTEXT_WORDS = (
     b"auth", b"bearer", b"credential", b"private", b"signature", b"session", b"pwd", b"passphrase",
-    b"_key", b"key=", b"key:", b"key =", b"key :", *ASSIGN_WORDS,
+    b"password", b"passwd", b"secret", b"token", b"key",
 )
 CANDIDATE = re.compile(
-    rb"""(?:auth|bearer|credential|private|signature|session|pwd|passphrase|password|passwd|secret|token|key)"""
+    rb"(?:" + b"|".join(CONTEXT_WORDS) + rb")"
     rb"""[A-Za-z_]{0,16}["']?[\x20\t]{0,3}[:=]?[\x20\t]{0,3}["']?([A-Za-z0-9+/_=-]{16,})""",
     re.IGNORECASE,
 )

@@ -115,6 +115,12 @@ def test_novelty_is_low_for_known_strings():
     assert novelty.added(twice, len(twice) - len(value), len(twice)) < len(value) / 2
 
 
+@pytest.mark.parametrize("context", [b'"encryptionKey": "', b'"key": "', b"key\t= ", b"sshkeys: ", b"KEY "])
+def test_every_context_word_opens_the_gate(context):
+    text = context + b"Qz8vJ2kXw0Lm5Rt7Yp3B"
+    assert [text[a:b] for a, b, _ in Novelty().spans(text, [])] == [b"Qz8vJ2kXw0Lm5Rt7Yp3B"]
+
+
 def test_redaction(spark):
     text = b"a secret:abcdefgh b " + b"0123456789abcdef" * 2
     assert redact(text, base_spans(text)) == b"a [SECRET] b [SECRET]"
