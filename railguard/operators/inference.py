@@ -19,6 +19,8 @@ from railguard.operators.ordering import numbered_by_range
 
 MAX_DOMAINS = 10_000
 MAX_SIGN_FLIP = 24
+#: Non-zero differences of a signed-rank test (its table of sums grows with their square).
+MAX_SIGNED_RANK = 200
 #: Units of a contrast that are held as one row (8 MB); larger contrasts join their draws.
 ARRAY_UNITS = 1_000_000
 #: Draws that a task makes at a time.
@@ -308,12 +310,21 @@ def wilcoxon(contrasts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
         "domain",
         F.when(F.col("difference") > 0, mid).otherwise(-mid).alias("difference"),
     )
-    arrays = contrast_arrays(ranked, MAX_SIGN_FLIP).withColumn(
-        "observed", F.abs(_array_sum(F.col("values")))
+    # Doubled mid-ranks are whole numbers: one halving per rank gives the chances of all sums.
+    arrays = contrast_arrays(ranked, MAX_SIGNED_RANK).select(
+        "contrast_id", F.transform("values", lambda x: F.round(2 * x).cast("int")).alias("signed")
     )
-    return _exact_share(arrays, "values", F.lit(1.0), tolerance).select(
-        "contrast_id", F.col("share").alias("wilcoxon_p")
+    total = lambda values: F.aggregate(values, F.lit(0), lambda t, x: t + x)
+    arrays = arrays.withColumn("total", total(F.transform("signed", F.abs))).withColumn("observed", F.abs(total(F.col("signed"))))
+    chances = F.aggregate(
+        F.transform("signed", F.abs),
+        F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.col("total"))),
+        lambda acc, r: F.transform(acc, lambda x, i: 0.5 * (x + F.coalesce(F.get(acc, i - r), F.lit(0.0)))),
     )
+    extreme = F.transform(
+        chances, lambda x, i: F.when(F.abs(2 * i - F.col("total")) >= F.col("observed") - tolerance, x).otherwise(0.0)
+    )
+    return arrays.select("contrast_id", F.aggregate(extreme, F.lit(0.0), lambda t, x: t + x).alias("wilcoxon_p"))
 
 
 def binomial_tail(trials: Column, upto: Column) -> Column:
@@ -362,12 +373,16 @@ def t_interval(contrasts: DataFrame) -> DataFrame:
 def small_sample_summary(contrasts: DataFrame) -> DataFrame:
     """All exact small-n statistics of every contrast in one table.
 
-    The two tests that list all sign assignments are NULL for a contrast with more than
-    ``MAX_SIGN_FLIP`` domains; its other statistics, and those of other contrasts, stand.
+    The sign-flip test lists all sign assignments and is NULL for a contrast with more than
+    ``MAX_SIGN_FLIP`` domains, the signed-rank test for one with more than ``MAX_SIGNED_RANK``
+    non-zero differences; its other statistics, and those of other contrasts, stand.
     """
-    counted = contrasts.groupBy("contrast_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = contrasts.groupBy("contrast_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("difference") != 0).alias("nonzero")
+    )
     few = contrasts.join(counted.filter(F.col("n") <= MAX_SIGN_FLIP), "contrast_id", "left_semi")
-    parts = [t_interval(contrasts), sign_test(contrasts), sign_flip(few), wilcoxon(few)]
+    ranked = contrasts.join(counted.filter(F.col("nonzero") <= MAX_SIGNED_RANK), "contrast_id", "left_semi")
+    parts = [t_interval(contrasts), sign_test(contrasts), sign_flip(few), wilcoxon(ranked)]
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, "contrast_id", "left")

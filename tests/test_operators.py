@@ -257,3 +257,29 @@ def test_clusters_must_name_a_shared_folder():
 
     assert is_one_process("local") and is_one_process("local[8]")
     assert not any(map(is_one_process, ("local-cluster[2,1,1024]", "yarn", "spark://h:7077")))
+
+
+def test_signed_rank_beyond_the_sign_flip_limit(spark):
+    draw = np.random.default_rng(5)
+    groups = {
+        "many": np.round(draw.normal(0.3, 1, 60), 1),  # ties and zeros
+        "zeros": np.r_[np.zeros(30), draw.normal(0.5, 1, 10)],
+        "huge": draw.normal(0, 1, inference.MAX_SIGNED_RANK + 1),
+    }
+    rows = [(c, f"d{i:03}", float(x)) for c, v in groups.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "contrast_id string, domain string, difference double")
+    got = {r["contrast_id"]: r for r in inference.small_sample_summary(df).collect()}
+    for c in ("many", "zeros"):
+        v = groups[c][groups[c] != 0]
+        size = np.abs(v)
+        ranks = [int((size < x).sum() * 2 + (size == x).sum() + 1) for x in size]
+        ways = {0: 1}
+        for r in ranks:
+            more = dict(ways)
+            for k, n in ways.items():
+                more[k + r] = more.get(k + r, 0) + n
+            ways = more
+        seen = abs(sum(r if x > 0 else -r for r, x in zip(ranks, v)))
+        want = sum(n for k, n in ways.items() if abs(2 * k - sum(ranks)) >= seen) / 2 ** len(v)
+        assert got[c]["wilcoxon_p"] == pytest.approx(want, rel=1e-9) and got[c]["sign_flip_p"] is None
+    assert got["huge"]["wilcoxon_p"] is None and got["huge"]["sign_p"] is not None
