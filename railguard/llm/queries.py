@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from railguard.llm.decontaminate import OP1_SQL, op1_decontaminate
 from railguard.llm.langid import op5_langid
+from railguard.llm.nbsvm import op12_quality
 from railguard.llm.packing import op3_packing
 from railguard.llm.pii import op8_pii
 from railguard.llm.quality import op6_quality
@@ -12,6 +13,7 @@ from railguard.llm.secrets import op10_secrets
 from railguard.llm.simhash import op4_simhash
 from railguard.llm.substrings import op9_substrings
 from railguard.llm.urls import OP2_SQL, op2_urls
+from railguard.llm.whitening import op13_whitening
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +28,8 @@ QUERIES = {
         op8_pii,
         op9_substrings,
         op10_secrets,
+        op12_quality,
+        op13_whitening,
     )
 }
 
