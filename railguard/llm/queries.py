@@ -12,6 +12,7 @@ from railguard.llm.scoring import op7_scoring
 from railguard.llm.secrets import op10_secrets
 from railguard.llm.simhash import op4_simhash
 from railguard.llm.substrings import op9_substrings
+from railguard.llm.trie import OP11_SQL, op11_trie
 from railguard.llm.urls import OP2_SQL, op2_urls
 from railguard.llm.whitening import op13_whitening
 
@@ -28,9 +29,10 @@ QUERIES = {
         op8_pii,
         op9_substrings,
         op10_secrets,
+        op11_trie,
         op12_quality,
         op13_whitening,
     )
 }
 
-ORACLES = {"op1_decontaminate": OP1_SQL, "op2_urls": OP2_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op2_urls": OP2_SQL, "op11_trie": OP11_SQL}

@@ -116,4 +116,8 @@ def test_entries_outside_the_exact_range(spark):
     df = spark.createDataFrame(big, "vec_id bigint, embedding array<double>")
     rows = whitening.whitened(spark, df).collect()
     assert len(rows) == 6 and rows[0]["identity_error"] < 1e-4
-    assert {r["deviation"] for r in rows} == {None}
+    # Entries are clipped to the 64-bit range; two of the squared sums leave it.
+    low, high = -(2**63), 2**63 - 1_000_001
+    x = [[high, 64], [low, 128], [320, 192]]
+    small = sum((3 * x[2][j] - sum(r[j] for r in x)) ** 2 for j in range(2))
+    assert {(r["vec_id"], r["deviation"]) for r in rows} == {(1, None), (2, None), (3, small)}
