@@ -6,6 +6,7 @@ from railguard.catalog import (  # noqa: F401  (importing a module registers its
     evaluation,
     inference,
     learning,
+    nested,
     relational,
     streams,
     trajectory,

@@ -7,6 +7,9 @@ no window form.  Two physical forms share one definition of the arithmetic:
 * longer units: a streaming pass over sorted partitions with Arrow batches.  A task
   holds one batch and one state at a time, whatever the unit's length.
 
+Grids of parameters step by rank: the first records of all units in a batch together,
+then the second ones, so that one array operation serves many units and grid points.
+
 Cut units run piece by piece.  The state entering each piece is found by repeating
 "run all unsettled pieces in parallel, pass their end states on" until nothing
 changes.  At that fixed point every piece started from exactly the state its
@@ -15,7 +18,6 @@ predecessor ended with, so the result is bit-identical to one sequential pass.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +38,8 @@ class Fold:
 
     ``step(previous, values)`` returns the new state tuple; ``previous`` is ``None`` for
     the first record of a unit.  ``values`` follow ``inputs``.  With ``arrays`` the state
-    columns are ``array<double>`` (one entry per grid point).
+    columns are ``array<double>`` (one entry per grid point) and a step takes one record
+    each of many units: all values and states have a leading axis of units.
     """
 
     inputs: tuple[str, ...]
@@ -57,6 +60,11 @@ class Fold:
         """State columns that cross from one piece to the next."""
         return self.state
 
+    @property
+    def emitted(self) -> tuple[str, ...]:
+        """State columns that leave the task."""
+        return self.state
+
     @property
     def state_type(self) -> T.DataType:
         return T.ArrayType(T.DoubleType()) if self.arrays else T.DoubleType()
@@ -121,23 +129,43 @@ class RecoveryFold(Fold):
         return b, min(max(candidate, low), high)
 
 
+def _bounded(x, fold):
+    return np.minimum(np.maximum(x, fold.y_min), fold.y_max)
+
+
+def _by_pair(values: np.ndarray) -> np.ndarray:
+    """(units, pairs, 1): a scalar column has one pair, an array column one per entry."""
+    return values.reshape(len(values), -1, 1)
+
+
+def _flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(len(x), -1)
+
+
 @dataclass(frozen=True)
 class StateGridFold(Fold):
-    """The protected state for a whole grid of ``alphas`` in one pass."""
+    """The protected state for a whole grid of ``alphas`` in one pass.
+
+    Inputs of this and the other grids may be array columns, one entry per pair-specific
+    prediction of the record; the pair is then the slowest axis of the state.
+    """
 
     arrays: bool = True
     alphas: tuple[float, ...] = (1.0,)
     y_min: float = Y_MIN
     y_max: float = Y_MAX
 
-    def step(self, previous, values):
+    def absorb(self, previous, raw):
+        """States (units, pairs, alphas) after one more record."""
         grid = np.asarray(self.alphas)
         if previous is None:
-            first = np.full(grid.size, values[0])
-            return (np.minimum(np.maximum(first, self.y_min), self.y_max),)
-        b = np.asarray(previous[0])
-        b = b + grid * np.minimum(values[0] - b, 0.0)
-        return (np.minimum(np.maximum(b, self.y_min), self.y_max),)
+            return _bounded(np.repeat(raw, grid.size, axis=2), self)
+        b = previous.reshape(len(raw), -1, grid.size)
+        return _bounded(b + grid * np.minimum(raw - b, 0.0), self)
+
+    def step(self, previous, values):
+        b = self.absorb(None if previous is None else previous[0], _by_pair(values[0]))
+        return (_flat(b),)
 
 
 @dataclass(frozen=True)
@@ -155,54 +183,48 @@ class RecoveryGridFold(Fold):
     y_max: float = Y_MAX
 
     def step(self, previous, values):
-        raw, candidate = values
+        raw, candidate = map(_by_pair, values)
         grid, rise = np.asarray(self.alphas), np.asarray(self.allowances)
         if previous is None:
-            b = np.full(grid.size, min(max(raw, self.y_min), self.y_max))
-            last = np.full(grid.size, self.y_max)
+            b = _bounded(np.repeat(raw, grid.size, axis=2), self)
+            last = np.full(b.shape, self.y_max)
         else:
-            b, last = np.asarray(previous[0]), np.asarray(previous[1])
+            b, last = (x.reshape(len(raw), -1, grid.size) for x in previous)
             gap = raw - b
-            b = b + np.where(gap <= 0.0, grid * gap, np.minimum(gap, rise))
-            b = np.minimum(np.maximum(b, self.y_min), self.y_max)
+            b = _bounded(b + np.where(gap <= 0.0, grid * gap, np.minimum(gap, rise)), self)
         low = np.maximum(self.y_min, b - self.budget)
         high = np.maximum(
             low, np.minimum(np.minimum(self.y_max, b + self.budget), last + rise)
         )
-        return b, np.minimum(np.maximum(candidate, low), high)
+        return _flat(b), _flat(np.minimum(np.maximum(candidate, low), high))
 
 
 @dataclass(frozen=True)
-class GuardGridFold(Fold):
+class GuardGridFold(StateGridFold):
     """State for every alpha and guarded output for every (alpha, budget), in one pass.
 
     Inputs: raw, candidate.  Output arrays are alpha-major.
     """
 
-    arrays: bool = True
-    alphas: tuple[float, ...] = (1.0,)
     budgets: tuple[float, ...] = (0.01,)
-    y_min: float = Y_MIN
-    y_max: float = Y_MAX
 
     def step(self, previous, values):
-        grid = np.asarray(self.alphas)
-        if previous is None:
-            b = np.full(grid.size, min(max(values[0], self.y_min), self.y_max))
-            last = np.full(grid.size * len(self.budgets), self.y_max)
-        else:
-            b, last = np.asarray(previous[0]), np.asarray(previous[1])
-            b = b + grid * np.minimum(values[0] - b, 0.0)
-            b = np.minimum(np.maximum(b, self.y_min), self.y_max)
+        raw, candidate = map(_by_pair, values)
+        b = self.absorb(None if previous is None else previous[0], raw)
         width = np.asarray(self.budgets)
-        low = np.maximum(self.y_min, b[:, None] - width).ravel()
-        high = np.minimum(self.y_max, b[:, None] + width).ravel()
-        return b, np.minimum(last, np.minimum(np.maximum(values[1], low), high))
+        low = np.maximum(self.y_min, b[..., None] - width)
+        high = np.minimum(self.y_max, b[..., None] + width)
+        p = np.minimum(np.maximum(candidate[..., None], low), high)
+        if previous is not None:
+            p = np.minimum(previous[1].reshape(p.shape), p)
+        else:
+            p = np.minimum(self.y_max, p)
+        return _flat(b), _flat(p)
 
 
 @dataclass(frozen=True)
 class GridErrors(Fold):
-    """Summed absolute errors of a whole parameter grid, one row per unit.
+    """Summed absolute errors of a whole parameter grid and scored records, one row per unit.
 
     Wraps a grid fold whose last state column is the grid output; inputs are those of
     ``inner`` plus the truth.  ``offsets`` scores shifted, clipped outputs instead.
@@ -218,34 +240,135 @@ class GridErrors(Fold):
     def carried(self) -> tuple[str, ...]:
         return self.inner.state
 
+    @property
+    def emitted(self) -> tuple[str, ...]:
+        return self.state[-2:]
+
     def resume(self, carried):
-        return (*carried, None)
+        return (*carried, None, None)
 
     def step(self, previous, values):
         *inputs, truth = values
-        total = None if previous is None else previous[-1]
-        started = previous is not None
-        state = self.inner.step(previous[:-1] if started else None, inputs)
-        output = np.asarray(state[-1])
+        total, scored = (None, None) if previous is None else previous[-2:]
+        state = self.inner.step(None if previous is None else previous[:-2], inputs)
+        output = state[-1]
         if self.offsets:
-            shifted = output[:, None] + np.asarray(self.offsets)
-            output = np.minimum(np.maximum(shifted, self.y_min), self.y_max).ravel()
-        if truth is None or not math.isfinite(truth):  # projected, but not scored
-            return (*state, np.zeros(output.size) if total is None else total)
-        error = np.abs(output - truth)
-        return (*state, error if total is None else total + error)
+            output = _flat(_bounded(output[..., None] + np.asarray(self.offsets), self))
+        known = np.isfinite(truth)[:, None]  # others are projected, but not scored
+        error = np.where(known, np.abs(output - truth[:, None]), 0.0)
+        if total is None:
+            return (*state, error, known.astype(float))
+        return (*state, total + error, scored + known)
+
+
+def _column(column: pa.Array) -> np.ndarray:
+    """A scalar column as (rows,), an array column of one length as (rows, length)."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).astype(float)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if column.null_count or len({*np.diff(column.offsets.to_numpy()).tolist()}) > 1:
+        raise ValueError("array inputs of a grid need one length in all records")
+    return flat.reshape(len(column), -1)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+
+
+def _grid_batches(fold: Fold, part: list[str], starts: bool, last_only: bool):
+    """Streaming kernel of grid folds: all units of a batch step together, rank by rank.
+
+    Units are ordered by length inside the batch, so the units that still have records are
+    always the first ones; the last unit of a batch stays open for the next one.
+    """
+    start_columns = [f"{_START}{s}" for s in fold.carried]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, fields = None, None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            values = [_column(batch.column(n)) for n in fold.inputs]
+            fields = [batch.schema.field(c) for c in part]
+            names = list(zip(*[batch.column(c).to_pylist() for c in part]))
+            first = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]]]
+            lengths = np.diff([*first, len(names)])
+            order = np.argsort(-lengths, kind="stable")
+            at, sizes = np.asarray(first)[order], lengths[order]
+            resumed = np.zeros(len(first), bool)
+            if starts:
+                begin = batch.column(start_columns[0])
+                resumed = np.asarray(begin.take(pa.array(at)).is_valid())
+            open_unit = names[0] == key
+            if key is not None and not open_unit and last_only:
+                yield _ends([key], state, fields)
+            every: list[np.ndarray] | None = None
+            for rank in range(int(sizes[0])):
+                active = int(np.searchsorted(-sizes, -rank, "left"))
+                rows = at[:active] + rank
+                here = [v[rows] for v in values]
+                if rank:
+                    current = fold.step(tuple(x[:active] for x in current), here)
+                else:
+                    carried = open_unit & (order == 0)
+                    groups = [(carried, state), (~carried & ~resumed, None)]
+                    begun = np.flatnonzero(~carried & resumed)
+                    if len(begun):
+                        given = tuple(_column(batch.column(c).take(pa.array(at[begun]))) for c in start_columns)
+                        groups.append((~carried & resumed, fold.resume(given)))
+                    current = _joined(fold, groups, here)
+                if every is None:
+                    kept = len(first) if last_only else len(names)
+                    every = [np.empty((kept, x.shape[1])) for x in current]
+                for whole, x in zip(every, current):
+                    whole[order[:active] if last_only else rows] = x
+            last = -1 if last_only else int(first[-1] + lengths[-1] - 1)
+            key = names[-1]
+            state = tuple(x[last][None, :].copy() for x in every)
+            if last_only:
+                if len(first) > 1:
+                    yield _ends([names[i] for i in first[:-1]], [x[:-1] for x in every], fields)
+                continue
+            kept = [n for n in batch.schema.names if n not in start_columns]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n) for n in kept], *map(_lists, every)], names=[*kept, *fold.state]
+            )
+        if last_only and key is not None:
+            yield _ends([key], state, fields)
+
+    def _ends(keys: list[tuple], states, fields) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in keys], type=f.type) for i, f in enumerate(fields)]
+        out = [_lists(x) for name, x in zip(fold.state, states) if name in fold.emitted]
+        return pa.RecordBatch.from_arrays([*columns, *out], names=[*part, *fold.emitted])
+
+    return run
+
+
+def _joined(fold: Fold, groups: list, values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The first step of a batch: each group of units goes on from its own kind of state."""
+    out: list[np.ndarray] | None = None
+    for chosen, previous in groups:
+        if not chosen.any():
+            continue
+        state = fold.step(previous, [v[chosen] for v in values])
+        if out is None:
+            out = [np.empty((len(chosen), x.shape[1])) for x in state]
+        for whole, x in zip(out, state):
+            whole[chosen] = x
+    return tuple(out)
 
 
 def _batches(fold: Fold, part: list[str], starts: bool, last_only: bool):
     """Streaming kernel for ``mapInArrow`` over sorted partitions."""
+    if fold.arrays:
+        return _grid_batches(fold, part, starts, last_only)
     start_columns = [f"{_START}{s}" for s in fold.carried]
-    state_type = pa.list_(pa.float64()) if fold.arrays else pa.float64()
-
     def values(batch: pa.RecordBatch, names: list[str]):
         return list(zip(*[batch.column(n).to_pylist() for n in names]))
 
     def state_columns(states: list[tuple]) -> list[pa.Array]:
-        return [pa.array(list(column), type=state_type) for column in zip(*states)]
+        return [pa.array(list(column), type=pa.float64()) for column in zip(*states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, key_types = None, None, None
@@ -320,35 +443,49 @@ def grid_unit_errors(
     costs one shuffle of the input and none of the expanded grid.
     """
     fold = GridErrors(
-        inputs=(*grid.inputs, truth), state=(*grid.state, "errors"), inner=grid, offsets=offsets
+        inputs=(*grid.inputs, truth), state=(*grid.state, "errors", "scored"), inner=grid, offsets=offsets
     )
     needed = [*t.part, *t.keys.order, *dict.fromkeys(fold.inputs)]
-    checked = {c: require_finite(c, c) for c in dict.fromkeys(grid.inputs)}
+    checked = {c: require_finite_input(t.frame, c) for c in dict.fromkeys(grid.inputs)}
     work = t.with_frame(t.frame.select(*needed).withColumns(checked))
     if t.cut:
         work = work.with_frame(work.frame.join(F.broadcast(_settle(work, grid)), t.part, "left"))
-    counted = t.frame.groupBy(*t.keys.group).agg(F.count_if(is_finite(truth)).alias("records"))
     sums = work.sorted_frame().mapInArrow(
         _batches(fold, t.part, t.cut, True), _end_schema(fold, work.frame, t.part)
     )
     if t.cut:
-        sums = sums.groupBy(*t.keys.group).agg(
+        added = [
             F.aggregate(
-                F.collect_list("errors"),
+                F.collect_list(c),
                 F.array().cast("array<double>"),
                 lambda a, x: F.when(F.size(a) == 0, x).otherwise(
                     F.zip_with(a, x, lambda p, q: p + q)
                 ),
-            ).alias("errors")
-        )
-    return sums.select(*t.keys.group, "errors").join(counted, t.keys.group).select(
-        *t.keys.group, "records", F.transform("errors", lambda e: F.try_divide(e, F.col("records"))).alias("errors")
+            ).alias(c)
+            for c in fold.emitted
+        ]
+        sums = sums.groupBy(*t.keys.group).agg(*added)
+    records = F.get("scored", F.lit(0)).cast("bigint")
+    return sums.select(
+        *t.keys.group,
+        records.alias("records"),
+        F.transform("errors", lambda e: F.try_divide(e, records)).alias("errors"),
     )
 
 
+def require_finite_input(frame: DataFrame, column: str):
+    """The column, or an error where it (or one entry of an array) is missing or not finite."""
+    if not isinstance(frame.schema[column].dataType, T.ArrayType):
+        return require_finite(column, column)
+    values = F.col(column)
+    broken = values.isNull() | F.exists(values, lambda v: ~F.coalesce(is_finite(v), F.lit(False)))
+    message = F.lit(f"{column}: missing or non-finite entry")
+    return F.when(broken, F.raise_error(message).cast(frame.schema[column].dataType)).otherwise(values)
+
+
 def _end_schema(fold: Fold, frame: DataFrame, part: list[str]) -> T.StructType:
     keys = [f for f in frame.select(*part).schema.fields]
-    return T.StructType([*keys, *[T.StructField(s, fold.state_type) for s in fold.state]])
+    return T.StructType([*keys, *[T.StructField(s, fold.state_type) for s in fold.emitted]])
 
 
 def _settle(t: Trajectories, fold: Fold) -> DataFrame:
