@@ -10,13 +10,13 @@
    documents while its deficit lasts, and keeps the rest of the deficit for the next window.
    A window is closed when it is full; only the last window of a round can be shorter.
 
-A source's share of any round is its share of all tokens, so a source with a third of all
-rows is spread over every task. With ``targets`` the shares are weights instead: a source is
-dealt over the rounds by weight until it runs out, and the others go on.
+The target share of a source in any round and window is its share of all tokens, so a source
+with a third of all rows is spread over every task.
 
-Cases: null or empty text is the closing id alone; a null source is a queue of its own;
-repeated rows and ids are documents of their own; an empty table gives no pieces; further
-columns are ignored.
+Cases: null or empty text is the closing id alone; a very long text is cut where rounds and
+windows end; a null source is a queue of its own; repeated rows and ids are documents of
+their own; ties do not occur (queues are in order of task and place); an empty table gives no
+pieces; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from railguard.llm.common import map_documents, slices
-from railguard.llm.tokens import PartIds, load_encoding
+from railguard.llm.tokens import PartIds, added_tokens, load_encoding
 from railguard.session import durable
 
 WINDOW_TOKENS = 1024
@@ -59,7 +59,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        parts = PartIds(load_encoding(vocabulary))
+        parts = PartIds(load_encoding(vocabulary), added_tokens(vocabulary))
         sums: dict[str | None, int] = {}
         end = np.array([END_ID], "<u2").tobytes()
 

@@ -2,7 +2,9 @@
 
 The pre-tokenizer never joins two runs of non-space characters across a single space, and
 that space opens the second run; so a text falls at such spaces into parts whose ids do not
-depend on each other. Words repeat, so most parts come from a cache.
+depend on each other. Words repeat, so most parts come from a cache. The added tokens of the
+file (its special strings) have ids of their own wherever they stand in a text, as in the
+library that the file is for; what stands between them is encoded by itself.
 """
 
 from __future__ import annotations
@@ -48,12 +50,22 @@ def load_encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The file's added tokens and their ids."""
+    with open(path, encoding="utf-8") as file:
+        return {x["content"]: x["id"] for x in json.load(file).get("added_tokens", ())}
+
+
 class PartIds(dict):
     """Ids of a part as little-endian 16-bit words. New parts of a slice of texts are encoded
     in one go, and told apart by the bytes that their ids stand for."""
 
-    def __init__(self, encoding: tiktoken.Encoding):
+    def __init__(self, encoding: tiktoken.Encoding, added: dict[str, int] | None = None):
         super().__init__()
+        self.added = {t: np.array([i], "<u2").tobytes() for t, i in (added or {}).items()}
+        # The longest of several that begin at one place.
+        names = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
         self.encode = encoding.encode_ordinary
         if encoding.max_token_value >= 1 << 16:
             raise ValueError("the vocabulary does not fit 16-bit ids")
@@ -81,8 +93,14 @@ class PartIds(dict):
         if len(self) >= CACHE_PARTS:
             self.clear()
         parts = [self._parts(t) for t in texts]
-        self.learn(set().union(*parts))
-        return [b"".join([self[p] for p in ps]) for ps in parts]
+        if self.split and any(a in t for a in self.added for t in texts):
+            # Added tokens stand at the odd places of a split text, as ids.
+            parts = [
+                [x for i, s in enumerate(self.split(t)) for x in ([self.added[s]] if i % 2 else self._parts(s))]
+                for t in texts
+            ]
+        self.learn({p for ps in parts for p in ps if isinstance(p, str)})
+        return [b"".join([self[p] if isinstance(p, str) else p for p in ps]) for ps in parts]
 
     @staticmethod
     def _parts(text: str) -> list[str]:

@@ -1,23 +1,26 @@
 """URL filters: host and path rules, and link-graph propagation for what no rule fits.
 
-The longest fitting rule decides. Pages without a rule take the verdict of their host:
-personalised PageRank spreads trust from hosts with allowed pages along links, and distrust
-from hosts with blocked pages against the links (a host that links to bad ones is bad), each
-over distinct weighted host edges. A host's seed weight is the share of its pages that a rule
-allows (blocks). A host is blocked when its distrust exceeds its trust by more than
-``MARGIN`` of what an unlinked, wholly blocked host has.
+The longest fitting rule decides. Pages without a rule take the verdict of their host, over
+distinct weighted host edges: personalised PageRank spreads trust from hosts with allowed
+pages along links, and distrust goes from hosts with blocked pages against the links, as the
+mean over a host's own links (a host that links to bad ones is bad, however many others link
+to them as well). A host's seed weight is the share of its pages that a rule allows (blocks).
+A host is blocked when its distrust exceeds its trust by more than ``MARGIN`` of what an
+unlinked, wholly blocked host has.
 
 All of it is DataFrame work: edges are pre-aggregated before the first shuffle, each round is
 two equi-joins and one sum per host, and is written to the shared folder.
 
 Cases: a null url or one without ``://`` has an empty host and path, fits no rule and is
 allowed; null or empty html has no links; links to the own host and repeated links within a
-page count nothing more; repeated pages count as pages of their own; an empty table gives no
+page count nothing more; where trust balances distrust the host is allowed; repeated pages count as pages of their own; an empty table gives no
 rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from railguard.session import durable
@@ -33,7 +36,11 @@ RULES = [
 #: Rules are a parameter that ends up in one expression; a list beyond this is refused.
 MOST_RULES = 200
 DAMPING = 0.85
-ROUNDS = 10
+#: Scores only grow, and what a round leaves out shrinks by the damping: after ROUNDS rounds
+#: less than TOLERANCE of a seed is missing. Rounds stop before when the sums stand still.
+TOLERANCE = 0.01
+ROUNDS = ceil(log(TOLERANCE) / log(DAMPING))
+STILL = 1e-9
 MARGIN = 0.5
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -83,12 +90,7 @@ def host_scores(judged: DataFrame, damping: float = DAMPING, rounds: int = ROUND
     """(host, trust, distrust) from ``judged`` (host, html, rule_verdict)."""
     edges = durable(host_edges(judged))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
-    shares = durable(
-        edges.join(out, "src").join(into, "dst").select(
-            "src", "dst", (F.col("weight") / F.col("out")).alias("forth"), (F.col("weight") / F.col("into")).alias("back")
-        )
-    )
+    shares = durable(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     share = lambda verdict: F.avg(F.when(F.col("rule_verdict") == verdict, 1.0).otherwise(0.0))
     seeds = judged.filter("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
     targets = shares.select(F.col("dst").alias("host")).distinct()
@@ -102,12 +104,13 @@ def host_scores(judged: DataFrame, damping: float = DAMPING, rounds: int = ROUND
     )
     if shares.isEmpty():  # nothing to spread: every round would give the same
         return scores
+    before = None
     for _ in range(rounds):
         forth = shares.join(scores.select(F.col("host").alias("src"), "trust"), "src").select(
-            F.col("dst").alias("host"), (F.col("forth") * F.col("trust")).alias("t"), F.lit(0.0).alias("d")
+            F.col("dst").alias("host"), (F.col("share") * F.col("trust")).alias("t"), F.lit(0.0).alias("d")
         )
         back = shares.join(scores.select(F.col("host").alias("dst"), "distrust"), "dst").select(
-            F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("back") * F.col("distrust")).alias("d")
+            F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("share") * F.col("distrust")).alias("d")
         )
         flow = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         scores = durable(
@@ -119,6 +122,10 @@ def host_scores(judged: DataFrame, damping: float = DAMPING, rounds: int = ROUND
                 ((1 - damping) * F.col("bad") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
             )
         )
+        now = scores.agg(F.sum("trust"), F.sum("distrust")).first()
+        if before and max(now[i] - before[i] for i in (0, 1)) < STILL:
+            break
+        before = now
     return scores
 
 
@@ -168,9 +175,9 @@ r{i} AS MATERIALIZED (
          {1 - DAMPING} * bad + {DAMPING} * coalesce(d, 0) AS distrust
   FROM hosts h LEFT JOIN (
     SELECT host, sum(t) AS t, sum(d) AS d FROM (
-      SELECT dst AS host, forth * trust AS t, 0 AS d FROM shares JOIN r{i - 1} p ON src = p.host
+      SELECT dst AS host, share * trust AS t, 0 AS d FROM shares JOIN r{i - 1} p ON src = p.host
       UNION ALL
-      SELECT src, 0, back * distrust FROM shares JOIN r{i - 1} p ON dst = p.host)
+      SELECT src, 0, share * distrust FROM shares JOIN r{i - 1} p ON dst = p.host)
     GROUP BY host) f ON f.host = h.host)""")
     link = _LINK.replace("'", "''")
     return f"""
@@ -187,8 +194,7 @@ edges AS (
   FROM (SELECT src, {host("(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END)")} AS dst FROM links)
   WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 shares AS MATERIALIZED (
-  SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS forth,
-         weight / sum(weight) OVER (PARTITION BY dst) AS back FROM edges),
+  SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges),
 seeds AS (
   SELECT host, avg(CASE WHEN rule_verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS good,
          avg(CASE WHEN rule_verdict = 'block' THEN 1.0 ELSE 0.0 END) AS bad

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from railguard.llm.packing import default_vocabulary, pack, pack_round, round_start
-from railguard.llm.tokens import PartIds, load_encoding
+from railguard.llm.tokens import PartIds, added_tokens, load_encoding
 
 TOKENIZER = Tokenizer.from_file(default_vocabulary())
 
@@ -23,6 +23,29 @@ def test_cached_parts_equal_the_tokenizer():
         assert [np.frombuffer(x, "<u2").tolist() for x in parts.ids(batch)] == [ids(t) for t in batch]
 
 
+def own_parts():
+    return PartIds(load_encoding(default_vocabulary()), added_tokens(default_vocabulary()))
+
+
+def test_added_tokens_equal_the_tokenizer():
+    end = "<|endoftext|>"
+    texts = [end, end * 2, f"a {end} b", f"{end}a", f"a{end}", f" {end} ", f"a  {end}\n{end} b", f"<|{end}|>", "<|endoftext|", "a b"]
+    parts = own_parts()
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in parts.ids(texts)] == [ids(t) for t in texts]
+    assert ids(f"a {end} b") == [64, 220, 50256, 275]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", " ", "<|endoftext|>", "\n", "<|", "é"]), max_size=12).map("".join), max_size=4))
+def test_any_text_with_added_tokens_equals_the_tokenizer(batch):
+    SPECIAL[:] = SPECIAL or [own_parts()]
+    assert [np.frombuffer(x, "<u2").tolist() for x in SPECIAL[0].ids(batch)] == [ids(t) for t in batch]
+
+
+SPECIAL: list = []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab ,.\n\t'é1　", max_size=30), max_size=5))
 def test_any_text_equals_the_tokenizer(batch):

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from railguard.llm.urls import DAMPING, MARGIN, ROUNDS, filtered, host_edges, host_scores
 
@@ -52,16 +53,35 @@ def test_scores_against_matrix_form(spark):
     for (a, b), n in edges.items():
         w[place[a], place[b]] = n
     forth = np.divide(w, w.sum(1, keepdims=True), out=np.zeros_like(w), where=w.sum(1, keepdims=True) > 0)
-    back = np.divide(w, w.sum(0, keepdims=True), out=np.zeros_like(w), where=w.sum(0, keepdims=True) > 0)
     share = lambda v: np.array([np.mean([x == v for h, _, x in rows if h == host] or [0.0]) for host in hosts])
     good, bad = share("allow"), share("block")
     t, d = (1 - DAMPING) * good, (1 - DAMPING) * bad
     for _ in range(ROUNDS):
-        t, d = (1 - DAMPING) * good + DAMPING * forth.T @ t, (1 - DAMPING) * bad + DAMPING * back @ d
+        t, d = (1 - DAMPING) * good + DAMPING * forth.T @ t, (1 - DAMPING) * bad + DAMPING * forth @ d
     got = {r["host"]: (r["trust"], r["distrust"]) for r in host_scores(frame).collect()}
     assert set(got) == set(hosts)
     for h, i in place.items():
         assert np.allclose(got[h], (t[i], d[i]), atol=1e-12)
-    # c.org is blocked for its link to b.net alone, if at all by the margin
-    verdicts = {r["page_id"]: r["verdict"] for r in filtered(pages(spark)).collect()}
-    assert verdicts[4] == ("block" if d[place["c.org"]] - t[place["c.org"]] > MARGIN * (1 - DAMPING) else "allow")
+    # All links of c.org go to b.net, but the trust of a.com reaches it through b.net as well.
+    i = place["c.org"]
+    assert t[i] > d[i] > MARGIN * (1 - DAMPING)
+    assert {r["page_id"]: r["verdict"] for r in filtered(pages(spark)).collect()}[4] == "allow"
+
+
+@pytest.mark.parametrize("linkers", [1, 2, 1000])
+def test_a_farm_of_any_size_is_blocked(spark, linkers):
+    farm = [(i, f"http://farm{i}.org/", '<a href="http://bad.net/fr/1">x</a>') for i in range(linkers)]
+    others = [
+        (-1, "http://bad.net/fr/1", ""),
+        (-2, "http://alone.org/", ""),
+        (-3, "http://second.org/", "".join(f'<a href="http://farm{i}.org/">x</a>' for i in range(linkers))),
+        # One of many links of a trusted host, and one of four of an unknown one, go to the bad host.
+        (-4, "http://good.com/", '<a href="http://bad.net/">x</a>' + "".join(f'<a href="http://fine{i}.com/">x</a>' for i in range(9))),
+        (-5, "http://mixed.org/", '<a href="http://bad.net/">x</a>' + "".join(f'<a href="http://fine{i}.com/">x</a>' for i in range(3))),
+        (-6, "http://liked.org/", '<a href="http://bad.net/">x</a>'),
+        *[(-10 - i, f"http://fan{i}.com/", '<a href="http://liked.org/">x</a>') for i in range(3)],
+    ]
+    frame = spark.createDataFrame(farm + others, "page_id bigint, url string, html string")
+    verdicts = {r["page_id"]: r["verdict"] for r in filtered(frame).collect()}
+    assert {verdicts[i] for i in range(linkers)} == {"block"} and verdicts[-3] == "block"
+    assert [verdicts[-i] for i in (1, 2, 4, 5, 6)] == ["block", "allow", "allow", "allow", "allow"]
