@@ -18,9 +18,12 @@ from railguard.functions.draws import uniform_index, uniform_index_array
 from railguard.operators.ordering import numbered_by_range
 
 MAX_DOMAINS = 10_000
-MAX_SIGN_FLIP = 24
-#: Non-zero differences of a signed-rank test (its table of sums grows with their square).
-MAX_SIGNED_RANK = 200
+#: Domains of an exact sign-flip test: a task holds the 2^22 sums of half of them.
+MAX_SIGN_FLIP = 44
+#: Sums of the other half that one task looks up.
+HALF_BLOCK = 1 << 16
+#: Non-zero differences of a signed-rank test (a task holds about their square, 32 MB here).
+MAX_SIGNED_RANK = 2_000
 #: Units of a contrast that are held as one row (8 MB); larger contrasts join their draws.
 ARRAY_UNITS = 1_000_000
 #: Draws that a task makes at a time.
@@ -242,89 +245,95 @@ def unit_replicates(units: DataFrame, reps: int, seed: int) -> DataFrame:
     )
 
 
-def _assignments(arrays: DataFrame, bits: int = 10) -> DataFrame:
-    """Sign assignments in blocks of 2^bits; high bits become rows, low bits a sequence."""
-    high = F.greatest(F.col("n") - bits, F.lit(0)).cast("int")
-    low = (F.col("n") - high).cast("int")
-    return (
-        arrays.withColumn("_low", low)
-        .withColumn(
-            "_hi",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), high).cast("bigint") - 1)),
-        )
-        .repartition("contrast_id", "_hi")
-        .withColumn(
-            "_codes",
-            F.transform(
-                F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), F.col("_low")).cast("bigint") - 1),
-                lambda c: F.col("_hi") * F.pow(F.lit(2.0), F.col("_low")).cast("bigint") + c,
-            ),
-        )
-    )
+def _half_sums(values: np.ndarray) -> np.ndarray:
+    """The sums of all sign assignments of ``values``."""
+    sums = np.zeros(1)
+    for v in values:
+        sums = np.concatenate((sums - v, sums + v))
+    return sums
 
 
-def _signed_sum(values: str, code: Column) -> Column:
-    signed = F.transform(
-        F.col(values),
-        lambda v, i: F.when(F.call_function("getbit", code, i) == 1, v).otherwise(-v),
-    )
-    return _array_sum(signed)
+def _fitting(contrasts: DataFrame, limit: int) -> DataFrame:
+    """Contrasts of at most ``limit`` differences; a larger one must not stop the others."""
+    counted = contrasts.groupBy("contrast_id").agg(F.count(F.lit(1)).alias("n"))
+    return contrasts.join(counted.filter(F.col("n") <= limit).select("contrast_id"), "contrast_id", "left_semi")
 
 
 def sign_flip(contrasts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Exact two-sided sign-flip p-value over all 2^n assignments (n <= 24)."""
-    arrays = contrast_arrays(contrasts, MAX_SIGN_FLIP).withColumn(
-        "observed", F.abs(_array_sum(F.col("values")) / F.col("n"))
-    )
-    return _exact_share(arrays, "values", F.col("n"), tolerance).select(
-        "contrast_id", "assignments", F.col("share").alias("sign_flip_p")
-    )
+    """Exact two-sided sign-flip p-value over all 2^n assignments (n <= ``MAX_SIGN_FLIP``).
 
+    The assignments of the two halves of the domains meet in the middle: the sums of one half
+    are sorted, and for each sum of the other half two searches count the extreme totals. The
+    other half is dealt over tasks in blocks. A larger contrast gets NULL.
+    """
+    arrays = contrast_arrays(_fitting(contrasts, MAX_SIGN_FLIP), MAX_SIGN_FLIP)
+    first = F.floor(F.col("n") / 2).cast("int")
+    blocks = F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), first) / HALF_BLOCK).cast("int"))
+    dealt = arrays.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).repartition("contrast_id", "block")
 
-def _exact_share(arrays: DataFrame, values: str, scale: Column, tolerance: float) -> DataFrame:
-    extreme = F.size(
-        F.filter(
-            "_codes",
-            lambda c: F.abs(_signed_sum(values, c) / scale) >= F.col("observed") - tolerance,
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ordered = None, np.zeros(1)
+        for batch in batches:
+            for row in batch.to_pylist():
+                values, n = np.array(row["values"], float), row["n"]
+                if row["contrast_id"] != known:
+                    known, ordered = row["contrast_id"], np.sort(_half_sums(values[n // 2 :]))
+                size = min(HALF_BLOCK, 1 << n // 2)
+                low = n // 2 - (size.bit_length() - 1)  # domains whose signs name the block
+                signs = [1 if row["block"] >> i & 1 else -1 for i in range(low)]
+                others = _half_sums(values[low : n // 2]) + float(np.dot(signs, values[:low]))
+                bound = (abs(values.mean()) - tolerance) * n
+                over = len(ordered) - np.searchsorted(ordered, bound - others, "left")
+                under = np.searchsorted(ordered, -bound - others, "right")
+                # A bound of zero or less is met by every total.
+                extreme = int((over + under).sum()) if bound > 0 else size * len(ordered)
+                yield pa.RecordBatch.from_pylist([{"contrast_id": known, "extreme": extreme, "n": n}])
+
+    counted = dealt.select("contrast_id", "n", "values", "block").mapInArrow(
+        run, "contrast_id string, extreme bigint, n bigint"
     )
-    return (
-        _assignments(arrays)
-        .select("contrast_id", extreme.alias("_extreme"), F.size("_codes").alias("_all"))
-        .groupBy("contrast_id")
-        .agg(
-            F.sum("_all").alias("assignments"),
-            (F.sum("_extreme") / F.sum("_all")).alias("share"),
-        )
+    exact = counted.groupBy("contrast_id").agg(
+        F.pow(F.lit(2.0), F.max("n")).cast("bigint").alias("assignments"), F.sum("extreme").alias("_extreme")
+    )
+    named = contrasts.select("contrast_id").distinct()
+    return named.join(exact, "contrast_id", "left").select(
+        "contrast_id", "assignments", (F.col("_extreme") / F.col("assignments")).alias("sign_flip_p")
     )
 
 
 def wilcoxon(contrasts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Exact two-sided signed-rank p-value; zero differences are dropped, ties share ranks."""
+    """Exact two-sided signed-rank p-value; zero differences are dropped, ties share ranks.
+
+    A contrast of more than ``MAX_SIGNED_RANK`` non-zero differences gets no row.
+    """
     nonzero = contrasts.filter(F.col("difference") != 0)
     size = Window.partitionBy("contrast_id").orderBy(F.abs("difference"))
     tied = Window.partitionBy("contrast_id", F.abs("difference"))
     mid = F.rank().over(size) + (F.count(F.lit(1)).over(tied) - 1) / 2.0
-    ranked = nonzero.select(
+    ranked = _fitting(nonzero, MAX_SIGNED_RANK).select(
         "contrast_id",
         "domain",
         F.when(F.col("difference") > 0, mid).otherwise(-mid).alias("difference"),
     )
-    # Doubled mid-ranks are whole numbers: one halving per rank gives the chances of all sums.
-    arrays = contrast_arrays(ranked, MAX_SIGNED_RANK).select(
-        "contrast_id", F.transform("values", lambda x: F.round(2 * x).cast("int")).alias("signed")
-    )
-    total = lambda values: F.aggregate(values, F.lit(0), lambda t, x: t + x)
-    arrays = arrays.withColumn("total", total(F.transform("signed", F.abs))).withColumn("observed", F.abs(total(F.col("signed"))))
-    chances = F.aggregate(
-        F.transform("signed", F.abs),
-        F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.col("total"))),
-        lambda acc, r: F.transform(acc, lambda x, i: 0.5 * (x + F.coalesce(F.get(acc, i - r), F.lit(0.0)))),
-    )
-    extreme = F.transform(
-        chances, lambda x, i: F.when(F.abs(2 * i - F.col("total")) >= F.col("observed") - tolerance, x).otherwise(0.0)
-    )
-    return arrays.select("contrast_id", F.aggregate(extreme, F.lit(0.0), lambda t, x: t + x).alias("wilcoxon_p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                # Doubled mid-ranks are whole numbers: one halving per rank gives the chances of all sums.
+                signed = np.round(2 * np.array(row["values"])).astype(np.int64)
+                chances, upto = np.zeros(int(np.abs(signed).sum()) + 1), 0
+                chances[0] = 1.0
+                for r in np.abs(signed).tolist():
+                    moved = 0.5 * chances[: upto + 1]
+                    chances[: upto + 1] = moved
+                    chances[r : r + upto + 1] += moved
+                    upto += r
+                far = np.abs(2 * np.arange(len(chances)) - upto) >= abs(int(signed.sum())) - tolerance
+                p = float(chances[far].sum())
+                yield pa.RecordBatch.from_pylist([{"contrast_id": row["contrast_id"], "wilcoxon_p": p}])
+
+    arrays = contrast_arrays(ranked, MAX_SIGNED_RANK).repartition("contrast_id")
+    return arrays.select("contrast_id", "values").mapInArrow(run, "contrast_id string, wilcoxon_p double")
 
 
 def binomial_tail(trials: Column, upto: Column) -> Column:
@@ -373,16 +382,11 @@ def t_interval(contrasts: DataFrame) -> DataFrame:
 def small_sample_summary(contrasts: DataFrame) -> DataFrame:
     """All exact small-n statistics of every contrast in one table.
 
-    The sign-flip test lists all sign assignments and is NULL for a contrast with more than
-    ``MAX_SIGN_FLIP`` domains, the signed-rank test for one with more than ``MAX_SIGNED_RANK``
-    non-zero differences; its other statistics, and those of other contrasts, stand.
+    The sign-flip test is NULL for a contrast with more than ``MAX_SIGN_FLIP`` domains, the
+    signed-rank test for one with more than ``MAX_SIGNED_RANK`` non-zero differences; its
+    other statistics, and those of other contrasts, stand.
     """
-    counted = contrasts.groupBy("contrast_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("difference") != 0).alias("nonzero")
-    )
-    few = contrasts.join(counted.filter(F.col("n") <= MAX_SIGN_FLIP), "contrast_id", "left_semi")
-    ranked = contrasts.join(counted.filter(F.col("nonzero") <= MAX_SIGNED_RANK), "contrast_id", "left_semi")
-    parts = [t_interval(contrasts), sign_test(contrasts), sign_flip(few), wilcoxon(ranked)]
+    parts = [t_interval(contrasts), sign_test(contrasts), sign_flip(contrasts), wilcoxon(contrasts)]
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, "contrast_id", "left")

@@ -221,9 +221,36 @@ def test_published_small_sample_values(spark):
     assert inference.sign_test(contrast(spark, [0.0] * 4)).first()["sign_p"] == 1.0
 
 
-def test_too_many_domains_fail(spark):
-    with pytest.raises(Exception):
-        inference.sign_flip(contrast(spark, np.linspace(-1, 1, 25))).collect()
+def test_sign_flip_meets_in_the_middle(spark, monkeypatch):
+    monkeypatch.setattr(inference, "HALF_BLOCK", 8)
+    draw = np.random.default_rng(8)
+    groups = {f"n{n}": np.round(draw.normal(0.2, 1, n), 1) for n in (1, 2, 3, 9, 14)} | {"none": np.zeros(5)}
+    rows = [(c, f"d{i:03}", float(x)) for c, v in groups.items() for i, x in enumerate(v)]
+    got = {r["contrast_id"]: r for r in inference.sign_flip(spark.createDataFrame(rows, "contrast_id string, domain string, difference double")).collect()}
+    for c, v in groups.items():
+        signs = np.where((np.arange(1 << len(v))[:, None] >> np.arange(len(v))) & 1, 1.0, -1.0)
+        want = np.mean(np.abs((signs * v).mean(axis=1)) >= abs(v.mean()) - 1e-12)
+        assert (got[c]["assignments"], got[c]["sign_flip_p"]) == (1 << len(v), want)
+
+
+def test_sign_flip_of_forty_domains_and_beyond_the_limit(spark):
+    # 36 equal differences: only all-equal signs reach the mean; 40: two of them disagree.
+    rows = [("equal", f"d{i:03}", 0.25) for i in range(36)]
+    rows += [("mixed", f"d{i:03}", -1.0 if i < 2 else 1.0) for i in range(40)]
+    rows += [("large", f"d{i:03}", 0.5) for i in range(inference.MAX_SIGN_FLIP + 1)]
+    df = spark.createDataFrame(rows, "contrast_id string, domain string, difference double")
+    got = {r["contrast_id"]: r["sign_flip_p"] for r in inference.sign_flip(df).collect()}
+    assert got["equal"] == 2 / 2**36 and got["large"] is None
+    assert got["mixed"] == 2 * sum(math.comb(40, k) for k in range(3)) / 2**40
+
+
+def test_one_wide_contrast_stops_no_other(spark):
+    from railguard.plans.workflows import robustness
+
+    rows = [(c, f"d{i:03}", -0.1 - i / 1000, 5, 50) for c, n in (("few", 6), ("wide", 60)) for i in range(n)]
+    df = spark.createDataFrame(rows, "contrast_id string, domain string, difference double, units bigint, records bigint")
+    got = {r["contrast_id"]: r for r in robustness(df).collect()}
+    assert got["few"]["sign_flip_p"] == 2 / 64 and got["wide"]["sign_flip_p"] is None and got["wide"]["wins"] == 60
 
 
 def test_bootstrap_interval_is_close_to_theory(spark):
@@ -245,7 +272,7 @@ def test_hierarchical_means_differ_from_a_flat_mean(spark):
 
 
 def test_a_large_contrast_does_not_stop_the_summary(spark):
-    large = spark.createDataFrame([("large", f"d{i}", 0.1 * i - 1) for i in range(40)], "contrast_id string, domain string, difference double")
+    large = spark.createDataFrame([("large", f"d{i}", 0.1 * i - 1) for i in range(inference.MAX_SIGN_FLIP + 6)], "contrast_id string, domain string, difference double")
     small = spark.createDataFrame([("small", f"d{i}", 0.5) for i in range(5)], "contrast_id string, domain string, difference double")
     rows = {r["contrast_id"]: r for r in inference.small_sample_summary(large.unionByName(small)).collect()}
     assert rows["small"]["sign_flip_p"] == pytest.approx(2 / 32)
@@ -281,5 +308,10 @@ def test_signed_rank_beyond_the_sign_flip_limit(spark):
             ways = more
         seen = abs(sum(r if x > 0 else -r for r, x in zip(ranks, v)))
         want = sum(n for k, n in ways.items() if abs(2 * k - sum(ranks)) >= seen) / 2 ** len(v)
-        assert got[c]["wilcoxon_p"] == pytest.approx(want, rel=1e-9) and got[c]["sign_flip_p"] is None
+        assert got[c]["wilcoxon_p"] == pytest.approx(want, rel=1e-9)
+    # Zero differences do not move a total: the ten others decide among 2^40 assignments.
+    v = groups["zeros"][30:]
+    signs = np.where((np.arange(1 << 10)[:, None] >> np.arange(10)) & 1, 1.0, -1.0)
+    want = np.mean(np.abs((signs * v).sum(axis=1)) >= abs(v.sum()) - 1e-9)
+    assert got["zeros"]["sign_flip_p"] == want and got["many"]["sign_flip_p"] is None
     assert got["huge"]["wilcoxon_p"] is None and got["huge"]["sign_p"] is not None
