@@ -141,7 +141,7 @@ def e2(spark, d):
 
 
 def sealed_predictions(spark, d):
-    """Guard and smoothed comparator on label-blind input, written once with a fingerprint."""
+    """Guard and smoothed comparator on label-blind input, sealed; opened only if unchanged."""
     from railguard.session import scratch_path
 
     blind = contracts.label_blind(ledger(spark, d).drop("truth"), ["truth"])
@@ -149,8 +149,8 @@ def sealed_predictions(spark, d):
     t = guard(t, alpha=ALPHA, budget=BUDGET)
     t = causal_state(t, "raw_candidate", "smoothed", alpha=0.05)
     path = scratch_path(spark, "sealed")
-    sinks.write_parquet(t.frame.drop(*[c for c in t.part if c not in t.keys.group]), path)
-    return spark.read.parquet(path)
+    sinks.seal(t.frame.drop(*[c for c in t.part if c not in t.keys.group]), path)
+    return sinks.open_sealed(spark, path)
 
 
 def _scored(spark, d):

@@ -57,6 +57,48 @@ def duplicate_payloads(df: DataFrame, key: str, content: str) -> DataFrame:
     )
 
 
+#: Hexadecimal digits of a row's SHA-256 that one summed lane takes.
+_LANE = 15
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row (rows, schema, lane1..lane4) that names the multiset of rows, in any order or layout.
+
+    Each row's SHA-256 is cut into four lanes of 60 bits, which are added up; repeated rows
+    count as often as they occur.
+    """
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    lanes = [
+        F.sum(F.conv(F.substring("_h", 1 + _LANE * i, _LANE), 16, 10).cast("decimal(38,0)")).alias(f"lane{i + 1}")
+        for i in range(4)
+    ]
+    kinds = ", ".join(f"{c} {k}" for c, k in sorted(df.dtypes))
+    return df.select(F.sha2(body, 256).alias("_h")).agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(kinds).alias("schema"), *[F.coalesce(x, F.lit(0)).alias(f"lane{i + 1}") for i, x in enumerate(lanes)]
+    )
+
+
+def seal(df: DataFrame, path: str) -> int:
+    """Write ``df`` once and keep the fingerprint of what was written beside it."""
+    rows = write_parquet(df, f"{path}/table")
+    written = df.sparkSession.read.parquet(f"{path}/table")
+    fingerprint(written).write.mode("errorifexists").parquet(f"{path}/seal")
+    return rows
+
+
+def open_sealed(spark: SparkSession, path: str) -> DataFrame:
+    """The sealed table, after its fingerprint was computed anew and found equal.
+
+    Anything that reads labels comes after this: a table that was changed, added to or cut
+    since it was sealed stops the job.
+    """
+    table = spark.read.parquet(f"{path}/table")
+    kept, found = spark.read.parquet(f"{path}/seal").collect(), fingerprint(table).collect()
+    if kept != found:
+        raise ContractViolation(f"{path}: the table is not the one that was sealed")
+    return table
+
+
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Path, length and SHA-256 of every file below ``path``."""
     files = (

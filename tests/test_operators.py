@@ -315,3 +315,30 @@ def test_signed_rank_beyond_the_sign_flip_limit(spark):
     want = np.mean(np.abs((signs * v).sum(axis=1)) >= abs(v.sum()) - 1e-9)
     assert got["zeros"]["sign_flip_p"] == want and got["many"]["sign_flip_p"] is None
     assert got["huge"]["wilcoxon_p"] is None and got["huge"]["sign_p"] is not None
+
+
+def test_a_sealed_table_opens_only_unchanged(spark, tmp_path):
+    from railguard.operators.contracts import ContractViolation
+    from railguard.sources import sinks
+
+    rows = [(i, [0.1 * i, None], None if i % 3 else f"r{i}") for i in range(50)] + [(7, [0.7, None], "twin")] * 2
+    df = spark.createDataFrame(rows, "id bigint, values array<double>, name string")
+    path = str(tmp_path / "a")
+    assert sinks.seal(df, path) == 52 and sinks.open_sealed(spark, path).count() == 52
+    # Neither order nor files matter; one value, one more copy or one lost row does.
+    same = sinks.fingerprint(df.orderBy(F.desc("id")).repartition(7)).first()
+    assert same == sinks.fingerprint(df).first()
+    for i, other in enumerate((
+        df.withColumn("name", F.when(F.col("id") == 3, "x").otherwise(F.col("name"))),
+        df.unionByName(df.limit(1)),
+        df.dropDuplicates(["id", "name"]),
+        df.withColumn("id", F.col("id").cast("int")),
+        df.withColumn("name", F.coalesce("name", F.lit(""))),
+    )):
+        changed = str(tmp_path / f"b{i}")
+        sinks.seal(df, changed)
+        other.write.parquet(f"{changed}/table", mode="overwrite")
+        with pytest.raises(ContractViolation):
+            sinks.open_sealed(spark, changed)
+    assert sinks.seal(df.limit(0), str(tmp_path / "empty")) == 0
+    assert sinks.open_sealed(spark, str(tmp_path / "empty")).count() == 0
