@@ -92,15 +92,16 @@ class PartIds(dict):
         """The ids of whole texts, two bytes each."""
         if len(self) >= CACHE_PARTS:
             self.clear()
-        parts = [self._parts(t) for t in texts]
         if self.split and any(a in t for a in self.added for t in texts):
-            # Added tokens stand at the odd places of a split text, as ids.
-            parts = [
-                [x for i, s in enumerate(self.split(t)) for x in ([self.added[s]] if i % 2 else self._parts(s))]
-                for t in texts
-            ]
-        self.learn({p for ps in parts for p in ps if isinstance(p, str)})
-        return [b"".join([self[p] if isinstance(p, str) else p for p in ps]) for ps in parts]
+            return [b"".join(self._pieces(t)) for t in texts]
+        parts = [self._parts(t) for t in texts]
+        self.learn(set().union(*parts))
+        return [b"".join([self[p] for p in ps]) for ps in parts]
+
+    def _pieces(self, text: str) -> list[bytes]:
+        """Added tokens stand at the odd places of a split text."""
+        cut = self.split(text)
+        return [x for i, s in enumerate(cut) for x in ([self.added[s]] if i % 2 else [self[p] for p in self._parts(s)])]
 
     @staticmethod
     def _parts(text: str) -> list[str]:
