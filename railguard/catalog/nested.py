@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from railguard.catalog.base import BUDGET, query, trajectories, with_ledger
+from railguard.catalog.base import ALPHA, BUDGET, query, trajectories, with_guarded, with_ledger
 from railguard.catalog.evaluation import rounded
-from railguard.catalog.inference import _B1, _B6, REPS, SEED
-from railguard.plans import nested
+from railguard.catalog.inference import _B1, _B5, _B6, REPS, SEED
+from railguard.catalog.trajectory import recovery_sql
+from railguard.operators import metrics
+from railguard.plans import nested, workflows
 
 #: The published parameter grids.
 ALPHAS = [1.0, 0.5, 0.2, 0.1, 0.05, 0.03, 0.02, 0.015, 0.01, 0.005]
@@ -381,3 +383,32 @@ def e7_scores(spark, d):
 def e7_contrast(spark, d):
     domains = nested.arm_scores(_recovered(spark, d).frame, nested.RECOVERY_ARMS)
     return rounded(nested.arm_contrast(nested.durable(domains), "recovery_output", "strict_output", REPS, SEED))
+
+
+# --- E15: pairwise effects of the monotonicity arms --------------------------------------------
+
+_PAIRWISE = [("guarded", "pointwise"), ("recovered", "pointwise"), ("recovered", "guarded")]
+_ARMS = f"""
+am AS (SELECT gd.domain, gd.unit, avg(abs(guarded - truth)) AS guarded, avg(abs(rs.p - truth)) AS recovered,
+  avg(abs(least(greatest(raw_candidate, greatest(0e0, protected_state - {BUDGET}e0)), least(1.3e0, protected_state + {BUDGET}e0)) - truth)) AS pointwise
+  FROM gd JOIN rs USING (domain, unit, rn) GROUP BY ALL),
+aw AS (SELECT domain, avg(guarded) AS guarded, avg(recovered) AS recovered, avg(pointwise) AS pointwise FROM am GROUP BY domain),
+pw AS ({' UNION ALL '.join(f"SELECT '{a}-{b}' AS c, domain, {a} - {b} AS v FROM aw" for a, b in _PAIRWISE)})"""
+
+
+@query(
+    "E15_pairwise_effects",
+    with_guarded(
+        _B1 + _ENDS + _B5 + """, mn AS (SELECT contrast_id, quantile_cont(difference, 0.5) AS med FROM cd GROUP BY ALL)
+ SELECT contrast_id, round(mean_difference, 9) + 0e0 AS mean_difference, round(maximum_harm, 9) + 0e0 AS maximum_harm, round(maximum_gain, 9) + 0e0 AS maximum_gain, wins, ties, losses,
+   round(med, 9) + 0e0 AS median_difference, round(low, 9) + 0e0 AS low, round(high, 9) + 0e0 AS high, assignments, round(sign_flip_p, 9) + 0e0 AS sign_flip_p
+ FROM pt JOIN mn USING (contrast_id) JOIN rq USING (contrast_id) JOIN sf USING (contrast_id)""",
+        recovery_sql("0.002e0"), _ARMS, _contrast("cd", "v", "pw", "c"),
+    ),
+)
+def e15_pairs(spark, d):
+    t = trajectories(spark, d)
+    arms = workflows.monotonicity_arms(t, alpha=ALPHA, budget=BUDGET, allowance=0.002)
+    units = metrics.unit_errors(arms.frame, ["pointwise", "guarded", "recovered"])
+    domains = units.groupBy("domain", "method").agg(F.avg("mae").alias("unit_macro_mae"))
+    return rounded(workflows.pairwise_effects(domains, _PAIRWISE, REPS, SEED))

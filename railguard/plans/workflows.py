@@ -458,3 +458,27 @@ def arms_through_guard(
         done = project(done, candidate=column, out=f"guard_{name}", budget=budget)
     units = metrics.unit_errors(done.frame, [f"guard_{a}" for a in arms], truth, t.keys)
     return units.groupBy(t.keys.domain, "method").agg(F.avg("mae").alias("unit_macro_mae"))
+
+
+def pairwise_effects(
+    domains: DataFrame, pairs: list[tuple[str, str]], reps: int, seed: int, keys: Keys = Keys()
+) -> DataFrame:
+    """Every (method, reference) pair: domain-equal difference, median, bootstrap interval,
+    exact sign-flip p-value and wins, ties and losses.
+
+    ``domains``: domain, method, unit_macro_mae; all pairs are contrasts of one job.
+    """
+    picked = lambda m: F.max(F.when(F.col("method") == m, F.col("unit_macro_mae")))
+    methods = list(dict.fromkeys(m for pair in pairs for m in pair))
+    wide = domains.groupBy(keys.domain).agg(*[picked(m).alias(m) for m in methods])
+    rows = [
+        F.struct(F.lit(f"{a}-{b}").alias("contrast_id"), (F.col(a) - F.col(b)).alias("difference")) for a, b in pairs
+    ]
+    contrasts = durable(wide.select(F.col(keys.domain).alias("domain"), F.inline(F.array(*rows))))
+    median = contrasts.groupBy("contrast_id").agg(F.percentile("difference", 0.5).alias("median_difference"))
+    return (
+        metrics.contrast_summary(contrasts, ["contrast_id"])
+        .join(median, "contrast_id")
+        .join(inference.cluster_bootstrap(contrasts, reps, seed).select("contrast_id", "low", "high"), "contrast_id")
+        .join(inference.sign_flip(contrasts), "contrast_id")
+    )
