@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from railguard.catalog.base import ledger, query, table, with_ledger
 from railguard.operators import curves
 from railguard.operators.layout import Keys, Trajectories
-from railguard.sources import exports, nested, sinks, tables
+from railguard.sources import exports, families, nested, sinks, tables
 
 # --- embeddings as measured curves -------------------------------------------------------
 # One vector is one cycle: position gives the clock (11 s apart, restarting once), the value
@@ -158,7 +158,7 @@ _EXPORT = """
 ev AS (
   SELECT 'unit_' || user_id AS file, event_id AS line, us // 518400000000 AS cycle, user_id,
          (us % 518400000000) / 3600000000e0 AS hours, value / 100e0 - 0.25e0 AS cur, 3e0 + value / 1000e0 AS v,
-         round(value / 50e0, 4) AS ah
+         round(value / 50e0, 4) AS ah, 20e0 + value / 40e0 AS warm
   FROM (SELECT *, epoch_us(ts) - 1704067200000000 AS us FROM events))"""
 
 
@@ -218,6 +218,68 @@ def s7(spark, d):
     )
 
 
+def family_lines(spark, d):
+    """The same records in three families of exports, one file per user, told by user_id % 3."""
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    e = table(spark, d, "events").select("event_id", "user_id", "value", us.alias("us"))
+    kind = F.col("user_id") % 3
+    text = lambda c: c.cast("string")
+    comma = lambda c: F.translate(text(c), ".", ",")
+    hours = F.col("us") % 518400000000 / F.lit(3600000000.0)
+    seconds = F.col("us") % 518400000000 / F.lit(1000000.0)
+    cycle = text(F.floor(F.col("us") / 518400000000))
+    volts, amps = 3.0 + F.col("value") / 1000.0, F.col("value") / 100.0 - 0.25
+    charge, warm = F.round(F.col("value") / 50.0, 4), 20.0 + F.col("value") / 40.0
+    quote = F.lit('"')
+    row = (
+        F.when(kind == 0, F.concat_ws(" ", text(hours), text(volts), text(amps), text(charge), cycle))
+        .when(kind == 1, F.concat_ws(";", cycle, comma(hours), F.concat(quote, comma(amps), quote), comma(volts), comma(charge), comma(warm)))
+        .otherwise(F.concat_ws(",", cycle, F.lit('"a, ""b"""'), text(seconds), text(amps), F.lit("9"), text(volts), F.lit("7"), text(warm), text(charge)))
+    )
+    head = (
+        F.when(kind == 0, "~Time[h] U[V] I[A] Ah[Ah] Cyc-Count")
+        .when(kind == 1, "Cyc-Count;~Time[h];I[A];U[V];Ah[Ah];T1[°C]")
+        .otherwise('"Cycle Count","Start time, local",Test Time,Cell current,Charge current limit,"Cell voltage",'
+                   "Chamber temp,Cell temp,Ah-Cyc-Discharge-0")
+    )
+    file = F.concat(F.lit("unit_"), F.col("user_id").cast("string")).alias("file")
+    users = e.select("user_id").distinct()
+    above = lambda n, value: users.select(file, F.lit(n).cast("bigint").alias("line"), value.alias("value"))
+    return (
+        e.select(file, F.col("event_id").alias("line"), row.alias("value"))
+        .unionByName(above(-1, head))
+        .unionByName(above(-2, F.lit("exported log; unit, cycle and time below")))
+    )
+
+
+@query(
+    "S6_text_export_families",
+    f"""WITH {_EXPORT} SELECT file, line, ['prefixed', 'counter', 'synonyms'][user_id % 3 + 1] AS family, cycle,
+     round(hours * 3600e0, 6) AS seconds, cur AS current, v AS voltage,
+     CASE WHEN user_id % 3 > 0 THEN warm END AS temperature FROM ev""",
+)
+def s6_families(spark, d):
+    f = families.with_seconds(families.prediction_fields(family_lines(spark, d)))
+    return f.select(
+        "file", "line", "family", exports.number("cycle_raw").cast("bigint").alias("cycle"),
+        F.round("seconds", 6).alias("seconds"), exports.number("current_raw").alias("current"),
+        exports.number("voltage_raw").alias("voltage"), exports.number("temperature_raw").alias("temperature"),
+    )
+
+
+@query(
+    "S7_text_export_family_labels",
+    f"""WITH {_EXPORT} SELECT file, line, cycle, cur AS current, CASE WHEN user_id % 3 < 2 THEN ah END AS cumulative,
+     CASE WHEN user_id % 3 = 2 THEN ah END AS capacity FROM ev""",
+)
+def s7_families(spark, d):
+    f = families.label_fields(family_lines(spark, d))
+    return f.select(
+        "file", "line", exports.number("cycle_raw").cast("bigint").alias("cycle"),
+        *[exports.number(f"{c}_raw").alias(c) for c in ("current", "cumulative", "capacity")],
+    )
+
+
 @query(
     "S10_header_inventory",
     """SELECT count(DISTINCT user_id) AS files, min('unit_' || user_id) AS first_file, 5 AS fields FROM events GROUP BY user_id % 4""",
