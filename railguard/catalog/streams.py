@@ -10,22 +10,31 @@ from railguard.catalog.base import (
 from railguard.catalog.trajectory import OVER, SCHEDULE, UNDER, _STATUS
 from railguard.session import scratch_path
 from railguard.streaming.guard_stream import (
-    certificate_stream, guard_stream, latest_totals, run_available,
+    certificate_stream, closing_markers, guard_stream, latest_totals, run_available,
 )
 
 
-FILES_PER_BATCH = 32
+#: Slices in time in which the events arrive, each one in as many files as there are shuffle partitions.
+ARRIVALS = 4
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    # A few files per batch, so that a long history is not one batch.
-    files = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", FILES_PER_BATCH)
-    )
-    return ledger_columns(files.parquet(d))
+    """The events as they arrive: a micro-batch per slice in time, state carried over all of them.
+
+    A unit's records of a slice are in one file, so batches that end inside a slice keep order.
+    """
+    events = table(spark, d, "events")
+    source = scratch_path(spark, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    done = F.timestamp_diff("MICROSECOND", F.lit(first), F.col("ts"))
+    whole = F.timestamp_diff("MICROSECOND", F.lit(first), F.lit(last)) + 1
+    part = F.coalesce((done * ARRIVALS / whole).cast("int"), F.lit(0))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n in range(ARRIVALS):
+        arrived = events.filter(part == n).repartition(files, "event_type", "user_id")
+        arrived.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
+    return ledger_columns(stream.parquet(source))
 
 
 def published(spark: SparkSession, d: str, **kw) -> DataFrame:
@@ -102,6 +111,28 @@ def r3_reorder(spark, d):
     return left.withColumn("status", F.coalesce("status", F.lit("waiting")))
 
 
+@query(
+    "R3_reorder_flush",
+    with_ledger(""", a AS (SELECT domain, unit, max(order_key) FILTER (ordinal % 10 <> 3) AS seen FROM led GROUP BY ALL),
+ l AS (SELECT led.*, max(order_key) FILTER (ordinal % 10 <> 3 AND order_key <= seen - 86400000000)
+     OVER (PARTITION BY led.domain, led.unit) AS last FROM led JOIN a USING (domain, unit))
+ SELECT domain, unit, ordinal, CASE WHEN ordinal % 10 = 3 AND order_key <= last THEN 'late_rejected' ELSE 'published' END AS status FROM l"""),
+)
+def r3_flush(spark, d):
+    """Late arrivals under a delay of a day, then a marker for every unit: rows in are rows out."""
+    events = ledger_columns(table(spark, d, "events")).withColumn("closing", F.lit(False))
+    source, out, state = (scratch_path(spark, n) for n in ("arrivals", "flush", "flush-state"))
+    late = F.col("ordinal") % 10 == 3
+    for part in (events.filter(~late), events.filter(late), closing_markers(events)):
+        part.write.mode("append").parquet(source)
+        stream = guard_stream(
+            spark.readStream.schema(events.schema).parquet(source),
+            alpha=ALPHA, budget=BUDGET, reorder_delay="1 day", closing="closing",
+        )
+        rows = run_available(stream, out, state)
+    return rows.select("domain", "unit", "ordinal", "status")
+
+
 @query(
     "R4_fail_closed_schedule",
     with_guarded(_STATUS + """

@@ -1,7 +1,7 @@
 """The guard as a stateful stream: one published row per record, never revised.
 
-Every input record gives exactly one row, or is still waiting for its reorder delay: nothing
-is dropped.  Per unit the state is a handful of numbers: the last key, the protected state,
+Every input record gives exactly one row, or is still waiting for its reorder delay until its
+unit goes on, is closed or has been silent for long enough: nothing is dropped.  Per unit the state is a handful of numbers: the last key, the protected state,
 the last output, the commissioning values and, when a reorder delay is asked for, the newest
 order key seen and the records still waiting.  A micro-batch holds one unit's new records in one task, so the batch size (files
 or rows per trigger) bounds memory, not the length of the unit's history.
@@ -111,6 +111,8 @@ def guard_stream(
     commissioning: int = 5,
     keys: Keys = Keys(),
     reorder_delay: str | None = None,
+    closing: str | None = None,
+    silence: str | None = None,
 ) -> DataFrame:
     """One row per input record with state, output, rank, frozen reference and status.
 
@@ -121,6 +123,12 @@ def guard_stream(
     decides, not a global watermark, because Spark would discard rows behind a watermark
     before they could be reported.  Records without finite values, order or unit are
     reported as ``invalid``.
+
+    Records that wait are published when their unit goes on, and for a unit that does not:
+    on a marker, a row whose boolean column ``closing`` is true (see ``closing_markers``; the
+    marker itself gives no row), or, in a stream that runs on, once the unit has been silent
+    for the processing time ``silence``.  Spark looks for silent units with every batch,
+    batches without data included.
     """
     check_alpha(alpha)
     order, ordinal = keys.order
@@ -133,14 +141,20 @@ def guard_stream(
         F.col(candidate).alias("candidate"),
         (as_column(budget) / as_column(under_cost)).alias("down"),
         (as_column(budget) / as_column(over_cost)).alias("up"),
+        (F.lit(False) if closing is None else F.coalesce(F.col(closing), F.lit(False))).alias("closing"),
     ]
+    patience = None if silence is None else pd.Timedelta(silence) // pd.Timedelta(milliseconds=1)
     delay = None if reorder_delay is None else pd.Timedelta(reorder_delay) // pd.Timedelta(microseconds=1)
     names = [keys.domain, keys.unit, "order_key", "ordinal", "protected_state", "guarded",
              "rank", "reference", "status"]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         unit = _Unit.load(state)
-        fresh = [row for pdf in batches for row in zip(*[pdf[c].tolist() for c in _RECORD])]
+        fresh, release = [], state.hasTimedOut
+        for pdf in batches:
+            release = release or bool(pdf["closing"].any())
+            records = pdf[~pdf["closing"].astype(bool)]
+            fresh += zip(*[records[c].tolist() for c in _RECORD])
         named = all(str(k or "").strip() for k in key)
         valid = [tuple(r) for r in fresh if named and all(map(_finite, r))]
         rows = [(*key, *map(_whole, r[:2]), *[None] * 4, INVALID) for r in fresh if not (named and all(map(_finite, r)))]
@@ -148,12 +162,15 @@ def guard_stream(
         unit.waiting = ()
         if delay is not None and ready:
             unit.newest = max(r[0] for r in ready) if unit.newest is None else max(unit.newest, *(r[0] for r in ready))
-            limit = unit.newest - delay
-            unit.waiting = tuple(r for r in ready if r[0] > limit)
-            ready = [r for r in ready if r[0] <= limit]
+            if not release:
+                limit = unit.newest - delay
+                unit.waiting = tuple(r for r in ready if r[0] > limit)
+                ready = [r for r in ready if r[0] <= limit]
         ready.sort(key=lambda r: (r[0], r[1]))
         rows += [(*key, *_advance(unit, fold, commissioning, r)) for r in ready]
         unit.save(state)
+        if patience is not None and unit.waiting:
+            state.setTimeoutDuration(patience)
         if rows:
             out = pd.DataFrame(rows, columns=names)
             for whole in ("order_key", "ordinal", "rank"):
@@ -166,8 +183,18 @@ def guard_stream(
         "ordinal bigint, protected_state double, guarded double, rank bigint, reference double, "
         "status string"
     )
+    timeout = GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.ProcessingTimeTimeout
     return stream.select(*columns).groupBy(*keys.group).applyInPandasWithState(
-        step, schema, _STATE, "append", GroupStateTimeout.NoTimeout
+        step, schema, _STATE, "append", timeout
+    )
+
+
+def closing_markers(records: DataFrame, closing: str = "closing", keys: Keys = Keys()) -> DataFrame:
+    """One end-of-input row per unit in the columns of ``records``; all but the unit is NULL."""
+    units = records.select(*keys.group).distinct().withColumn(closing, F.lit(True))
+    types = {f.name: f.dataType for f in records.schema}
+    return units.select(
+        *[F.col(c) if c in units.columns else F.lit(None).cast(types[c]).alias(c) for c in [*types, *({closing} - set(types))]]
     )
 
 

@@ -1,13 +1,14 @@
 """Streaming guard over several micro-batches, restarts and a reorder delay."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from railguard.operators.guard import guard
 from railguard.operators.layout import Trajectories
-from railguard.streaming.guard_stream import guard_stream, run_available
+from railguard.streaming.guard_stream import closing_markers, guard_stream, run_available
 
 SCHEMA = ("domain string, unit string, order_key bigint, ordinal bigint, raw_baseline double, "
           "raw_candidate double, at timestamp")
@@ -103,3 +104,48 @@ def test_invalid_records_are_reported(spark, tmp_path):
 def test_bad_alpha_is_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         guard_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path)), alpha=2.0, budget=0.1)
+
+
+def test_markers_publish_the_tails_of_silent_units(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    parts = [rows([0, 5, 1]) + rows([3], "v"), rows([60, 61]), rows([2, 58])]
+    kw = {"reorder_delay": "10 seconds", "closing": "closing"}
+    data = sum(parts, [])
+    closing = closing_markers(spark.createDataFrame(data, SCHEMA))
+    assert closing.count() == 2 and closing.columns == [*spark.createDataFrame([], SCHEMA).columns, "closing"]
+
+    def run(df):
+        df.coalesce(1).write.mode("append").parquet(source)
+        return run_available(stream_of(spark, source, closing.schema, **kw), out, state)
+
+    for part in parts:
+        got = run(spark.createDataFrame(part, SCHEMA).withColumn("closing", F.lit(None).cast("boolean")))
+    assert got.count() < len(data)
+    got = run(closing)
+    assert got.count() == len(data)
+    # Second 2 came behind what was published before; 58 waited with 60 and 61 and took its place.
+    assert got.filter("status <> 'published'").count() == 1
+    want = batch(spark, [r for r in data if r[2] != rows([2])[0][2]])
+    keys = ["unit", "order_key", "protected_state", "guarded"]
+    assert got.filter("status = 'published'").select(*keys).exceptAll(want.select(*keys)).count() == 0
+    assert run(closing).count() == len(data)  # nothing waits any more
+
+
+def stream_of(spark, folder, schema, **kw):
+    return guard_stream(spark.readStream.schema(schema).parquet(folder), alpha=0.3, budget=0.02, **kw)
+
+
+def test_silent_units_are_published_by_the_clock(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    feed(spark, source, rows([0, 5, 1, 60]))
+    run = (
+        stream(spark, source, reorder_delay="10 seconds", silence="1 second").writeStream.format("parquet")
+        .option("path", out).option("checkpointLocation", state).trigger(processingTime="1 second").start()
+    )
+    try:
+        end = time.time() + 60
+        while time.time() < end and not (run.lastProgress and spark.read.schema("status string").parquet(out).count() == 4):
+            time.sleep(1)
+    finally:
+        run.stop()
+    assert spark.read.parquet(out).filter("status = 'published'").count() == 4
