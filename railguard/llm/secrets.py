@@ -1,14 +1,18 @@
 """Secret scans: fixed patterns, and novelty of strings by dictionary-primed zstandard.
 
-Three fixed kinds of spans are found by pattern. Further candidates are strings in sensitive
-context (a key or credential word before them). A candidate's novelty is the number of bytes
-it adds to the compressed text around it, with a compressor primed by common identifiers:
-names, words and repeated strings add little, random strings add about their length. Those
-that add most of their bytes are reported as ``novel``.
+Three fixed kinds of spans are found by pattern. Further candidates are all token-like runs
+near a key or credential word, over schemes (``Basic``, ``Bearer``), quotes and line ends, and
+the lines that go on with key material. A candidate's novelty is the number of bytes it adds
+to the compressed text around it (plain text where there is little), other candidates left out, with a compressor primed by
+common identifiers: names, words and paths add about half their length, random strings all of
+it. Strings without small letters are judged in lower case, so that constants in capitals are
+no novelty. Those that add most of their bytes are reported as ``novel``.
 
 Cases: null or empty text has no spans; a span found by a fixed pattern is never reported
 again as novel; equal starts are ordered assign, access, hex, novel; repeated rows are
-scanned one by one; very long texts are scanned whole; further columns are ignored.
+scanned one by one; very long texts are scanned whole, in time linear in their length; an
+empty table gives an empty result; further columns are ignored. Not reported: phrases of
+plain words, and short strings of one or two kinds of characters.
 """
 
 from __future__ import annotations
@@ -37,18 +41,32 @@ CONTEXT_WORDS = (
     b"auth", b"bearer", b"credential", b"private", b"signature", b"session", b"pwd", b"passphrase",
     b"password", b"passwd", b"secret", b"token", b"key",
 )
-CANDIDATE = re.compile(
-    rb"(?:" + b"|".join(CONTEXT_WORDS) + rb")"
-    rb"""[A-Za-z_]{0,16}["']?[\x20\t]{0,3}[:=]?[\x20\t]{0,3}["']?([A-Za-z0-9+/_=-]{16,})""",
-    re.IGNORECASE,
-)
+CONTEXT = re.compile(rb"(?:" + b"|".join(CONTEXT_WORDS) + rb")([A-Za-z0-9_]*)", re.IGNORECASE)
+RUN = re.compile(rb"[A-Za-z0-9+/][A-Za-z0-9+/_.=~-]{7,}")
+#: A run starts within so many bytes after a context word.
+WINDOW = 96
+#: A run of so many bytes is key material: one that starts right after it is a candidate, too.
+LINE_BYTES = 40
+LINE_GAP = 3
 #: Bytes before and after a candidate that it is compressed with.
 AROUND = 256
-#: A candidate is novel if it adds this share of its bytes at least, and so many bytes.
-NOVEL_SHARE = 0.6
-NOVEL_BYTES = 12
-#: A random string mixes its characters: distinct ones needed, and digits among them.
-NOVEL_DISTINCT = 10
+#: Plain text put before surroundings shorter than that: bytes are told apart by how often they
+#: occur, which a few of them do not show.
+PLAIN = (
+    b"This part of the file says how the service is set up. Most of what stands here is read once, when the "
+    b"program begins, and does not change while it runs; later values win over earlier ones. Names are written "
+    b"in small letters with lines between words, as in first_name or max_size, or joined as in firstName. Paths "
+    b"like /var/log/app/current.log or docs.project.org/guide/index.html may be given in full. Numbers such as "
+    b"0, 12, 345, 6789 or 2023-08-17 need no quotes. Old entries can be kept as notes, so that others see why."
+)
+#: A candidate is novel if it adds this share of its bytes at least; less where it has letters of
+#: one case alone, of which a random one tells 4.7 bits and not 6.
+NOVEL_SHARE = 0.85
+ONE_CASE_SHARE = 0.68
+#: Shorter strings tell too little by their bytes alone: they must also mix capitals, small
+#: letters and digits.
+SHORT_BYTES = 16
+MIXED = (re.compile(rb"[A-Z]"), re.compile(rb"[a-z]"), re.compile(rb"[0-9]"))
 
 IDENTIFIERS = b" ".join(
     b"""
@@ -83,28 +101,66 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compress = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False).compress
 
+    def marginal(self, before: bytes, value: bytes, after: bytes) -> int:
+        around = before + after
+        around = PLAIN[: max(0, 2 * AROUND - len(around))] + around
+        return len(self.compress(around + value)) - len(self.compress(around))
+
     def added(self, text: bytes, start: int, end: int) -> int:
-        around = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        return len(self.compress(around[0] + around[1] + text[start:end])) - len(self.compress(b"".join(around)))
+        return self.marginal(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND])
 
     def spans(self, text: bytes, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        lowered = text.lower()
-        if not any(w in lowered for w in CONTEXT_WORDS):
+        runs = candidates(text, known)
+        if not runs:
             return []
-        found = []
-        for m in CANDIDATE.finditer(text):
-            start, end = m.span(1)
-            value = m[1]
-            if any(start < e and s < end for s, e, _ in known) or len(set(value)) < NOVEL_DISTINCT:
+        edges = [0, *[p for run in runs for p in run], len(text)]
+        bare = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        found, gone = [], 0
+        for start, end in runs:
+            at, value = start - gone, text[start:end]
+            gone += end - start
+            if len(value) < SHORT_BYTES and not all(kind.search(value) for kind in MIXED):
                 continue
-            if not (re.search(rb"[0-9]", value) and re.search(rb"[A-Za-z]", value)):
+            if value.isdigit():
                 continue
-            added = self.added(text, start, end)
-            if added >= NOVEL_BYTES and added >= NOVEL_SHARE * len(value):
+            before, after = bare[max(0, at - AROUND) : at], bare[at : at + AROUND]
+            judged = value if MIXED[1].search(value) else value.lower()
+            share = ONE_CASE_SHARE if judged.isalpha() and judged.islower() else NOVEL_SHARE
+            if self.marginal(before, judged, after) >= share * len(value):
                 found.append((start, end, "novel"))
         return found
 
 
+def candidates(text: bytes, known: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Token-like runs in sensitive context that no known span touches, in order, none overlapping."""
+    lowered = text.lower()
+    if not any(w in lowered for w in CONTEXT_WORDS):
+        return []
+    runs: list[tuple[int, int]] = []
+    done = 0
+    for m in CONTEXT.finditer(text):
+        # A long rest of the word may be the string itself, as in api_key_Qz8v...
+        at = max(done, m.start(1) if len(m[1]) >= SHORT_BYTES else m.end())
+        limit = m.end() + WINDOW
+        while run := RUN.search(text, at, max(at, limit) + 8):
+            if run.start() >= limit:
+                break
+            end = RUN.match(text, run.start()).end()
+            at = done = end
+            runs.append((run.start(), run.start() + len(text[run.start() : end].rstrip(b"."))))
+            if end - run.start() >= LINE_BYTES:
+                limit = max(limit, end + LINE_GAP)
+    ranges = sorted((s, e) for s, e, _ in known)
+    free, n, reach = [], 0, 0
+    for start, end in runs:
+        while n < len(ranges) and ranges[n][0] < end:
+            reach = max(reach, ranges[n][1])
+            n += 1
+        if reach <= start:
+            free.append((start, end))
+    return free
+
+
 def listed(text: bytes, spans: list[tuple[int, int, str]]) -> str:
     """kind:start:end in code points, by start and then by kind as listed."""
     parts, at, points = [], 0, 0
