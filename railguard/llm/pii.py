@@ -47,8 +47,6 @@ BEFORE, AFTER = 32, 16
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _ADDRESS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
-#: Candidates that the trees are fitted and calibrated on at most (chosen by a hash).
-SAMPLE_ROWS = 20_000
 #: Share of true ones above the threshold, among candidates set aside.
 PRECISION = 0.98
 #: Candidates set aside that a threshold is judged by at least.
@@ -162,23 +160,23 @@ def probabilities(spans: DataFrame) -> tuple[DataFrame, dict[str, float]] | None
     """``spans`` with the trees' probability, and the calibrated threshold of each kind.
 
     A kind without failed candidates set aside (e-mail addresses have no check) takes the
-    threshold of all kinds together; a kind that no threshold makes precise gets none.
+    threshold of all kinds together; a kind that no threshold makes precise gets none. The
+    trees are fitted on all judged candidates of the corpus that are not set aside (three in
+    four, by a hash), the thresholds on all that are.
     """
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     labelled = (
         spans.filter("judged OR passes")
         .withColumn("label", F.col("passes").cast("double"))
         .withColumn("mark", F.xxhash64("rid", "kind", "start"))
-        .orderBy("mark")
-        .limit(SAMPLE_ROWS)
     )
-    sample = durable(assembler.transform(labelled).select("kind", "features", "label", (F.pmod("mark", F.lit(4)) == 0).alias("aside")))
-    seen = {(r["aside"], r["label"]) for r in sample.select("aside", "label").distinct().collect()}
+    judged = durable(assembler.transform(labelled).select("kind", "features", "label", (F.pmod("mark", F.lit(4)) == 0).alias("aside")))
+    seen = {(r["aside"], r["label"]) for r in judged.select("aside", "label").distinct().collect()}
     if len(seen) < 4:
         return None
-    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=11).fit(sample.filter("NOT aside"))
+    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=11).fit(judged.filter("NOT aside"))
     p = vector_to_array(F.col("probability"))[1]
-    held = trees.transform(sample.filter("aside")).select("kind", "label", p.alias("p"))
+    held = trees.transform(judged.filter("aside")).select("kind", "label", p.alias("p"))
     rows = held.groupBy("kind").agg(
         F.min("label").alias("least"),
         *[F.sum(F.when(F.col("p") >= t, F.col("label")).otherwise(0)).alias(f"hit{i}") for i, t in enumerate(THRESHOLDS)],

@@ -4,7 +4,9 @@ import re
 import cases
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
+from railguard.llm import pii as pii_module
 from railguard.llm.pii import KINDS, detected
 from railguard.llm.secrets import Novelty, base_spans, candidates, redact, redact_documents, scanned
 
@@ -185,3 +187,28 @@ def test_redaction(spark):
     assert {before[k]["doc_id"] for k in changed} == {16, 17, 19, 20}
     for k in changed:
         assert after[k]["n_chars"] == len(after[k]["text"]) and "[SECRET]" in after[k]["text"]
+
+
+def test_trees_and_thresholds_take_all_judged_candidates(spark, monkeypatch):
+    n, fitted, trees = 24_000, [], pii_module.GBTClassifier
+
+    def recorded(**settings):
+        model = trees(**settings)
+
+        class Recorder:
+            def fit(self, rows):
+                fitted.append(rows.count())
+                return model.fit(rows)
+
+        return Recorder()
+
+    monkeypatch.setattr(pii_module, "GBTClassifier", recorded)
+    passes = F.col("id") % 2 == 0
+    spans = spark.range(n).select(
+        F.col("id").alias("rid"), F.lit("card").alias("kind"), F.lit(0).alias("start"), F.lit(16).alias("end"),
+        passes.alias("passes"), F.lit(True).alias("judged"),
+        *[(passes.cast("int") * 5 + F.col("id") % 3).cast("double").alias(c) for c in pii_module.FEATURES],
+    )
+    scored, thresholds = pii_module.probabilities(spans)
+    aside = spans.filter(F.pmod(F.xxhash64("rid", "kind", "start"), F.lit(4)) == 0).count()
+    assert fitted == [n - aside] and thresholds["card"] == 0.5 and scored.count() == n
