@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from railguard.functions.columns import TOLERANCE
-from railguard.functions.draws import uniform_index, uniform_index_array
+from railguard.functions.columns import TOLERANCE, is_finite
+from railguard.functions.draws import MODULUS, first_place, stretch_sums, uniform_index, uniform_index_array
 from railguard.operators.ordering import numbered_by_range
 
 MAX_DOMAINS = 10_000
@@ -29,6 +29,12 @@ ARRAY_UNITS = 1_000_000
 #: Draws that a task makes at a time.
 DRAWS_HELD = 1 << 20
 BLOCK = 256
+#: Units of a domain whose draws are read off the ring of places (see ``functions.draws``).
+RING_UNITS = 1_000_000
+#: Domains of a two-stage contrast up to which every task picks them again for itself.
+RING_DOMAINS = 64
+#: Parts that the ring is cut into, each one a task per domain, and contrasts in a task.
+RING_PARTS, RING_CONTRASTS = 32, 8
 
 # Two-sided 95% critical values of Student's t for 1 to 30 degrees of freedom.
 T_CRITICAL_95 = [
@@ -215,11 +221,115 @@ def units_by_arrays(arrays: DataFrame, reps: int, seed: int) -> DataFrame:
     return _resampled(arrays, reps, draw, True)
 
 
+def ring_rows(units: DataFrame, domains: int | None = None) -> DataFrame | None:
+    """Per domain position and size the differences of contrasts with these, as lists.
+
+    Such contrasts draw the same unit numbers, so a task draws once for all of them. None when a
+    domain has more than ``RING_UNITS`` units, a contrast has more than ``domains`` domains, or a
+    difference is not finite: then draws are made one by one.
+    """
+    sizes = units.groupBy("contrast_id", "domain").agg(
+        F.count(F.lit(1)).alias("m"), F.count_if(~is_finite("difference")).alias("_broken")
+    )
+    per_contrast = sizes.groupBy("contrast_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("m").alias("m"), F.sum("_broken").alias("broken")
+    )
+    most = per_contrast.agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("broken").alias("broken")).first()
+    if (most["m"] or 0) > RING_UNITS or most["broken"] or (domains is not None and (most["n"] or 0) > domains):
+        return None
+    listed = units.groupBy("contrast_id", "domain").agg(
+        F.array_sort(F.collect_list(F.struct("unit", "difference"))).alias("_u")
+    )
+    by_contrast = Window.partitionBy("contrast_id")
+    numbered = listed.select(
+        "contrast_id", "domain", F.size("_u").alias("m"),
+        (F.row_number().over(by_contrast.orderBy("domain")) - 1).alias("d"),
+        F.count(F.lit(1)).over(by_contrast).alias("n"),
+        F.transform("_u", lambda u: u["difference"]).alias("values"),
+    )
+    alike = ["n", "d", "m"]
+    place = F.row_number().over(Window.partitionBy(*alike).orderBy("contrast_id")) - 1
+    packed = numbered.withColumn("pack", F.floor(place / RING_CONTRASTS)).groupBy(*alike, "pack").agg(
+        F.collect_list(F.struct("contrast_id", "domain", "values")).alias("held")
+    )
+    parts = F.explode(F.sequence(F.lit(0), F.lit(RING_PARTS - 1)))
+    return packed.select(*alike, "pack", parts.alias("part"), "held")
+
+
+def _ring_means(rows: DataFrame, stretches, running: int) -> DataFrame:
+    """Means of all stretches: contrast_id, domain, rep, slot and mean.
+
+    ``stretches(n, d)`` gives replicate, slot and first place of each. Differences become whole
+    numbers, as fine as a sum of ``m`` of them allows, so sums are exact and parts may be added
+    in any order.
+    """
+    held = rows.schema["held"].dataType.elementType
+    kinds = [held[c].dataType.simpleString() for c in ("contrast_id", "domain")]
+    schema = f"contrast_id {kinds[0]}, domain {kinds[1]}, m bigint, rep bigint, slot bigint, bits int, total bigint"
+    names = ["contrast_id", "domain", "m", "rep", "slot", "bits", "total"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, d, m, part = (batch.column(c)[i].as_py() for c in range(4))
+                own = batch.column(4)[i].values
+                values = np.stack([x.values.to_numpy() for x in own.field("values")], axis=1)
+                largest = np.abs(values).max(axis=0) * m
+                bits = np.where(largest > 0, 61 - np.frexp(largest)[1], 0).clip(-1000, 1000)
+                whole = np.rint(np.ldexp(values, bits)).astype(np.int64)
+                rep, slot, starts = stretches(n, d)
+                low, high = (MODULUS * (part + k) // RING_PARTS for k in (0, 1))
+                number, sums = stretch_sums(whole, running, starts, low, high)
+                size = len(number)
+                for k, (contrast, domain) in enumerate(zip(own.field("contrast_id").to_pylist(), own.field("domain").to_pylist())):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([contrast] * size, batch.schema.field("held").type.value_type.field("contrast_id").type),
+                        pa.array([domain] * size, batch.schema.field("held").type.value_type.field("domain").type),
+                        pa.array(np.full(size, m, np.int64)), pa.array(rep[number]), pa.array(slot[number]),
+                        pa.array(np.full(size, bits[k], np.int32)), pa.array(np.ascontiguousarray(sums[:, k])),
+                    ], names=names)
+
+    # Rows may be large: many partitions, so that a batch holds few of them.
+    dealt = rows.repartition(8 * RING_PARTS, "n", "d", "m", "pack", "part")
+    parts = dealt.select("n", "d", "m", "part", "held").mapInArrow(run, schema)
+    key = ["contrast_id", "domain", "rep", "slot"]
+    summed = parts.groupBy(*key).agg(F.sum("total").alias("_t"), F.first("bits").alias("_b"), F.first("m").alias("_m"))
+    return summed.select(*key, (F.col("_t") * F.pow(F.lit(2.0), -F.col("_b")) / F.col("_m")).alias("mean"))
+
+
+def two_stage_by_ring(rows: DataFrame, reps: int, seed: int) -> DataFrame:
+    """Replicates of ``two_stage_replicates``; no place of the ring is drawn twice."""
+
+    def stretches(n, d):
+        numbers = np.arange(reps, dtype=np.int64)
+        picked = [(numbers[uniform_index_array(n, seed, numbers, s) == d], s) for s in range(n)]
+        rep = np.concatenate([r for r, _ in picked])
+        slot = np.concatenate([np.full(len(r), s, np.int64) for r, s in picked])
+        return rep, slot, first_place(seed + 1, 2, rep, slot)
+
+    means = _ring_means(rows, stretches, 2)
+    return means.groupBy("contrast_id", "rep").agg(F.avg("mean").alias("replicate"))
+
+
+def units_by_ring(rows: DataFrame, reps: int, seed: int) -> DataFrame:
+    """Replicates of ``unit_replicates``; no place of the ring is drawn twice."""
+
+    def stretches(n, d):
+        rep = np.arange(reps, dtype=np.int64)
+        return rep, np.zeros(reps, np.int64), first_place(seed, 1, rep, 0, d)
+
+    return _ring_means(rows, stretches, 1).withColumnRenamed("mean", "replicate")
+
+
 def two_stage_bootstrap(units: DataFrame, reps: int = 100_000, seed: int = 17, **kw) -> DataFrame:
     domains = units.groupBy("contrast_id", "domain").agg(F.avg("difference").alias("difference"))
     point = domains.groupBy("contrast_id").agg(F.avg("difference").alias("point"))
-    arrays = unit_arrays(units)
-    drawn = two_stage_replicates(units, reps, seed) if arrays is None else two_stage_by_arrays(arrays, reps, seed)
+    rows = ring_rows(units, RING_DOMAINS)
+    if rows is not None:
+        drawn = two_stage_by_ring(rows, reps, seed)
+    else:
+        arrays = unit_arrays(units)
+        drawn = two_stage_replicates(units, reps, seed) if arrays is None else two_stage_by_arrays(arrays, reps, seed)
     return point.join(percentile_interval(drawn, ["contrast_id"], **kw), "contrast_id")
 
 
@@ -227,8 +337,12 @@ def unit_bootstrap(units: DataFrame, reps: int, seed: int, **kw) -> DataFrame:
     """Units resampled within each domain: an interval per contrast and domain."""
     group = ["contrast_id", "domain"]
     point = units.groupBy(*group).agg(F.avg("difference").alias("point"))
-    arrays = unit_arrays(units)
-    means = unit_replicates(units, reps, seed) if arrays is None else units_by_arrays(arrays, reps, seed)
+    rows = ring_rows(units)
+    if rows is not None:
+        means = units_by_ring(rows, reps, seed)
+    else:
+        arrays = unit_arrays(units)
+        means = unit_replicates(units, reps, seed) if arrays is None else units_by_arrays(arrays, reps, seed)
     return point.join(percentile_interval(means, group, **kw), group)
 
 

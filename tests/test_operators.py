@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from railguard.functions import draws
 from railguard.operators import contracts, curves, inference, joins, metrics, quantiles
 from railguard.operators.layout import Keys, Trajectories
 from railguard.sources import exports, nested, sinks, tables
@@ -342,3 +343,44 @@ def test_a_sealed_table_opens_only_unchanged(spark, tmp_path):
             sinks.open_sealed(spark, changed)
     assert sinks.seal(df.limit(0), str(tmp_path / "empty")) == 0
     assert sinks.open_sealed(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_overlapping_draws_are_worked_out_once(monkeypatch):
+    m, worked, index_at = 4_000, [], draws.index_at
+    monkeypatch.setattr(draws, "index_at", lambda places, *a: worked.append(len(places)) or index_at(places, *a))
+    values = np.random.default_rng(5).integers(-(1 << 40), 1 << 40, (m, 2))
+    # Neighbours, one far away, and one that passes the end of the ring.
+    starts = np.array([*range(100, 160), 10**9, draws.MODULUS - 1_500])
+    whole = np.zeros((len(starts), 2), np.int64)
+    for part in range(3):
+        low, high = (draws.MODULUS * (part + k) // 3 for k in (0, 1))
+        number, sums = draws.stretch_sums(values, 2, starts, low, high)
+        np.add.at(whole, number, sums)
+    x = (np.int64(draws.STEPS[2]) * ((starts[:, None] + np.arange(m)) % draws.MODULUS)) % draws.MODULUS
+    fifth = (((x * x) % draws.MODULUS) ** 2 % draws.MODULUS) * x % draws.MODULUS
+    assert (whole == values[fifth * draws.MULTIPLIER % draws.MODULUS % m].sum(1)).all()
+    # The first ones and the end of the last one cover 0 to m + 159.
+    assert sum(worked) == (m + 159) + m + 1_500
+    starts = draws.first_place(18, 2, np.arange(40), 3)
+    number, sums = draws.stretch_sums(values[:9], 2, starts, 0, draws.MODULUS)
+    assert (sums[np.argsort(number)] == values[draws.uniform_index_array(9, 18, np.arange(40)[:, None], 3, np.arange(9))].sum(1)).all()
+
+
+def test_ring_gives_the_replicates_of_single_draws(spark):
+    units = spark.range(600).selectExpr(
+        "IF(id % 2 = 0, 'a', 'b') AS contrast_id", "CONCAT('d', id % 7 % 3) AS domain", "CONCAT('u', id) AS unit",
+        "CAST(id * 37 % 101 AS DOUBLE) / 101 - 0.4 AS difference",
+    ).filter("NOT (contrast_id = 'b' AND domain = 'd1' AND unit > 'u3')").cache()
+    arrays = inference.unit_arrays(units)
+    both = [
+        (inference.two_stage_by_ring(inference.ring_rows(units), 300, 5), inference.two_stage_by_arrays(arrays, 300, 5), []),
+        (inference.units_by_ring(inference.ring_rows(units), 300, 5), inference.units_by_arrays(arrays, 300, 5), ["domain"]),
+    ]
+    for ring, single, more in both:
+        key = ["contrast_id", *more]
+        a, b = (sorted((*[r[k] for k in key], r["replicate"]) for r in df.collect()) for df in (ring, single))
+        assert len(a) == len(b) and [x[:-1] for x in a] == [x[:-1] for x in b]
+        assert max(abs(x[-1] - y[-1]) for x, y in zip(a, b)) < 1e-14
+    assert inference.ring_rows(units, domains=2) is None
+    broken = units.withColumn("difference", F.expr("IF(unit = 'u5', double('NaN'), difference)"))
+    assert inference.ring_rows(broken) is None
