@@ -276,19 +276,28 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
 
 
+#: Records of which a task holds grid states at a time; a unit goes on over any number of them.
+GRID_ROWS = 2_000
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, GRID_ROWS):
+            yield batch.slice(at, GRID_ROWS)
+
+
 def _grid_batches(fold: Fold, part: list[str], starts: bool, last_only: bool):
     """Streaming kernel of grid folds: all units of a batch step together, rank by rank.
 
     Units are ordered by length inside the batch, so the units that still have records are
-    always the first ones; the last unit of a batch stays open for the next one.
+    always the first ones; the last unit of a batch stays open for the next one. A batch is a
+    slice of ``GRID_ROWS`` records, so memory does not follow the size of what Spark hands over.
     """
     start_columns = [f"{_START}{s}" for s in fold.carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, fields = None, None, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in sliced(batches):
             values = [_column(batch.column(n)) for n in fold.inputs]
             fields = [batch.schema.field(c) for c in part]
             names = list(zip(*[batch.column(c).to_pylist() for c in part]))

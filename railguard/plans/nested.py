@@ -28,6 +28,7 @@ from railguard.operators.folds import (
     StateGridFold,
     grid_unit_errors,
     run_fold,
+    sliced,
 )
 from railguard.operators.layout import Keys, Trajectories
 from railguard.operators.ordering import prefix_part, with_rank
@@ -122,7 +123,7 @@ def _summed(df: DataFrame, columns: list[str], size: int, step: Callable) -> Dat
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for name, values in step(batch):
                 sums[name] = sums[name] + values if name in sums else values
         if sums:
@@ -387,7 +388,7 @@ def pair_medians(
 
         def run(batches, shift=shift, known=known, depth=depth):
             sums: dict[tuple[str, int], np.ndarray] = {}
-            for batch in batches:
+            for batch in sliced(batches):
                 for outer, weight, _, residual in split(batch):
                     for a in range(size):
                         digits = _ordered(np.ascontiguousarray(residual[:, a])) >> shift

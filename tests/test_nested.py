@@ -4,9 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from railguard.operators import folds
 from railguard.operators.folds import GuardGridFold, RecoveryGridFold, StateGridFold, grid_unit_errors, run_fold
 from railguard.operators.layout import Keys, Trajectories
 from railguard.plans import nested
@@ -245,3 +247,28 @@ def test_exact_sums_do_not_depend_on_the_cuts(spark):
         total += step
         charge += 0.5 * (i0 + i1) * step / 3600.0
         assert e == pytest.approx(total, abs=1e-9) and q == pytest.approx(charge, abs=1e-9)
+
+
+def test_grid_states_of_a_task_do_not_follow_the_batch(monkeypatch):
+    n, seen = 500, []
+    draw = np.random.default_rng(7)
+    units = np.sort(draw.integers(0, 60, n))
+    data = {"unit": [f"u{u:02}" for u in units], "raw": draw.random(n), "truth": draw.random(n)}
+
+    class Counted(StateGridFold):
+        def step(self, previous, values):
+            seen.append(len(values[0]))
+            return super().step(previous, values)
+
+    def errors(fold, rows):
+        monkeypatch.setattr(folds, "GRID_ROWS", rows)
+        grid = folds.GridErrors(inputs=("raw", "truth"), state=("s", "errors", "scored"), inner=fold)
+        parts = folds._grid_batches(grid, ["unit"], False, True)(iter([pa.RecordBatch.from_pydict(data)]))
+        return pa.Table.from_batches(list(parts)).to_pydict()
+
+    fold = Counted(inputs=("raw",), state=("s",), alphas=(1.0, 0.3))
+    whole = errors(fold, n)
+    assert max(seen) > 7
+    seen.clear()
+    assert errors(fold, 7) == whole and max(seen) <= 7
+    assert whole["unit"] == sorted(set(data["unit"]))
