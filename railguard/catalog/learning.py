@@ -13,6 +13,7 @@ from railguard.operators.flow import eligibility
 from railguard.operators.guard import causal_state, guard
 from railguard.operators.layout import Keys, Trajectories
 from railguard.plans import models
+from railguard.session import durable
 from railguard.sources import sinks
 
 
@@ -62,11 +63,13 @@ def _held_out(spark, d, kind, **kw):
 
 @query("M2_forest_regression", None)
 def m2(spark, d):
-    f = metrics.row_weights(feature_table(spark, d), scale="mean_one")
+    f = feature_table(spark, d)
+    weighted = metrics.row_weights(f, scale="mean_one").filter("domain <> 'R'")
     pipeline = models.build_pipeline(
         FEATURES, "truth", kind="forest", log_column="order_key", weight="weight"
     )
-    model = pipeline.fit(f.filter("domain <> 'R'"))
+    # Three passes read the weighted records; the join behind them runs once.
+    model = pipeline.fit(durable(weighted.select(*FEATURES, "truth", "weight")))
     scored = models.predict(model, f.filter("domain = 'R'"))
     return scored.groupBy("domain", "unit").agg(
         F.count(F.lit(1)).alias("records"),
@@ -126,12 +129,10 @@ def e2(spark, d):
     f = feature_table(spark, d)
     # Domains are declared data sets, a short list; which ones there are is read from the data.
     names = sorted(r["domain"] for r in f.select("domain").distinct().collect())
-    base = models.leave_one_domain_out(
-        f, names, models.build_pipeline(["price", "discount"], "truth", kind="ridge"), out="price_only"
-    )
-    both = models.leave_one_domain_out(
-        base, names, models.build_pipeline(FEATURES, "truth", kind="ridge", log_column="order_key"), out="full"
-    )
+    both = models.leave_one_domain_out(f, names, {
+        "price_only": models.build_pipeline(["price", "discount"], "truth", kind="ridge"),
+        "full": models.build_pipeline(FEATURES, "truth", kind="ridge", log_column="order_key"),
+    })
     units = metrics.unit_errors(both, ["price_only", "full"])
     domains = units.groupBy("domain", "method").agg(F.avg("mae").alias("unit_macro_mae"))
     return domains.withColumn("unit_macro_mae", F.round("unit_macro_mae", 6))

@@ -7,12 +7,17 @@ are ordered.  No task ever sees a whole group and no row is dropped.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from railguard.functions.arrays import count_below, with_coarse_cuts
 from railguard.session import durable
 
 BUCKETS = 256
+#: Cells that a pass over whole columns tells apart, values of a cell that one task orders, and
+#: passes that narrow a cell with more distinct ones.
+CELLS, ORDERED, NARROWINGS = 4096, 1 << 20, 4
 
 
 def _bucketed(df: DataFrame, group: list[str], value: str, weight: Column) -> DataFrame:
@@ -79,6 +84,95 @@ def exact_quantiles(
     )
 
 
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
+    """Linear-interpolated quantiles of whole columns, all columns in the same few passes.
+
+    A pass counts the values of equally wide cells; a cell's position never falls as the value
+    rises, so counts locate the wanted ranks. Cells of one value are settled by that, those of at
+    most ``ORDERED`` values are ordered, larger ones become columns of the next pass. A column
+    without values has an empty list. NaN is the largest value, as in Spark's order.
+    """
+    frame = df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    counts = frame.agg(*[F.count(c).alias(c) for c in frame.columns], *[
+        end(F.when(F.abs(c) < math.inf, F.col(c))).alias(f"{c}{k}") for c in frame.columns for k, end in enumerate((F.min, F.max))
+    ]).first()
+    places = {(i, k): p * (counts[f"_c{i}"] - 1) for i in range(len(columns)) for k, p in enumerate(probs) if counts[f"_c{i}"]}
+    # Rank of a column -> value; a search is a column expression, its range and wanted local ranks.
+    value: dict[tuple[int, int], float] = {}
+    searches = []
+    for i in range(len(columns)):
+        ranks = {r: (i, r) for (c, _), x in places.items() if c == i for r in (math.floor(x), math.ceil(x))}
+        if ranks:
+            searches.append((F.col(f"_c{i}"), counts[f"_c{i}0"] or 0.0, counts[f"_c{i}1"] or 0.0, ranks))
+    for left in reversed(range(NARROWINGS)):
+        if not searches:
+            break
+        cells = [_cell(x, low, high) for x, low, high, _ in searches]
+        found: dict[int, list] = {}
+        for r in _counted(frame, searches, cells).collect():  # at most CELLS + 3 rows a search
+            found.setdefault(r["search"], []).append(r)
+        light, heavy = {}, []
+        for s, (x, _, _, ranks) in enumerate(searches):
+            before, rows = 0, iter(sorted(found[s], key=lambda r: r["cell"]))
+            row, inside = next(rows), {}
+            for rank in sorted(ranks):
+                while rank >= before + row["n"]:
+                    before, row = before + row["n"], next(rows)
+                if row["low"] == row["high"] or math.isnan(row["low"]):
+                    value[ranks[rank]] = row["low"]
+                else:
+                    inside.setdefault(row["cell"], (row, {}))[1][rank - before] = ranks[rank]
+            for cell, (row, local) in inside.items():
+                if left and row["n"] > ORDERED:
+                    between = F.when(x.between(row["low"], row["high"]), x)
+                    heavy.append((between, row["low"], row["high"], local))
+                else:
+                    light |= {(s, cell, rank): own for rank, own in local.items()}
+        if light:
+            value |= _picked(frame, searches, cells, light)
+        searches = heavy
+    out: dict[str, list[float]] = {c: [] for c in columns}
+    for (i, _), x in places.items():
+        low, high = value[i, math.floor(x)], value[i, math.ceil(x)]
+        out[columns[i]].append(low if low == high else low + (high - low) * (x - math.floor(x)))
+    return out
+
+
+def _cell(x: Column, low: float, high: float) -> Column:
+    """Cell of a value, in the order of values: halves keep the width of any range finite."""
+    width = high / 2 - low / 2
+    inside = F.floor((x / 2 - low / 2) / width * CELLS) if width > 0 else F.lit(0)
+    return (
+        F.when(F.isnan(x), CELLS + 1).when(x > high, CELLS).when(x < low, -1)
+        .otherwise(F.least(inside, F.lit(CELLS - 1))).cast("int")
+    )
+
+
+def _long(frame: DataFrame, searches: list, cells: list[Column]) -> DataFrame:
+    entries = [
+        F.struct(F.lit(s).alias("search"), cell.alias("cell"), x.alias("value"))
+        for s, ((x, *_), cell) in enumerate(zip(searches, cells))
+    ]
+    return frame.select(F.inline(F.array(*entries))).filter("value IS NOT NULL")
+
+
+def _counted(frame: DataFrame, searches: list, cells: list[Column]) -> DataFrame:
+    return _long(frame, searches, cells).groupBy("search", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+
+
+def _picked(frame: DataFrame, searches: list, cells: list[Column], wanted: dict) -> dict:
+    """The values at the wanted (search, cell, rank inside it)."""
+    ranks = frame.sparkSession.createDataFrame(list(wanted), "search int, cell int, rank bigint")
+    held = F.broadcast(ranks.select("search", "cell").distinct())  # two a probability at most
+    inside = _long(frame, searches, cells).join(held, ["search", "cell"], "left_semi")
+    upto = F.sum("n").over(Window.partitionBy("search", "cell").orderBy("value"))
+    ordered = inside.groupBy("search", "cell", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    hits = ordered.join(F.broadcast(ranks), ["search", "cell"]).filter("rank < upto AND rank >= upto - n")
+    return {wanted[r["search"], r["cell"], r["rank"]]: r["value"] for r in hits.collect()}
+
+
 def weighted_median(
     df: DataFrame, group: list[str], value: str, weight: str, tolerance: float = 1e-12
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from railguard.functions import draws
 from railguard.operators import contracts, curves, inference, joins, metrics, quantiles
 from railguard.operators.layout import Keys, Trajectories
+from railguard.plans import models
 from railguard.sources import exports, nested, sinks, tables
 
 
@@ -23,6 +24,42 @@ def test_exact_quantiles_with_heavy_ties(spark):
         assert got[("b", p)] == 1.0
 
 
+def test_quantiles_of_several_columns_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 3_000
+    wide = np.where(rng.random(n) < 0.5, np.exp(rng.normal(0, 60, n)), -rng.random(n))
+    columns = {"smooth": rng.normal(size=n), "few": rng.integers(0, 11, n) / 100, "wide": wide, "tied": np.full(n, 2.5)}
+    rows = [(*map(float, row), None if i % 3 else float(i), None) for i, row in enumerate(zip(*columns.values()))]
+    df = spark.createDataFrame(rows, "smooth double, few double, wide double, tied double, holes double, none double")
+    columns["holes"] = np.arange(0.0, n, 3)
+    probs = [0.0, 0.5, *[i / 32 for i in range(1, 32)], 1.0]
+    for bound in (quantiles.ORDERED, 3):  # the small one narrows cells again and again
+        monkeypatch.setattr(quantiles, "ORDERED", bound)
+        got = quantiles.column_quantiles(df, [*columns, "none"], probs)
+        assert got.pop("none") == []
+        for name, values in columns.items():
+            assert got[name] == pytest.approx(np.quantile(values, probs), rel=1e-12, abs=1e-14)
+
+
+def test_trees_pass_over_cells_not_records(spark, monkeypatch):
+    rows = [(float(i % 40), None if i % 7 == 0 else float(i % 5), 1.0 + i % 3, 0.1 * (i % 5) + 0.01 * (i % 40)) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "a double, b double, w double, truth double")
+    fitted = []
+    kept = models.durable
+    monkeypatch.setattr(models, "durable", lambda cells: fitted.append(kept(cells)) or fitted[-1])
+    for kind, bound in (("boosting", 0.02), ("forest", 0.05)):
+        pipeline = models.build_pipeline(["a", "b"], "truth", kind=kind, weight="w", **({"numTrees": 8} if kind == "forest" else {}))
+        scored = models.predict(pipeline.fit(df.unionAll(df)), df)
+        error = scored.filter("b IS NOT NULL").agg(F.avg(F.abs(F.col("prediction") - F.col("truth")))).first()[0]
+        assert error < bound
+        cells = fitted[-1]
+        assert cells.count() <= 240
+        # Every record is in a cell: weights and weighted labels add up.
+        sums = cells.agg(F.sum(models.CELL_WEIGHT), F.sum(F.col(models.CELL_WEIGHT) * F.col("truth"))).first()
+        assert sums[0] == pytest.approx(2 * sum(r[2] for r in rows))
+        assert sums[1] == pytest.approx(2 * sum(r[2] * r[3] for r in rows))
+
+
 def test_weighted_median(spark):
     df = spark.createDataFrame([("a", 1.0, 0.2), ("a", 2.0, 0.4), ("a", 3.0, 0.4), ("b", 5.0, 1.0)],
                                "g string, x double, w double")
