@@ -40,6 +40,8 @@ MAX_DOMAINS = 1_000
 BASELINES, CANDIDATES = "raw_baselines", "raw_candidates"
 #: Bits of a value that one round of the median search fixes; four rounds fix all 64.
 DIGIT = 16
+#: Cells (outer domain, alpha) whose sums a task of the median search holds (2^DIGIT doubles each).
+CELLS_HELD = 256
 
 
 @dataclass(frozen=True)
@@ -351,7 +353,10 @@ def _double(key: int) -> float:
 
 
 def _residuals(pairs: Pairs, size: int, truth: str):
-    """(outer, weights, states, residuals) of a batch of states, by inner domain and pair."""
+    """(outer, weights, states, residuals) of a batch of states, by inner domain and pair.
+
+    States that do not depend on the pair are given once.
+    """
     domain = pairs.t.keys.domain
     others = {d: pairs.others(d) for d in pairs.names}
 
@@ -363,6 +368,7 @@ def _residuals(pairs: Pairs, size: int, truth: str):
         for name in np.unique(found):
             here = found == name
             for j, outer in enumerate(others[str(name)]):
+                j = min(j, states.shape[1] - 1)
                 yield outer, weight[here], states[here, j], residual[here, j]
 
     return split
@@ -382,6 +388,15 @@ def pair_medians(
     prefix: dict[tuple[str, int], int] = {}
     before: dict[tuple[str, int], float] = {}
     half: dict[tuple[str, int], float] = {}
+
+    def emitted(sums: dict[tuple[str, int], np.ndarray]):
+        for (outer, a), found in sums.items():
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([outer] * len(at), pa.string()), pa.array(np.full(len(at), a, np.int32)), pa.array(at), pa.array(found[at])],
+                ["outer_domain", "cell", "digit", "weight"],
+            )
+
     for depth in range(64 // DIGIT):
         shift = np.uint64(64 - DIGIT * (depth + 1))
         known = dict(prefix)
@@ -400,12 +415,10 @@ def pair_medians(
                             continue
                         found = np.bincount(at, weight[inside], 1 << DIGIT)
                         sums[outer, a] = sums[outer, a] + found if (outer, a) in sums else found
-            for (outer, a), found in sums.items():
-                at = np.flatnonzero(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([outer] * len(at), pa.string()), pa.array(np.full(len(at), a, np.int32)), pa.array(at), pa.array(found[at])],
-                    ["outer_domain", "cell", "digit", "weight"],
-                )
+                    if len(sums) > CELLS_HELD:
+                        yield from emitted(sums)
+                        sums.clear()
+            yield from emitted(sums)
 
         rows = states.select(domain, truth, "weight", "states").mapInArrow(
             run, "outer_domain string, cell int, digit bigint, weight double"
@@ -433,19 +446,12 @@ def pair_medians(
     return {(o, alphas[a]): _double(key) for (o, a), key in prefix.items()}
 
 
-def select_exact_shift(
-    pairs: Pairs, alphas: list[float], budgets: list[float], truth: str = "truth"
+def shift_scores(
+    pairs: Pairs, states: DataFrame, alphas: list[float], budgets: list[float], truth: str = "truth"
 ) -> DataFrame:
-    """Per outer domain and budget: the exact-shift control with the smallest inner error.
-
-    The shift is the median residual of all inner records (domains, units and records
-    weighted equally in turn), clipped to the budget.
-    """
-    t, size, domain = pairs.t, len(alphas), pairs.t.keys.domain
-    fold = StateGridFold(inputs=(BASELINES,), state=("states",), alphas=tuple(alphas))
-    done = run_fold(t, fold).frame.filter(is_finite(truth)).select(*t.keys.group, truth, "states")
-    # Five rounds read the states; the ordered pass behind them runs once.
-    states = durable(metrics.row_weights(done, t.keys).select(domain, truth, "weight", "states"))
+    """(outer_domain, alpha, budget, offset, score): the median residual of the inner domains,
+    clipped to the budget, and the weighted inner error with that shift."""
+    size, domain, spark = len(alphas), pairs.t.keys.domain, states.sparkSession
     medians = pair_medians(pairs, states, alphas, truth)
     offsets = {k: np.clip(m, -np.asarray(budgets), np.asarray(budgets)) for k, m in medians.items()}
     split, width = _residuals(pairs, size, truth), len(budgets)
@@ -459,26 +465,42 @@ def select_exact_shift(
     columns = [domain, truth, "weight", "states"]
     sums = _summed(states, columns, size * width + 1, step)
     totals = sums.filter("pos = 0").select("name", F.col("total").alias("weights"))
-    margins = states.select(
-        domain, F.explode(F.transform("states", lambda s, i: F.struct(i.alias("i"), F.least(s, Y_MAX - s).alias("m")))).alias("z")
-    ).groupBy(domain, F.col("z.i").alias("i")).agg(F.min("z.m").alias("margin"))
-    spark = states.sparkSession
-    named = spark.createDataFrame(
-        [(d, j * size + a, o, float(alpha)) for d in pairs.names for j, o in enumerate(pairs.others(d)) for a, alpha in enumerate(alphas)],
-        f"`{domain}` string, i int, outer_domain string, alpha double",
-    )
-    margins = margins.join(F.broadcast(named), [domain, "i"]).groupBy("outer_domain", "alpha").agg(F.min("margin").alias("margin"))
     plan = spark.createDataFrame(
         [(o, float(a), float(b), float(offsets[o, a][k]), i * width + k + 1)
-         for o in pairs.names for i, a in enumerate(alphas) for k, b in enumerate(budgets)],
+         for o, i, a in ((o, i, a) for o in pairs.names for i, a in enumerate(alphas) if (o, a) in medians) for k, b in enumerate(budgets)],
         "outer_domain string, alpha double, budget double, `offset` double, pos int",
     )
-    scored = (
+    return (
         sums.withColumnRenamed("name", "outer_domain")
         .join(F.broadcast(plan), ["outer_domain", "pos"])
         .join(totals.withColumnRenamed("name", "outer_domain"), "outer_domain")
         .withColumn("score", F.col("total") / F.col("weights"))
     )
+
+
+def select_exact_shift(
+    pairs: Pairs, alphas: list[float], budgets: list[float], truth: str = "truth"
+) -> DataFrame:
+    """Per outer domain and budget: the exact-shift control with the smallest inner error.
+
+    The shift is the median residual of all inner records (domains, units and records
+    weighted equally in turn), clipped to the budget.
+    """
+    t, size, domain = pairs.t, len(alphas), pairs.t.keys.domain
+    fold = StateGridFold(inputs=(BASELINES,), state=("states",), alphas=tuple(alphas))
+    done = run_fold(t, fold).frame.filter(is_finite(truth)).select(*t.keys.group, truth, "states")
+    # Five rounds read the states; the ordered pass behind them runs once.
+    states = durable(metrics.row_weights(done, t.keys).select(domain, truth, "weight", "states"))
+    scored = shift_scores(pairs, states, alphas, budgets, truth)
+    margins = states.select(
+        domain, F.explode(F.transform("states", lambda s, i: F.struct(i.alias("i"), F.least(s, Y_MAX - s).alias("m")))).alias("z")
+    ).groupBy(domain, F.col("z.i").alias("i")).agg(F.min("z.m").alias("margin"))
+    spark = states.sparkSession
+    named = spark.createDataFrame(
+        [(d, j * size + a, o, float(alpha)) for d in pairs.names for j, o in enumerate(pairs.others(d)) for a, alpha in enumerate(alphas)],
+        f"`{domain}` string, i int, outer_domain string, alpha double",
+    )
+    margins = margins.join(F.broadcast(named), [domain, "i"]).groupBy("outer_domain", "alpha").agg(F.min("margin").alias("margin"))
     # Only equal scores are ties; sums are added in any order, so they are compared rounded.
     order = [F.asc(F.round("score", 13)), F.asc(F.abs("offset")), F.desc("alpha"), F.desc("offset")]
     best = top_one(scored, ["outer_domain", "budget"], order)

@@ -10,15 +10,15 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from railguard.functions.columns import TOLERANCE, Y_MAX, Y_MIN, clip, regret_cap
+from railguard.functions.columns import TOLERANCE, Y_MAX, Y_MIN, clip, is_finite, regret_cap
 from railguard.operators import inference, metrics
 from railguard.operators.folds import GuardGridFold, RecoveryGridFold, StateGridFold, grid_unit_errors
 from railguard.operators.guard import causal_state, guard, pointwise_tube, project, recover, state_grid
 from railguard.operators.isotonic import monotone_projection
 from railguard.operators.joins import compare_tables
 from railguard.operators.layout import Keys, Trajectories
-from railguard.operators.quantiles import weighted_median
 from railguard.operators.reshape import top_one
+from railguard.plans import nested
 from railguard.session import durable
 from railguard.operators.selection import argmin_with_ties, excluded_pairs, grid_scores, nested_selection
 
@@ -195,45 +195,19 @@ def budget_path(t: Trajectories, alphas: list[float], budgets: list[float],
 
 def _exact_shift_control(t, alphas, budgets, truth) -> DataFrame:
     keys = t.keys
-    # Three steps below read the states; the ordered pass behind them runs once.
+    weighted = metrics.row_weights(t.frame.select(*t.part, *keys.order, truth, "raw_baseline"), keys)
+    # Several rounds below read the states; the ordered pass behind them runs once.
     states = durable(
-        state_grid(t, alphas).frame.select(*keys.record, truth, "states")
+        state_grid(t.with_frame(weighted), alphas).frame.select(*keys.group, truth, "weight", "states")
     )
-    weights = metrics.row_weights(states.select(*keys.record, truth, "states"), keys)
     grid = F.array(*[F.lit(float(a)) for a in alphas])
-    long = weights.select(
-        *keys.group, "weight", truth,
-        F.inline(F.arrays_zip(grid.alias("alpha"), F.col("states").alias("state"))),
-    ).withColumn("residual", F.col(truth) - F.col("state"))
-    pairs = excluded_pairs(long.select(keys.domain), keys.domain)
-    inner = long.join(
-        F.broadcast(pairs.withColumnRenamed("inner_domain", keys.domain)), keys.domain
-    )
-    medians = weighted_median(inner, ["outer_domain", "alpha"], "residual", "weight")
-    wide = F.array(*[F.struct(F.lit(float(b)).alias("budget")) for b in budgets])
-    offsets = medians.select("outer_domain", "alpha", "weighted_median", F.inline(wide)).withColumn(
-        "offset", clip("weighted_median", -F.col("budget"), F.col("budget"))
-    )
-    # Scores of every (alpha, offset): one aggregate over residuals, offsets as a small array.
-    packed = offsets.groupBy("outer_domain", "alpha").agg(
-        F.array_sort(F.collect_list(F.struct("budget", "offset"))).alias("plan")
-    )
-    scored = inner.join(F.broadcast(packed), ["outer_domain", "alpha"])
-    sums = scored.groupBy("outer_domain", "alpha").agg(
-        F.sum("weight").alias("w"),
-        *[
-            F.sum(F.col("weight") * F.abs(F.col("residual") - F.get("plan", F.lit(i))["offset"])).alias(f"s{i}")
-            for i in range(len(budgets))
-        ],
+    # Domains are a short declared list. One state per alpha serves all outer domains, so records
+    # are not multiplied by them.
+    names = tuple(sorted(r[0] for r in states.select(keys.domain).distinct().collect()))
+    table = nested.shift_scores(
+        nested.Pairs(t, names), states.filter(is_finite(truth)), alphas, budgets, truth
     )
     ordered = sorted(range(len(budgets)), key=lambda i: budgets[i])
-    rows = [
-        F.struct(F.lit(float(budgets[j])).alias("budget"), (F.col(f"s{i}") / F.col("w")).alias("score"))
-        for i, j in enumerate(ordered)
-    ]
-    table = sums.select("outer_domain", "alpha", F.inline(F.array(*rows))).join(
-        offsets.select("outer_domain", "alpha", "budget", "offset"), ["outer_domain", "alpha", "budget"]
-    )
     order = [F.asc(F.abs("offset")), F.desc("alpha"), F.desc("offset")]
     # The control takes the exact minimum: only equal scores are ties.
     chosen = top_one(table, ["outer_domain", "budget"], [F.asc("score"), *order])

@@ -272,3 +272,27 @@ def test_grid_states_of_a_task_do_not_follow_the_batch(monkeypatch):
     seen.clear()
     assert errors(fold, 7) == whole and max(seen) <= 7
     assert whole["unit"] == sorted(set(data["unit"]))
+
+
+@pytest.mark.parametrize("held", [nested.CELLS_HELD, 1])
+def test_shifts_of_states_that_serve_all_pairs(spark, monkeypatch, held):
+    """One state per alpha and record, not one per pair: median and error against a plain loop."""
+    monkeypatch.setattr(nested, "CELLS_HELD", held)
+    draw = random.Random(5)
+    data = [(d, draw.random(), draw.randrange(1, 5) / 4, [draw.random(), draw.random()]) for d in "abcd" for _ in range(31)]
+    states = spark.createDataFrame(data, "domain string, truth double, weight double, states array<double>")
+    pairs = nested.Pairs(Trajectories(states, KEYS), tuple("abcd"))
+    got = {(r["outer_domain"], r["alpha"], r["budget"]): r for r in
+           nested.shift_scores(pairs, states, [1.0, 0.5], [0.05, 2.0]).collect()}
+    assert len(got) == 16
+    for (outer, alpha, budget), r in got.items():
+        a = [1.0, 0.5].index(alpha)
+        inner = sorted((t - s[a], w) for d, t, w, s in data if d != outer)
+        total, upto = sum(w for _, w in inner), 0.0
+        for median, w in inner:
+            upto += w
+            if upto >= total / 2:
+                break
+        shift = min(max(median, -budget), budget)
+        assert r["offset"] == shift
+        assert r["score"] == pytest.approx(sum(w * abs(x - shift) for x, w in inner) / total, abs=1e-12)
