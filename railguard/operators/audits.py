@@ -10,10 +10,17 @@ from railguard.operators.layout import Trajectories
 from railguard.operators.ordering import prefix_part, with_rank, with_running, with_unit_rows
 
 
-def prefix_replay(t: Trajectories, *, alpha: float, budget: float) -> DataFrame:
-    """Run on the first half of each unit and compare with the full run (must be 0)."""
-    ranked = with_rank(t)
-    full = guard(ranked, alpha=alpha, budget=budget).frame
+def prefix_replay(
+    t: Trajectories, *, alpha: float, budget: float, full: DataFrame | None = None
+) -> DataFrame:
+    """Run on the first half of each unit and compare with the full run (must be 0).
+
+    A full run at hand, with the ``rank`` of its records, may be given as ``full``; ``t`` then has
+    the rank too.
+    """
+    ranked = with_rank(t) if full is None else t
+    if full is None:
+        full = guard(ranked, alpha=alpha, budget=budget).frame
     half = guard(prefix_part(ranked), alpha=alpha, budget=budget).frame
     keys = [*t.keys.group, "rank"]
     pairs = half.select(

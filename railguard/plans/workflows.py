@@ -17,6 +17,7 @@ from railguard.operators.guard import causal_state, guard, pointwise_tube, proje
 from railguard.operators.isotonic import monotone_projection
 from railguard.operators.joins import compare_tables
 from railguard.operators.layout import Keys, Trajectories
+from railguard.operators.ordering import with_rank
 from railguard.operators.reshape import top_one
 from railguard.plans import nested
 from railguard.session import durable
@@ -286,8 +287,12 @@ def mechanism_decision(
     from railguard.operators.audits import prefix_replay
     from railguard.operators.selection import decision_verdict
 
-    done = guard(t, alpha=alpha, budget=budget)
-    frame = done.frame.withColumn("fixed_shift", clip(F.col("protected_state") + shift, Y_MIN, Y_MAX))
+    raw = [*t.part, *t.keys.order, "raw_baseline", "raw_candidate"]
+    done = guard(with_rank(t.with_frame(t.frame.select(*raw, truth))), alpha=alpha, budget=budget)
+    # Certificates, units and replay read the full run; the ordered pass behind it runs once.
+    frame = durable(
+        done.frame.withColumn("fixed_shift", clip(F.col("protected_state") + shift, Y_MIN, Y_MAX))
+    )
     done = done.with_frame(frame)
     cert = metrics.certificate(done, "protected_state", "guarded", truth, budget)
     state = metrics.certificate(done, "protected_state", "protected_state", truth, budget)
@@ -304,7 +309,9 @@ def mechanism_decision(
     merged = cert
     for row in (
         state.select(F.col("maximum_increase").alias("maximum_state_increase")),
-        prefix_replay(t, alpha=alpha, budget=budget).select(F.col("maximum_difference").alias("replay_difference")),
+        prefix_replay(
+            t.with_frame(frame.select(*raw, "rank")), alpha=alpha, budget=budget, full=frame
+        ).select(F.col("maximum_difference").alias("replay_difference")),
         inference.two_stage_bootstrap(units, reps, seed).select("low", "high"),
         domains.agg(
             F.avg("difference").alias("minus_fixed_shift"),

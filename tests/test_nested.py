@@ -8,10 +8,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from railguard.operators import folds
+from railguard.operators import audits, folds
 from railguard.operators.folds import GuardGridFold, RecoveryGridFold, StateGridFold, grid_unit_errors, run_fold
 from railguard.operators.layout import Keys, Trajectories
-from railguard.plans import nested
+from railguard.plans import nested, workflows
 
 KEYS = Keys(order=("order_key",))
 SCHEMA = "domain string, unit string, order_key bigint, truth double, raw_baseline double, raw_candidate double"
@@ -296,3 +296,18 @@ def test_shifts_of_states_that_serve_all_pairs(spark, monkeypatch, held):
         shift = min(max(median, -budget), budget)
         assert r["offset"] == shift
         assert r["score"] == pytest.approx(sum(w * abs(x - shift) for x, w in inner) / total, abs=1e-12)
+
+
+def test_decision_replays_against_the_run_at_hand(spark, given, monkeypatch):
+    """The guard runs once over all records and once over the first halves, cut or not."""
+    runs = []
+    kept = audits.guard
+    monkeypatch.setattr(audits, "guard", lambda *a, **k: runs.append(1) or kept(*a, **k))
+    scored = [r for r in given if r[3] is not None]
+    for piece_rows in (10**6, 7):
+        row = workflows.mechanism_decision(
+            trajectories(spark, scored, piece_rows), alpha=0.3, budget=0.02, shift=0.01, minimum_wins=1, reps=200
+        ).first()
+        assert row["replay_difference"] == 0.0 and row["records"] == len(scored)
+        assert row["maximum_displacement"] <= 0.02 + 1e-12
+    assert len(runs) == 2
