@@ -23,9 +23,13 @@ SCORED, SHARED = 16, 7
 PROFILE = 128
 KEYS = SCORED + SHARED
 
+#: Windows worked on at a time, so that what lies between the steps stays in a core's cache.
+BLOCK = 128
+
 _DISTANCE = np.arange(SHARED, KEYS)[:, None] - np.arange(KEYS)[None, :]
 _CAUSAL = np.where(_DISTANCE >= 0, 0, -30).astype(np.float32)
 _FAR = np.maximum(_DISTANCE, 0)
+_ONES = np.ones(max(CLASSES, KEYS), np.float32)
 
 
 def windows(sequences: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,34 +75,21 @@ class Model:
         return len(self.vectors) - 1
 
     def prepare(self) -> Model:
-        """Projections of the whole vocabulary, so that a window only looks them up."""
-        self.q = (self.vectors @ self.query / np.sqrt(WIDTH)).astype(np.float32)
-        self.k = (self.vectors @ self.key).astype(np.float32)
-        self.v = (self.vectors @ self.value).astype(np.float32)
-        self.rel = self.bias[_FAR].astype(np.float32) + _CAUSAL
+        """The weights as a pass uses them."""
+        self.layer = _layer({k: getattr(self, k) for k in WEIGHTS})
         return self
 
     def log10_probabilities(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log10 P of every target (0 where there is none), by batched masked attention."""
-        weights = np.matmul(self.q[ids[:, SHARED:]], self.k[ids].transpose(0, 2, 1))
-        weights += self.rel
-        if (ids[:, :SHARED] == self.pad).any():
-            weights += np.where(ids == self.pad, np.float32(-30), np.float32(0))[:, None, :]
-        np.minimum(weights, 60, out=weights)
-        np.exp(weights, out=weights)
-        seen = np.matmul(weights, self.v[ids])
-        seen /= weights.sum(2, keepdims=True)
-        seen += self.vectors[ids[:, SHARED:]]
-        logits = seen.reshape(-1, WIDTH) @ self.out
-        logits += self.out_bias
-        flat = targets.ravel()
-        known = np.maximum(flat, 0)
-        picked = logits[np.arange(len(flat)), self.classes[known]]
-        top = logits.max(1)
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        log10 = (picked - top - np.log(logits.sum(1))) / np.float32(np.log(10)) + self.emission[known]
-        return np.where(flat >= 0, log10, 0).reshape(targets.shape)
+        log10 = np.empty(targets.size, np.float32)
+        for at in range(0, len(ids), BLOCK):
+            x, known = ids[at : at + BLOCK], np.maximum(targets[at : at + BLOCK].ravel(), 0)
+            *_, logits = _forward(self.layer, self.vectors.take(x, axis=0), x[:, 0] == self.pad)
+            _within(logits)
+            log = logits.ravel().take(np.arange(0, logits.size, CLASSES) + self.classes[known])
+            log -= np.log(np.exp(logits, out=logits) @ _ONES[:CLASSES])
+            log10[at * SCORED : at * SCORED + len(known)] = log / np.float32(np.log(10)) + self.emission[known]
+        return np.where(targets >= 0, log10.reshape(targets.shape), 0)
 
 
 def places(counts: np.ndarray) -> np.ndarray:
@@ -200,13 +191,13 @@ def continued(model: Model, blocks: Iterable[tuple[np.ndarray, np.ndarray]], bat
     read, seen, step = np.zeros(len(p["vectors"]), np.float32), 0, 0
     draw = np.random.default_rng(7)
     for ids, targets in blocks:
+        read += np.bincount(ids.ravel(), minlength=len(read))
         order = draw.permutation(len(ids))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
             step += 1
             seen += len(rows)
             used, found = _gradients(p, ids[rows], targets[rows], model.classes)
-            read += np.bincount(ids[rows].ravel(), minlength=len(read))
             for k, g in found.items():
                 on = used if k == "vectors" else slice(None)  # other vectors keep their moments
                 m[k][on] += 0.1 * (g - m[k][on])
@@ -235,47 +226,93 @@ def gradients(p: dict, ids: np.ndarray, targets: np.ndarray, classes: np.ndarray
     return found | {"vectors": vectors}
 
 
-def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
+def _layer(p: dict) -> tuple[np.ndarray, ...]:
+    """Query and key as one matrix, value, classes with their bias as a last row, bias by place."""
+    both = p["query"] @ p["key"].T / np.float32(np.sqrt(WIDTH))
+    return both, p["value"], np.vstack([p["out"], p["out_bias"]]), p["bias"][_FAR] + _CAUSAL
+
+
+def _within(x: np.ndarray) -> None:
+    """Shift rows to a top of 0 if any exponential could leave the range of 32 bits."""
+    if x.max() > 30 or x.min() < -80:
+        x -= x.max(-1, keepdims=True)
+
+
+def _forward(layer: tuple[np.ndarray, ...], e: np.ndarray, first: np.ndarray, a: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """From the vectors read by some windows to class logits, with all that lies between.
+
+    ``first`` marks the windows that open a sequence: their shared places are padding. The
+    attention ``a`` is not normalised, the places it gathers (``c``) are, by ``part``.
+    """
+    both, value, out, near = layer
+    last = e[:, SHARED:].reshape(-1, WIDTH)
+    q = (last @ both).reshape(-1, SCORED, WIDTH)
+    a = np.matmul(q, e.transpose(0, 2, 1), out=a)
+    a += near
+    first = np.flatnonzero(first)
+    if len(first):
+        a[first, :, :SHARED] -= 30
+    _within(a)
+    np.exp(a, out=a)
+    part = 1 / (a @ _ONES[:KEYS]).reshape(-1, 1)
+    c = (a @ e).reshape(-1, WIDTH)
+    c *= part
+    h = np.empty((len(last), WIDTH + 1), np.float32)
+    np.add(c @ value, last, out=h[:, :WIDTH])
+    h[:, WIDTH] = 1
+    return last, q, a, part, c, h, h @ out
 
 
 def _gradients(p: dict, ids: np.ndarray, targets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The ids read, and the gradients, of ``vectors`` for those ids only."""
-    pad, scale = len(p["vectors"]) - 1, np.float32(1 / np.sqrt(WIDTH))
-    e = p["vectors"][ids]
-    last = np.ascontiguousarray(e[:, SHARED:])
-    # Flat products: one large matrix instead of many small ones.
-    q, k, v = (_times(x, p[name]) for x, name in ((last, "query"), (e, "key"), (e, "value")))
-    s = q @ k.transpose(0, 2, 1) * scale + p["bias"][_FAR] + _CAUSAL
-    s += np.where(ids == pad, np.float32(-30), np.float32(0))[:, None, :]
-    a = np.exp(s - s.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    h = last + a @ v
-    z = _times(h, p["out"]) + p["out_bias"]
-    soft = np.exp(z - z.max(2, keepdims=True))
-    soft /= soft.sum(2, keepdims=True)
-    real = targets >= 0
-    dz = soft
-    i, j = np.nonzero(real)
-    dz[i, j, classes[targets[i, j]]] -= 1
-    dz *= (real / max(real.sum(), 1)).astype(np.float32)[:, :, None]
-    dh = _times(dz, p["out"].T)
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(2, keepdims=True))
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-    dv = a.transpose(0, 2, 1) @ dh
-    de = _times(dk, p["key"].T) + _times(dv, p["value"].T)
-    de[:, SHARED:] += dh + _times(dq, p["query"].T)
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    # Rows of one id are brought together and added up in one go.
-    order = np.argsort(ids, axis=None, kind="stable")
-    used, first = np.unique(ids.ravel()[order], return_index=True)
+    pad, layer = len(p["vectors"]) - 1, _layer(p)
+    both, value, out, _ = layer
+    used = np.flatnonzero(np.bincount(ids.ravel(), minlength=pad + 1) > 0)
+    place = np.empty(pad + 1, np.int64)
+    place[used] = np.arange(len(used))
+    own, read = place[ids], p["vectors"][used]
+    share = np.float32(1 / max(np.count_nonzero(targets >= 0), 1))
+    de = np.empty((len(ids), KEYS, WIDTH), np.float32)
+    d_both, d_value, d_out, d_near = (np.zeros_like(x) for x in layer)
+    for at in range(0, len(ids), BLOCK):
+        block = slice(at, at + BLOCK)
+        e, t = read.take(own[block], axis=0), targets[block].ravel()
+        # What a key's gradient is made of: both attention weights, and what each is taken with.
+        left = np.empty((len(e), 2 * SCORED, KEYS), np.float32)
+        right = np.empty((len(e), 2 * SCORED, WIDTH), np.float32)
+        ds, dc = left[:, :SCORED], right[:, SCORED:]
+        last, right[:, :SCORED], a, part, c, h, z = _forward(layer, e, ids[block, 0] == pad, left[:, SCORED:])
+        _within(z)
+        np.exp(z, out=z)
+        real = (t >= 0) * share
+        z *= (real / (z @ _ONES[:CLASSES]))[:, None]
+        z.ravel()[np.arange(0, z.size, CLASSES) + classes[t]] -= real
+        dh = z @ out[:WIDTH].T
+        flat = dh @ value.T
+        flat *= part
+        dc[:] = flat.reshape(dc.shape)
+        np.matmul(dc, e.transpose(0, 2, 1), out=ds)
+        ds -= ((flat * c) @ _ONES[:WIDTH]).reshape(-1, SCORED, 1)
+        ds *= a
+        dq = (ds @ e).reshape(-1, WIDTH)
+        np.matmul(left.transpose(0, 2, 1), right, out=de[block])
+        d_both += last.T @ dq
+        d_value += c.T @ dh
+        d_out += h.T @ z
+        d_near += ds.sum(0)
+        dh += dq @ both.T
+        de[block, SHARED:] += dh.reshape(-1, SCORED, WIDTH)
+    vectors = np.zeros(read.shape, np.float32)
+    # Rows of one id are added up, two numbers at a time.
+    two = (own.ravel() * (WIDTH // 2))[:, None] + np.arange(WIDTH // 2)
+    np.add.at(vectors.ravel().view(np.complex64), two.ravel(), de.ravel().view(np.complex64))
+    d_both /= np.float32(np.sqrt(WIDTH))
     return used, {
-        "vectors": np.add.reduceat(flat(de)[order], first),
-        "query": flat(last).T @ flat(dq),
-        "key": flat(e).T @ flat(dk),
-        "value": flat(e).T @ flat(dv),
-        "bias": np.bincount(_FAR.ravel(), np.where(_DISTANCE >= 0, ds.sum(0), 0).ravel(), KEYS).astype(np.float32),
-        "out": flat(h).T @ flat(dz),
-        "out_bias": dz.sum((0, 1)),
+        "vectors": vectors,
+        "query": d_both @ p["key"],
+        "key": d_both.T @ p["query"],
+        "value": d_value,
+        "bias": np.bincount(_FAR.ravel(), np.where(_DISTANCE >= 0, d_near, 0).ravel(), KEYS).astype(np.float32),
+        "out": d_out[:WIDTH],
+        "out_bias": d_out[WIDTH],
     }

@@ -1,17 +1,17 @@
 """LM scoring: smoothed word counts, and a causal self-attention model on subword ids.
 
 1. Tasks count the words of the training documents, Spark adds the counts up.
-2. The counted words, split into subwords, give corpus counts of every subword. The training
-   documents are written once as subword ids; tasks count what stands before every subword,
-   over all of them: the classes, and the shares within them.
+2. One pass splits every document into subwords, and its ids are written once, beside its base
+   score: the fit and the scores read them there. Tasks count every subword of the training
+   documents and what stands before it: the classes, and the shares within them.
 3. The attention weights start from a sample of windows (``SAMPLE_DOCS``, ``WINDOWS_PER_DOC``)
    and are then fitted on all windows of all training documents: every task passes over its
    own ones from the same start, and the tasks' weights are averaged by what each has read.
    The deal of documents to tasks so decides the last digits of a score, not what is read.
-4. One pass scores every document: overlapping windows score each subword once. Counts of
-   the ``TOP_WORDS`` most frequent words come from a broadcast of that size; the other words
-   of a document are joined with the count table on the word (none of them is frequent, so
-   no key is hot) and added up per document.
+4. One pass scores every document: overlapping windows score each subword once. For the base
+   score, counts of the ``TOP_WORDS`` most frequent words come from a broadcast of that size;
+   the other words of a document are joined with the count table on the word (none of them is
+   frequent, so no key is hot) and added up per document.
 
 Cases: null or empty text is the end alone; a null doc_id counts as an empty one in the
 folds; repeated rows are scored one by one; without training documents all words are
@@ -24,15 +24,16 @@ import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from railguard.llm.attention import KEYS, PROFILE, SCORED, Model, averaged, continued, neighbours, places, train, windows
-from railguard.llm.common import fold, map_documents, slices, utf8
+from railguard.llm.common import fold, map_documents, map_slices, slices, utf8
 from railguard.llm.packing import default_vocabulary
-from railguard.llm.tokens import load_encoding
+from railguard.llm.tokens import LONG_PART, PartIds, load_encoding
 from railguard.session import durable
 
 FOLDS, HELD_FOLD = 10, 0
@@ -51,25 +52,38 @@ BATCH_WINDOWS = 1024
 CACHE_WORDS = 200_000
 
 
+@lru_cache(1)
+def _part_ids(vocabulary: str) -> PartIds:
+    """Loaded once per Python worker, which serves many tasks."""
+    return PartIds(load_encoding(vocabulary))
+
+
 class WordIds(dict):
     """Subword ids of a word (with the space before it) as 16-bit numbers; bounded cache."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
-        self.encode = load_encoding(vocabulary).encode_ordinary
+        self.parts = _part_ids(vocabulary)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(" " + word.decode()), "<u2").tobytes()
-        if len(word) < 48:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return np.array(self.parts.encode(" " + word.decode()), "<u2").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Add the short words that are new, encoded in one go."""
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        # Space of other kinds at a word's end would join the space before the next word.
+        fresh = [w for w in words - self.keys() if len(w) < LONG_PART and not w[-3:].decode(errors="replace")[-1].isspace()]
+        self.update(zip(fresh, self.parts.together([" " + w.decode() for w in fresh])))
+
+    def sequences(self, texts: list[list[bytes]]) -> list[bytes]:
+        """END, the subwords of the words, END, two bytes each, for every text."""
+        self.learn(set().union(*texts))
+        end = np.array([END_ID], "<u2").tobytes()
+        return [b"".join([end, *[self[w] for w in words], end]) for words in texts]
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
-        """END, the subwords of the words, END."""
-        inner = np.frombuffer(b"".join([self[w] for w in words]), "<u2")
-        return np.concatenate(([END_ID], inner, [END_ID]))
+        return np.frombuffer(self.sequences([words])[0], "<u2").astype(np.int64)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -102,21 +116,18 @@ def word_counts(training: DataFrame) -> DataFrame:
     return durable(partial.groupBy("word").agg(F.sum("c").alias("c")))
 
 
-def subword_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
-    """Corpus counts of every subword id, from the counted words."""
+def subword_counts(sequences: DataFrame) -> np.ndarray:
+    """Corpus counts of every subword id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoding(vocabulary).encode_ordinary
         total = np.zeros(END_ID + 1, np.int64)
-        for part in slices(batches, 4096):
-            words, c = part.column(0).to_pylist(), part.column(1).to_numpy()
-            ids = [[END_ID] if w == END_WORD else encode(" " + w) for w in words]
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
-            total += np.bincount(flat, np.repeat(c, [len(x) for x in ids]), END_ID + 1).astype(np.int64)
+        for part in slices(batches):
+            total += np.bincount(np.concatenate(_sequences(part)), minlength=END_ID + 1)
+            total[END_ID] -= part.num_rows  # the first id of a sequence stands before the text
         known = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(total[known])], names=["id", "n"])
 
-    rows = counts.select("word", "c").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = sequences.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     out = np.zeros(END_ID + 1)
     for r in rows.collect():  # at most one row per id of the vocabulary
         out[r["id"]] = r["n"]
@@ -156,12 +167,12 @@ def sample_windows(training: DataFrame, vocabulary: str) -> tuple[np.ndarray, np
 
 
 def subword_sequences(training: DataFrame, vocabulary: str) -> DataFrame:
-    """The subword ids of every training document as 16-bit numbers, written once."""
+    """The subword ids of every document as 16-bit numbers, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(vocabulary)
         for part in slices(batches):
-            made = [ids.sequence(words_of(text)).astype("<u2").tobytes() for text in utf8(part.column(0))]
+            made = ids.sequences([words_of(text) for text in utf8(part.column(0))])
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
 
     return durable(training.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "ids binary"))
@@ -209,21 +220,28 @@ def fitted_on_all(model: Model, sequences: DataFrame) -> Model:
     return model if sums is None else averaged(model, sums)
 
 
-def scored(docs: DataFrame, training: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_tokens, n_known, train_tokens, base_score and score."""
+def scored(docs: DataFrame, training: DataFrame | Column, vocabulary: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_tokens, n_known, train_tokens, base_score and score.
+
+    ``training`` are the documents to learn from: a table, or a condition on ``docs``, whose
+    subwords are then those that are scored.
+    """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
+    within = isinstance(training, Column)
+    docs = docs.select("doc_id", "text", F.coalesce(training if within else F.lit(False), F.lit(False)).alias("teaches"))
+    training = docs.filter("teaches") if within else training
     counts = word_counts(training)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = {r["word"]: r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()}
-    sequences = subword_sequences(training, vocabulary)
-    known = subword_counts(counts, vocabulary)
-    start = _fit(sample_windows(training, vocabulary), known, profiles(sequences, known))
-    model = fitted_on_all(start, sequences)
-    shared = spark.sparkContext.broadcast((model, {w.encode(): c for w, c in top.items()}))
     denominator = total + 0.1 * (distinct + 1)
     unknown = math.log10(0.1 / denominator)
-    part = durable(_score(docs, shared, vocabulary, denominator))
+    words = spark.sparkContext.broadcast({w.encode(): c for w, c in top.items()})
+    part = durable(_based(docs, words, vocabulary, denominator))
+    sequences = part.filter("row.teaches").select("ids") if within else subword_sequences(training, vocabulary)
+    known = subword_counts(sequences)
+    start = _fit(sample_windows(training, vocabulary), known, profiles(sequences, known))
+    model = fitted_on_all(start, sequences)
     rest = counts.select("word", F.log10((F.col("c") + 0.1) / denominator).alias("l"))
     rare = (
         part.select("rid", F.explode("rare").alias("r"))
@@ -232,8 +250,8 @@ def scored(docs: DataFrame, training: DataFrame, vocabulary: str | None = None)
         .groupBy("rid")
         .agg(F.sum(F.col("n") * (F.col("l") - unknown)).alias("more"), F.sum("n").alias("known"))
     )
-    return part.join(rare, "rid", "left").select(
-        "row.doc_id",
+    return _score(part, spark.sparkContext.broadcast(model)).join(rare, "rid", "left").select(
+        "doc_id",
         "n_tokens",
         (F.col("top_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"),
@@ -249,27 +267,24 @@ def _fit(sample: tuple[np.ndarray, np.ndarray], counts: np.ndarray, profile: np.
     return train(ids, targets, counts, profile=profile)
 
 
-def _score(docs: DataFrame, shared, vocabulary: str, denominator: float) -> DataFrame:
-    """The model's score, and the base score as if the words beyond the top were unknown."""
+def _based(docs: DataFrame, shared, vocabulary: str, denominator: float) -> DataFrame:
+    """Subword ids, and the base score as if the words beyond the top were unknown."""
 
     def make():
         from pyspark import TaskContext
 
-        model, top = shared.value
-        model = model.prepare()
         ids = WordIds(vocabulary)
         number = itertools.count(TaskContext.get().partitionId() << 33)
         unknown = math.log10(0.1 / denominator)
-        logs = {w: (c, math.log10((c + 0.1) / denominator)) for w, c in top.items()}
-        end = logs.get(END_WORD.encode(), (0, unknown))
+        logs = {w: math.log10((c + 0.1) / denominator) for w, c in shared.value.items()}
+        end = END_WORD.encode()
 
         def step(texts, part):
             out: dict[str, list] = {k: [] for k in ("n_tokens", "top_known", "top_score")}
-            words_n, rare_words, rare_counts, sequences = [0], [], [], []
-            for text in texts:
-                words = words_of(text)
-                sequences.append(ids.sequence(words))
-                known, score = int(end[0] > 0), end[1]
+            words_n, rare_words, rare_counts = [0], [], []
+            split = [words_of(text) for text in texts]
+            for words in split:
+                known, score = int(end in logs), logs.get(end, unknown)
                 for word, n in Counter(words).items():
                     found = logs.get(word)
                     if found is None:
@@ -278,7 +293,7 @@ def _score(docs: DataFrame, shared, vocabulary: str, denominator: float) -> Data
                         score += n * unknown
                     else:
                         known += n
-                        score += n * found[1]
+                        score += n * found
                 words_n.append(len(rare_words))
                 out["n_tokens"].append(len(words) + 1)
                 out["top_known"].append(known)
@@ -288,14 +303,30 @@ def _score(docs: DataFrame, shared, vocabulary: str, denominator: float) -> Data
             )
             return out | {
                 "rid": list(itertools.islice(number, len(texts))),
-                "score": _document_scores(model, sequences),
+                "ids": ids.sequences(split),
                 "rare": pa.ListArray.from_arrays(pa.array(words_n, pa.int32()), rare),
             }
 
         return step
 
-    own = "rid bigint, n_tokens bigint, top_known bigint, top_score double, score double, rare array<struct<word:string,n:bigint>>"
-    return map_documents(docs, ["doc_id"], own, make)
+    own = "rid bigint, n_tokens bigint, top_known bigint, top_score double, ids binary, rare array<struct<word:string,n:bigint>>"
+    return map_documents(docs, ["doc_id", "teaches"], own, make)
+
+
+def _score(part: DataFrame, shared) -> DataFrame:
+    """The model's score beside the columns of the base score."""
+    row = F.struct("row.doc_id", "rid", "n_tokens", "top_known", "top_score").alias("row")
+    chosen = part.select("ids", row)
+
+    def make():
+        model = shared.value.prepare()
+
+        def run(part: pa.RecordBatch):
+            yield {"row": part.column(1), "score": _document_scores(model, _sequences(part))}
+
+        return run
+
+    return map_slices(chosen, f"row {chosen.schema['row'].dataType.simpleString()}, score double", make).select("row.*", "score")
 
 
 def _document_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -312,7 +343,6 @@ def _document_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    training = docs.filter(fold("doc_id", FOLDS) != HELD_FOLD)
-    return scored(docs, training).select(
+    return scored(docs, fold("doc_id", FOLDS) != HELD_FOLD).select(
         "doc_id", (fold("doc_id", FOLDS) == HELD_FOLD).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

@@ -75,18 +75,20 @@ class PartIds(dict):
     def __missing__(self, part: str) -> bytes:
         return np.array(self.encode(part), "<u2").tobytes()
 
+    def together(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that open with a space and do not end in one, encoded in one go."""
+        if not parts:
+            return []
+        ids = np.array(self.encode("".join(parts)), "<u2")
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+        cuts = (2 * np.searchsorted(np.cumsum(self.widths[ids]), ends) + 2).tolist()
+        data = ids.tobytes()
+        return [data[start:cut] for start, cut in zip([0, *cuts], cuts)]
+
     def learn(self, parts: set[str]) -> None:
         """Add short parts that open with a space: such a space always opens a new run."""
         fresh = [p for p in parts - self.keys() if p[:1] == " " and len(p) < LONG_PART]
-        if not fresh:
-            return
-        ids = np.array(self.encode("".join(fresh)), "<u2")
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in fresh), np.int64, len(fresh)))
-        cuts = (2 * np.searchsorted(np.cumsum(self.widths[ids]), ends) + 2).tolist()
-        data, start = ids.tobytes(), 0
-        for part, cut in zip(fresh, cuts):
-            self[part] = data[start:cut]
-            start = cut
+        self.update(zip(fresh, self.together(fresh)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, two bytes each."""

@@ -214,3 +214,26 @@ def test_every_training_document_teaches_the_model(spark, monkeypatch):
     x, y, _ = attention.windows(own, start.pad)
     before, after = (m.prepare().log10_probabilities(x, y).sum() for m in (start, model))
     assert after > before
+
+
+def test_documents_are_split_once_for_fit_and_scores(spark, monkeypatch):
+    docs = cases.documents(spark)
+    teaches = F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 <> 0")
+    columns = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    apart = scoring.scored(docs, docs.filter(teaches)).select(*columns).collect()
+    monkeypatch.setattr(scoring, "subword_sequences", None)  # the ids written for the scores are fitted on
+    once = scoring.scored(docs, teaches).select(*columns).collect()
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["base_score"])
+    for a, b in zip(sorted(apart, key=key), sorted(once, key=key), strict=True):
+        assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=0.02)
+
+
+def test_word_ids_in_one_go_are_those_of_single_words():
+    vocabulary = scoring.default_vocabulary()
+    encode = scoring.load_encoding(vocabulary).encode_ordinary
+    texts = ["a  b x\u0085 y\x1c z\x1f q\u3000 \u3000 \u3000r \u00a0", "don't 's 'll 12,5 \u65e5\u672c \u00fc", "", "w" * 90 + " a"]
+    split = [scoring.words_of(t.encode()) for t in texts]
+    got = scoring.WordIds(vocabulary).sequences(split)
+    for words, ids in zip(split, got):
+        own = [i for w in words for i in encode(" " + w.decode())]
+        assert np.frombuffer(ids, "<u2").tolist() == [scoring.END_ID, *own, scoring.END_ID]
