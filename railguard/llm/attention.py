@@ -200,9 +200,14 @@ def continued(model: Model, blocks: Iterable[tuple[np.ndarray, np.ndarray]], bat
             used, found = _gradients(p, ids[rows], targets[rows], model.classes)
             for k, g in found.items():
                 on = used if k == "vectors" else slice(None)  # other vectors keep their moments
-                m[k][on] += 0.1 * (g - m[k][on])
-                v[k][on] += 0.01 * (g * g - v[k][on])
-                p[k][on] -= np.float32(rate / (1 - 0.9**step)) * m[k][on] / (np.sqrt(v[k][on] / np.float32(1 - 0.99**step)) + 1e-8)
+                m1, m2 = m[k][on], v[k][on]
+                m1 += np.float32(0.1) * (g - m1)
+                g *= g
+                m2 += np.float32(0.01) * (g - m2)
+                m[k][on], v[k][on] = m1, m2
+                g = np.sqrt(m2 * np.float32(1 / (1 - 0.99**step)))
+                g += np.float32(1e-8)
+                p[k][on] -= np.float32(rate / (1 - 0.9**step)) * m1 / g
     if not seen:
         return None
     rest = [p[k].ravel() * np.float32(seen) for k in WEIGHTS[1:]]
@@ -238,7 +243,7 @@ def _within(x: np.ndarray) -> None:
         x -= x.max(-1, keepdims=True)
 
 
-def _forward(layer: tuple[np.ndarray, ...], e: np.ndarray, first: np.ndarray, a: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def _forward(layer: tuple[np.ndarray, ...], e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     """From the vectors read by some windows to class logits, with all that lies between.
 
     ``first`` marks the windows that open a sequence: their shared places are padding. The
@@ -247,7 +252,7 @@ def _forward(layer: tuple[np.ndarray, ...], e: np.ndarray, first: np.ndarray, a:
     both, value, out, near = layer
     last = e[:, SHARED:].reshape(-1, WIDTH)
     q = (last @ both).reshape(-1, SCORED, WIDTH)
-    a = np.matmul(q, e.transpose(0, 2, 1), out=a)
+    a = q @ e.transpose(0, 2, 1)
     a += near
     first = np.flatnonzero(first)
     if len(first):
@@ -277,28 +282,26 @@ def _gradients(p: dict, ids: np.ndarray, targets: np.ndarray, classes: np.ndarra
     for at in range(0, len(ids), BLOCK):
         block = slice(at, at + BLOCK)
         e, t = read.take(own[block], axis=0), targets[block].ravel()
-        # What a key's gradient is made of: both attention weights, and what each is taken with.
-        left = np.empty((len(e), 2 * SCORED, KEYS), np.float32)
-        right = np.empty((len(e), 2 * SCORED, WIDTH), np.float32)
-        ds, dc = left[:, :SCORED], right[:, SCORED:]
-        last, right[:, :SCORED], a, part, c, h, z = _forward(layer, e, ids[block, 0] == pad, left[:, SCORED:])
+        last, q, a, part, c, h, z = _forward(layer, e, ids[block, 0] == pad)
         _within(z)
         np.exp(z, out=z)
         real = (t >= 0) * share
         z *= (real / (z @ _ONES[:CLASSES]))[:, None]
         z.ravel()[np.arange(0, z.size, CLASSES) + classes[t]] -= real
         dh = z @ out[:WIDTH].T
-        flat = dh @ value.T
-        flat *= part
-        dc[:] = flat.reshape(dc.shape)
-        np.matmul(dc, e.transpose(0, 2, 1), out=ds)
-        ds -= ((flat * c) @ _ONES[:WIDTH]).reshape(-1, SCORED, 1)
+        dc = dh @ value.T
+        dc *= part
+        minus = ((dc * c) @ _ONES[:WIDTH]).reshape(-1, SCORED, 1)
+        dc = dc.reshape(-1, SCORED, WIDTH)
+        ds = dc @ e.transpose(0, 2, 1)
+        ds -= minus
         ds *= a
         dq = (ds @ e).reshape(-1, WIDTH)
-        np.matmul(left.transpose(0, 2, 1), right, out=de[block])
+        de[block] = ds.transpose(0, 2, 1) @ q
+        de[block] += a.transpose(0, 2, 1) @ dc
         d_both += last.T @ dq
         d_value += c.T @ dh
-        d_out += h.T @ z
+        d_out += (z.T @ h).T
         d_near += ds.sum(0)
         dh += dq @ both.T
         de[block, SHARED:] += dh.reshape(-1, SCORED, WIDTH)

@@ -24,10 +24,12 @@ import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from railguard.llm.attention import KEYS, PROFILE, SCORED, Model, averaged, continued, neighbours, places, train, windows
@@ -52,6 +54,38 @@ BATCH_WINDOWS = 1024
 CACHE_WORDS = 200_000
 
 
+@dataclass
+class Words:
+    """The words of some texts, as places among the distinct ones."""
+
+    distinct: pa.Array
+    names: list[str]  # the same, for Python
+    which: np.ndarray  # of all texts, one after the other
+    bounds: np.ndarray  # where each text begins, and the end
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        real = pc.not_equal(lists.flatten(), "")  # there are empty words at the ends of a text
+        bounds = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))[lists.offsets.to_numpy()]
+        coded = lists.flatten().filter(real).dictionary_encode()
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()
+        return cls(coded.dictionary, names.split(" ") if names else [], coded.indices.to_numpy(), bounds)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per text, the sum of its words' values."""
+        texts = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        return np.bincount(texts, values[self.which], len(self.bounds) - 1)
+
+    def counted(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chosen words of each text, how often it has them, and where each text's begin."""
+        texts = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        on = chosen[self.which]
+        both, n = np.unique(texts[on] * len(chosen) + self.which[on], return_counts=True)
+        begin = np.searchsorted(both, np.arange(len(self.bounds)) * len(chosen))
+        return both % max(len(chosen), 1), n, begin
+
+
 @lru_cache(1)
 def _part_ids(vocabulary: str) -> PartIds:
     """Loaded once per Python worker, which serves many tasks."""
@@ -65,25 +99,33 @@ class WordIds(dict):
         super().__init__()
         self.parts = _part_ids(vocabulary)
 
-    def __missing__(self, word: bytes) -> bytes:
-        return np.array(self.parts.encode(" " + word.decode()), "<u2").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Add the short words that are new, encoded in one go."""
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+    def _all(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; short ones that are new are encoded in one go and kept."""
+        found = list(map(self.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
         # Space of other kinds at a word's end would join the space before the next word.
-        fresh = [w for w in words - self.keys() if len(w) < LONG_PART and not w[-3:].decode(errors="replace")[-1].isspace()]
-        self.update(zip(fresh, self.parts.together([" " + w.decode() for w in fresh])))
+        fresh = [i for i in new if len(words[i]) < LONG_PART and not words[i][-1].isspace()]
+        if len(self) + len(fresh) > CACHE_WORDS:
+            self.clear()
+        for i, ids in zip(fresh, self.parts.together([" " + words[i] for i in fresh])):
+            found[i] = self[words[i]] = ids
+        return [np.array(self.parts.encode(" " + w), "<u2").tobytes() if x is None else x for w, x in zip(words, found)]
 
-    def sequences(self, texts: list[list[bytes]]) -> list[bytes]:
+    def sequences(self, words: Words) -> list[bytes]:
         """END, the subwords of the words, END, two bytes each, for every text."""
-        self.learn(set().union(*texts))
+        found = self._all(words.names)
+        flat, sizes = np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
+        size = sizes[words.which]
+        ends = np.cumsum(size)
+        begin = (np.cumsum(sizes) - sizes)[words.which] - (ends - size)
+        data = flat[np.repeat(begin, size) + np.arange(size.sum())].tobytes()
+        cuts = (2 * np.concatenate(([0], ends))[words.bounds]).tolist()
         end = np.array([END_ID], "<u2").tobytes()
-        return [b"".join([end, *[self[w] for w in words], end]) for words in texts]
+        return [end + data[a:b] + end for a, b in itertools.pairwise(cuts)]
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(self.sequences([words])[0], "<u2").astype(np.int64)
+        """The same of one text's words."""
+        return np.frombuffer(self.sequences(Words.of(pa.array([b" ".join(words).decode()])))[0], "<u2").astype(np.int64)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -145,8 +187,8 @@ def sample_windows(training: DataFrame, vocabulary: str) -> tuple[np.ndarray, np
         ids = WordIds(vocabulary)
         for part in slices(batches):
             made = [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                x, y, _ = windows([ids.sequence(words_of(text))], END_ID + 1)
+            for doc, sequence in zip(part.column(0).to_pylist(), ids.sequences(Words.of(part.column(1)))):
+                x, y, _ = windows([np.frombuffer(sequence, "<u2").astype(np.int64)], END_ID + 1)
                 spread = np.unique(np.linspace(0, len(x) - 1, WINDOWS_PER_DOC).astype(int))
                 made[0].extend([doc] * len(spread))
                 made[1].extend(x[spread].tolist())
@@ -172,7 +214,7 @@ def subword_sequences(training: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(vocabulary)
         for part in slices(batches):
-            made = ids.sequences([words_of(text) for text in utf8(part.column(0))])
+            made = ids.sequences(Words.of(part.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
 
     return durable(training.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "ids binary"))
@@ -236,7 +278,7 @@ def scored(docs: DataFrame, training: DataFrame | Column, vocabulary: str | None
     top = {r["word"]: r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()}
     denominator = total + 0.1 * (distinct + 1)
     unknown = math.log10(0.1 / denominator)
-    words = spark.sparkContext.broadcast({w.encode(): c for w, c in top.items()})
+    words = spark.sparkContext.broadcast(top)
     part = durable(_based(docs, words, vocabulary, denominator))
     sequences = part.filter("row.teaches").select("ids") if within else subword_sequences(training, vocabulary)
     known = subword_counts(sequences)
@@ -277,34 +319,23 @@ def _based(docs: DataFrame, shared, vocabulary: str, denominator: float) -> Data
         number = itertools.count(TaskContext.get().partitionId() << 33)
         unknown = math.log10(0.1 / denominator)
         logs = {w: math.log10((c + 0.1) / denominator) for w, c in shared.value.items()}
-        end = END_WORD.encode()
+        end = logs.get(END_WORD)
 
         def step(texts, part):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "top_known", "top_score")}
-            words_n, rare_words, rare_counts = [0], [], []
-            split = [words_of(text) for text in texts]
-            for words in split:
-                known, score = int(end in logs), logs.get(end, unknown)
-                for word, n in Counter(words).items():
-                    found = logs.get(word)
-                    if found is None:
-                        rare_words.append(word)
-                        rare_counts.append(n)
-                        score += n * unknown
-                    else:
-                        known += n
-                        score += n * found
-                words_n.append(len(rare_words))
-                out["n_tokens"].append(len(words) + 1)
-                out["top_known"].append(known)
-                out["top_score"].append(score)
-            rare = pa.StructArray.from_arrays(
-                [pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_counts, pa.int64())], names=["word", "n"]
-            )
-            return out | {
+            words = Words.of(part.column(1))
+            log = np.array([logs.get(w, math.nan) for w in words.names], np.float64)
+            known = ~np.isnan(log)
+            rare, n, begin = words.counted(~known)
+            return {
                 "rid": list(itertools.islice(number, len(texts))),
-                "ids": ids.sequences(split),
-                "rare": pa.ListArray.from_arrays(pa.array(words_n, pa.int32()), rare),
+                "n_tokens": np.diff(words.bounds) + 1,
+                "top_known": words.sums(known).astype(np.int64) + (end is not None),
+                "top_score": words.sums(np.where(known, log, unknown)) + (unknown if end is None else end),
+                "ids": ids.sequences(words),
+                "rare": pa.ListArray.from_arrays(
+                    pa.array(begin, pa.int32()),
+                    pa.StructArray.from_arrays([words.distinct.take(pa.array(rare)), pa.array(n)], names=["word", "n"]),
+                ),
             }
 
         return step

@@ -5,6 +5,7 @@ from math import log10
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -233,7 +234,7 @@ def test_word_ids_in_one_go_are_those_of_single_words():
     encode = scoring.load_encoding(vocabulary).encode_ordinary
     texts = ["a  b x\u0085 y\x1c z\x1f q\u3000 \u3000 \u3000r \u00a0", "don't 's 'll 12,5 \u65e5\u672c \u00fc", "", "w" * 90 + " a"]
     split = [scoring.words_of(t.encode()) for t in texts]
-    got = scoring.WordIds(vocabulary).sequences(split)
-    for words, ids in zip(split, got):
+    got = scoring.WordIds(vocabulary).sequences(scoring.Words.of(pa.array(texts)))
+    for words, ids in zip(split, got, strict=True):
         own = [i for w in words for i in encode(" " + w.decode())]
         assert np.frombuffer(ids, "<u2").tolist() == [scoring.END_ID, *own, scoring.END_ID]
