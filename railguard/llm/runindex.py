@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols that are packed into the first sort key.
+#: Symbols that are packed into the first sort key at most.
 PACKED = 7
 
 
@@ -51,50 +51,72 @@ class RunLengthIndex:
         self.interval_starts = np.flatnonzero(np.r_[True, of_rank[1:] != of_rank[:-1]])
         self.interval_least = np.minimum.reduceat(docs[owner][order], self.interval_starts)
         self.docs, self.length = docs, length
+        # The run and the interval of every rank: a look-up instead of a search.
+        self._run = np.repeat(np.arange(len(starts), dtype=np.int32), run_sizes)
+        self._interval = np.repeat(
+            np.arange(len(self.interval_starts), dtype=np.int32), np.diff(np.r_[self.interval_starts, n])
+        )
 
     @staticmethod
     def _sort(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Suffix order by prefix doubling, and for each position the class of its first
         ``length`` symbols. ``symbols``: 0 for a separator, else the byte plus one."""
         n = len(symbols)
+        bits = n.bit_length()
+        place = np.arange(n, dtype=np.uint64)
 
-        def ranks(key: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-            """Dense ranks of the keys; ``alone`` marks keys that equal no other."""
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            fresh = np.r_[False, (sorted_key[1:] != sorted_key[:-1]) | alone[order][1:]]
-            rank = np.empty(n, np.int64)
+        def ranks(key: np.ndarray, alone: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray, bool]:
+            """Dense ranks of the keys (of ``width`` bits); ``alone`` marks keys that equal no other."""
+            if width + bits <= 64:  # key and place in one number
+                packed = key << np.uint64(bits) | place
+                packed.sort()
+                order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+                packed >>= np.uint64(bits)
+            else:
+                order = np.argsort(key, kind="stable")
+                packed = key[order]
+            fresh = np.zeros(n, bool)
+            fresh[1:] = packed[1:] != packed[:-1]
+            if alone is not None:
+                fresh[1:] |= alone[order][1:]
+            rank = np.empty(n, np.uint64)
             rank[order] = np.cumsum(fresh)
             return rank, order, bool(fresh[1:].all())
 
         def joined(rank: np.ndarray, shift: int) -> np.ndarray:
-            after = np.zeros(n, np.int64)
-            after[: n - shift] = rank[shift:] + 1 if shift < n else 0
-            return rank * np.int64(n + 2) + after
+            key = rank << np.uint64(bits)
+            if shift < n:
+                key[: n - shift] |= rank[shift:] + np.uint64(1)
+            return key
 
-        # Seven symbols fit one key. Behind a separator nothing is compared: separators are
-        # distinct, in the order of their texts, so such keys equal no other.
-        key, open_ = symbols.copy(), symbols > 0
-        for k in range(1, PACKED):
-            after = np.zeros(n, np.int64)
-            after[: n - k] = symbols[k:] if k < n else 0
+        # As many symbols as fit one key with the place. Behind a separator nothing is compared:
+        # separators are distinct, in the order of their texts, so such keys equal no other.
+        present = np.flatnonzero(np.bincount(symbols, minlength=257)[1:]) + 1
+        code = np.zeros(257, np.uint64)
+        code[present] = np.arange(1, len(present) + 1)
+        each = max(1, len(present).bit_length())
+        known = max(1, min(PACKED, (64 - bits) // each))
+        coded = code[symbols]
+        key, open_ = coded.copy(), symbols > 0
+        for k in range(1, known):
+            after = np.zeros(n, np.uint64)
+            after[: n - k] = coded[k:] if k < n else 0
             after[~open_] = 0
-            key = key * 257 + after
+            key = key << np.uint64(each) | after
             open_ &= after > 0
-        none = np.zeros(n, bool)
-        rank, order, done = ranks(key, ~open_)
-        known, interval = PACKED, None
+        rank, order, done = ranks(key, ~open_, known * each)
+        interval = None
         while not done or interval is None:
             if interval is None and (done or 2 * known >= length):
-                interval = rank if done else ranks(joined(rank, length - known), none)[0]
+                interval = rank if done else ranks(joined(rank, length - known), None, 2 * bits)[0]
             if not done:
-                rank, order, done = ranks(joined(rank, known), none)
+                rank, order, done = ranks(joined(rank, known), None, 2 * bits)
                 known *= 2
         return order, interval
 
     def step(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol before the suffix of each rank, and the rank of the suffix that it opens."""
-        run = np.searchsorted(self.run_starts, at, "right") - 1
+        run = self._run[at]
         return self.run_symbols[run], self.run_targets[run] + at - self.run_starts[run]
 
     def matched(self) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +130,7 @@ class RunLengthIndex:
             left -= 1
             whole = self.sizes[texts] - left >= self.length
             if whole.any():
-                interval = np.searchsorted(self.interval_starts, at[whole], "right") - 1
-                smaller = self.interval_least[interval] < self.docs[texts[whole]]
+                smaller = self.interval_least[self._interval[at[whole]]] < self.docs[texts[whole]]
                 found.append((texts[whole][smaller], left[whole][smaller]))
             more = left > 0
             texts, at, left = texts[more], at[more], left[more]
