@@ -464,7 +464,8 @@ def _cut_frames(blocks: int):
             begin = wanted["place"].astype(np.int64) - SPREAD
             start = np.maximum(begin + low[thirds], 0)
             stop = np.minimum(begin + high[thirds] + LENGTH - 1, source.sizes[row])
-            doc, rid, base = texts["doc_id"].to_numpy()[row], wanted["rid"], source.offsets[row]
+            # Rows without an id are not asked for; with nulls the ids would become floats.
+            doc, rid, base = texts["doc_id"].fill_null(0).to_numpy()[row], wanted["rid"], source.offsets[row]
             able, single = stop - start >= LENGTH, wanted["thirds"] >= _SINGLE
 
             def read(rows):

@@ -127,6 +127,15 @@ def test_passages_in_many_surroundings(spark, hot):
     assert sorted(str(tuple(r)) for r in repeated_strings(docs, hot_frames=hot).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_large_ids_beside_rows_without_one(spark, hot):
+    shared = cases.prose(61, 20)[:70]
+    rows = [(2**60 + k, cases.prose(62 + k, 9) + shared + cases.prose(72 + k, 9)) for k in range(4)]
+    rows += [(None, cases.prose(90, 30)), (None, None), (-(2**61) - 1, None), (-(2**61), shared[:60] + "#")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert sorted(str(tuple(r)) for r in repeated_strings(docs, hot_frames=hot).collect()) == brute(rows)
+
+
 def asked(texts, hot):
     ids = np.arange(len(texts))
     anchor, frame, *cores, place, text = substrings.entries(texts)
