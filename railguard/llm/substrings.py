@@ -269,6 +269,7 @@ def _note(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordB
 
     def done() -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
         anchor, frame, place, doc = (columns[k] for k in (0, 1, 5, 6))
         id_of, rid_of = np.array(ids, np.int64), np.array(rids, np.int64)
         repeat, _ = _settle(anchor, frame, id_of[doc])
@@ -368,6 +369,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], groups: int, hot_frames: int) ->
         settled, asked = before, np.empty(0, _ASKED)
         if held:
             anchor, frame, *cores, place, doc, rid = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             settled, asked = _ask(anchor, frame, cores, place, doc, rid, hot_frames)
             settled = np.concatenate([before, settled])
         out: dict[str, list] = {"group": [], "settled": [], "asked": []}
